@@ -68,7 +68,8 @@ Stages = list[dict[str, str]]
 def project(
     lon: str, lat: str, out: str, scale: float = MAP_SCALE, translate: tuple[float, float] = MAP_CENTER
 ) -> Stages:
-    """`out` = struct(region, x, y) of the first region whose clip box holds the point, else null."""
+    """`out` = array of one struct(region, x, y), of the first region whose clip box holds the point;
+    null for a point in none of them."""
     polar, planar, candidates = {}, {}, []
     for r in REGIONS:
         n, c, rho0 = cone(r)
@@ -84,7 +85,7 @@ def project(
         candidates.append(
             f"WHEN {x} >= {lit(x0 + r.inset)} AND {x} <= {lit(x1 - r.inset)}"
             f" AND {y} >= {lit(y0 + r.inset)} AND {y} <= {lit(y1 - r.inset)}"
-            f" THEN named_struct('region', {lit(r.name)}, 'x', {x}, 'y', {y})"
+            f" THEN array(named_struct('region', {lit(r.name)}, 'x', {x}, 'y', {y}))"
         )
     return [polar, planar, {out: f"CASE {' '.join(candidates)} END"}]
 
@@ -132,8 +133,10 @@ def hex_cell(x: str, y: str, out_i: str, out_j: str, radius: float = HEX_RADIUS)
             f" > {across} * {across} + {down} * {down}"
         },
         {
-            out_i: "CASE WHEN _nearer THEN _hi + CAST((_side + _shift) / 2 AS BIGINT) ELSE _hi END",
-            out_j: "CASE WHEN _nearer THEN _hj + _step ELSE _hj END",
+            # never null for a point on the map; saying so spares a null check of all of the above
+            # wherever the cell is a join or group key
+            out_i: "coalesce(CASE WHEN _nearer THEN _hi + CAST((_side + _shift) / 2 AS BIGINT) ELSE _hi END, 0L)",
+            out_j: "coalesce(CASE WHEN _nearer THEN _hj + _step ELSE _hj END, 0L)",
         },
     ]
 

@@ -19,10 +19,14 @@ MIN_ROWS = 5
 
 
 def project_points(df: DataFrame, lon: str = "Longitude", lat: str = "Latitude") -> DataFrame:
-    """Add region, x and y of the composite map; null outside it."""
-    return add_staged(
-        df, project(q(lon), q(lat), "_point"), {"region": "_point.region", "x": "_point.x", "y": "_point.y"}
-    )
+    """Add region, x and y of the composite map; null outside it.
+
+    The point comes out of a generator, so a later filter on it stays above the projection instead
+    of being pushed below as a second copy of all its trigonometry.
+    """
+    names = [q(c) for c in df.columns]
+    point = add_staged(df, project(q(lon), q(lat), "_point"), {"_point": "_point"})
+    return point.selectExpr(*names, "inline_outer(_point) AS (region, x, y)")
 
 
 def assign_cells(projected: DataFrame, radius: float = HEX_RADIUS) -> DataFrame:

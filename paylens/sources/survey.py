@@ -77,3 +77,8 @@ def table_from_sheet(
         *[f"try_cast({q(c)} AS DOUBLE) AS {q(name)}" for c, name in measures.items()],
     ).where("month IS NOT NULL")
     return dated.unpivot(["month"], list(measures.values()), "measure", "value")
+
+
+def sheet_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """SQL expressions as text cells c0, c1, ... of a sheet."""
+    return df.selectExpr(*[f"CAST({e} AS STRING) AS c{i}" for i, e in enumerate(columns)])
