@@ -13,9 +13,15 @@ def null_if_missing(e: str) -> str:
     return f"CASE WHEN NOT ({one_of(e, NULL_TEXTS)}) THEN {e} END"
 
 
+# Fixed value: the characters that count as white space.
+WHITE_SPACE = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
+
+
 def strip(e: str) -> str:
     """Remove white space at both ends, no-break spaces included."""
-    return rf"regexp_replace({e}, r'(?U)^\s+|\s+$', '')"
+    return f"btrim({e}, {lit(WHITE_SPACE)})"
 
 
 def replace_literal(e: str, old: str, new: str) -> str:
@@ -163,28 +169,29 @@ def _attributes(css_class: str | None) -> str:
 
 
 def element(html: str, tag: str, css_class: str | None = None) -> str:
-    """Inner markup of the first such element; null when the page has none."""
-    return rf"get(regexp_extract_all({html}, r'(?is)<{tag}{_attributes(css_class)}>(.*?)</{tag}\s*>', 1), 0)"
+    """Inner markup of the first such element; null when there is none or it is empty."""
+    return rf"nullif(regexp_extract({html}, r'(?is)<{tag}{_attributes(css_class)}>(.*?)</{tag}\s*>', 1), '')"
 
 
 def plain_text(markup: str) -> str:
     """Text of a fragment: pieces between tags, each stripped, joined, entities decoded."""
-    pieces = rf"transform(split({markup}, r'(?s)<!--.*?-->|<[^>]*>'), p -> {strip('p')})"
-    return strip(decode_entities(f"array_join({pieces}, '')"))
+    pieces = rf"transform(split(m, r'(?s)<!--.*?-->|<[^>]*>'), p -> {strip('p')})"
+    inner = f"CASE WHEN contains(m, '<') THEN array_join({pieces}, '') ELSE m END"
+    return strip(decode_entities(let(markup, "m", inner)))
 
 
 def list_items(markup: str) -> str:
     """Plain text of every list item of a fragment; an empty list when there is no fragment."""
     found = rf"regexp_extract_all({markup}, r'(?is)<li\b[^>]*>(.*?)</li\s*>', 1)"
-    return f"coalesce(transform({found}, item -> {plain_text('item')}), CAST(array() AS ARRAY<STRING>))"
+    text = f"CASE WHEN item RLIKE '[<&]' THEN {plain_text('item')} ELSE {strip('item')} END"
+    return f"coalesce(transform({found}, item -> {text}), CAST(array() AS ARRAY<STRING>))"
 
 
 def tag_attribute(html: str, tag: str, attribute: str, css_class: str | None = None) -> str:
     """An attribute of the first such tag, entities decoded; null when absent."""
-    opening = rf"get(regexp_extract_all({html}, r'(?is)<{tag}{_attributes(css_class)}>', 0), 0)"
-    pattern = rf"(?is)\s{attribute}\s*=\s*(?:\x22([^\x22]*)\x22|\x27([^\x27]*)\x27|([^\s\x22\x27>]+))"
-    parts = ", ".join(f"nullif(regexp_extract(tag, r'{pattern}', {i}), '')" for i in (1, 2, 3))
-    return decode_entities(let(opening, "tag", f"coalesce({parts})"))
+    opening = rf"regexp_extract({html}, r'(?is)<{tag}{_attributes(css_class)}>', 0)"
+    pattern = rf"(?is)\s{attribute}\s*=\s*([\x22\x27]?)(.*?)\1(?=[\s/>])"
+    return decode_entities(f"nullif(regexp_extract({opening}, r'{pattern}', 2), '')")
 
 
 def texts_after(markup: str, tag: str, css_class: str) -> str:

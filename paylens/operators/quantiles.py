@@ -38,7 +38,10 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: dict[str,
     group = f"PARTITION BY {', '.join(names)}" if names else ""
     position = {name: f"((_rows - 1) * {lit(float(p))})" for name, p in probs.items()}
     ranks = ", ".join(f"floor({p}), ceil({p})" for p in position.values())
-    counts = counts.selectExpr("*", f"floor(signum(_v) * log1p(abs(_v)) * {CELLS_PER_LOG}) AS _cell")
+    # declared as never null: a null check pushed into one branch would make the two branches below
+    # differ, and the shuffled counts would be computed twice instead of shared
+    cell = f"coalesce(floor(signum(_v) * log1p(abs(_v)) * {CELLS_PER_LOG}), 0L)"
+    counts = counts.selectExpr("*", f"{cell} AS _cell")
     # the windows see cells, not rows: a group has a bounded number of them
     cells = (
         counts.groupBy(*names, "_cell")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.workloads import aggregates, cleaning, extraction, facets, geo, joins, series
+from paylens.workloads import aggregates, cleaning, extraction, facets, geo, joins, refreshing, series
 
-_MODULES = (cleaning, joins, series, aggregates, facets, geo, extraction)
+_MODULES = (cleaning, joins, series, aggregates, facets, geo, extraction, refreshing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

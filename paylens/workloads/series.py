@@ -128,7 +128,7 @@ QUERIES = {
     ),
     "interpolate_gaps": (
         interpolate_gaps,
-        f"WITH {IDX_SQL}, {FILLED_SQL.split('latest AS')[0].strip().rstrip(',')} SELECT series_id, {_DAY_SQL}, round(value, 6) AS value FROM filled",
+        f"WITH {IDX_SQL}, {FILLED_SQL} SELECT series_id, {_DAY_SQL}, round(value, 6) AS value FROM filled",
     ),
     "latest_value": (
         latest_value,

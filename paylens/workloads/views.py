@@ -122,11 +122,12 @@ around AS (SELECT *,
     a AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 filled AS (SELECT series_id, date, CASE WHEN value IS NOT NULL THEN value WHEN v0 IS NULL THEN NULL
     WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) / (p1 - p0) * (p - p0) END AS value FROM around),
-latest AS (SELECT arg_max(value, date) AS value, max(date) AS date FROM filled WHERE value IS NOT NULL),
+latest AS (SELECT arg_max(value, date) AS value, max(date) AS date FROM filled WHERE value IS NOT NULL)""".strip()
+_ADJUST_SQL = """
 adjusted AS (SELECT r.*, coalesce(f.value, CASE WHEN r.month > latest.date THEN latest.value END) AS cpi,
     round_even(r.salary * (latest.value / coalesce(f.value, CASE WHEN r.month > latest.date THEN latest.value END)), -2) AS real_salary
   FROM r LEFT JOIN filled f ON r.month = f.date CROSS JOIN latest)"""
-ADJUSTED_SQL = f"{R_SQL}, {IDX_SQL}, {FILLED_SQL.strip()}"
+ADJUSTED_SQL = f"{R_SQL}, {IDX_SQL}, {FILLED_SQL}, {_ADJUST_SQL.strip()}"
 
 
 def adjusted_responses(spark: SparkSession, folder: str) -> DataFrame:
