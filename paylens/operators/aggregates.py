@@ -12,6 +12,7 @@ from paylens.operators.joins import topn_semi
 from paylens.operators.quantiles import group_median
 from paylens.operators.stages import add_columns
 from paylens.schema import CATEGORY_ORDER
+from paylens.sources.literals import literal_table
 
 # Attributes with many values, shown for their most frequent values only; and
 # attributes shown in the order of their keys.
@@ -109,7 +110,7 @@ def topn_median_trend(
 def distinct_options(df: DataFrame, column: str) -> DataFrame:
     """"All" followed by the distinct values of a column."""
     values = df.selectExpr(f"CAST({q(column)} AS STRING) AS option").distinct()
-    return df.sparkSession.createDataFrame([("All",)], "option string").unionByName(values)
+    return literal_table(df.sparkSession, [("All",)], "option string").unionByName(values)
 
 
 def pivot_matrices(

@@ -36,9 +36,15 @@ def drop_equal(df: DataFrame, column: str, value) -> DataFrame:
     return df.where(f"NOT ({q(column)} <=> {lit(value)})")
 
 
-def drop_ids(df: DataFrame, denied: DataFrame, on: str = "id") -> DataFrame:
-    """Leave out the listed ids; ids are unique, so no key is hot."""
-    return df.join(denied.select(q(on)), on, "left_anti")
+def drop_ids(df: DataFrame, denied: DataFrame | Sequence[int], on: str = "id") -> DataFrame:
+    """Leave out the listed ids, rows without an id stay.
+
+    A list in code becomes a filter of the scan, a table an anti-join; ids are unique, so no key
+    of that join is hot.
+    """
+    if isinstance(denied, DataFrame):
+        return df.join(denied.select(q(on)), on, "left_anti")
+    return drop_matching(df, one_of(q(on), denied))
 
 
 def drop_matching(df: DataFrame, condition: str) -> DataFrame:

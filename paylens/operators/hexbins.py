@@ -103,27 +103,23 @@ def hexbin_encode(bins: DataFrame, color_by: str, size_by: str = "n", radius: fl
     """Colour position between 0 and 1 and drawn radius of each hexagon.
 
     Colour is linear between the smallest and the largest value, the radius follows the square
-    root. The window covers the hexagons of one map: about two thousand at the usual radius.
+    root. The extremes are one row, read as a scalar, so the hexagons stay where they are.
     """
     color, size = f"CAST({q(color_by)} AS DOUBLE)", f"CAST({q(size_by)} AS DOUBLE)"
-    extent = {
-        "_c0": f"min({color}) OVER ()", "_c1": f"max({color}) OVER ()",
-        "_s0": f"min({size}) OVER ()", "_s1": f"max({size}) OVER ()",
-    }
-    place = f"CASE WHEN _s1 = _s0 THEN 0.5D ELSE (sqrt({size}) - sqrt(_s0)) / (sqrt(_s1) - sqrt(_s0)) END"
+    extremes = f"named_struct('c0', min({color}), 'c1', max({color}), 's0', min({size}), 's1', max({size})) AS e"
+    place = f"CASE WHEN _e.s1 = _e.s0 THEN 0.5D ELSE (sqrt({size}) - sqrt(_e.s0)) / (sqrt(_e.s1) - sqrt(_e.s0)) END"
     # Ranges of the drawn radius as parts of the hexagon radius
     if size_by == "n":
-        smallest, largest = "0.3D", "CASE WHEN _s1 > 2000 THEN 2.0D ELSE 1.1D END"
+        smallest, largest = "0.3D", "CASE WHEN _e.s1 > 2000 THEN 2.0D ELSE 1.1D END"
     else:
         smallest, largest = "0.1D", "1.1D"
-    return add_staged(
-        bins,
-        [extent],
+    return add_columns(
+        bins.withColumn("_e", bins.selectExpr(extremes).scalar()),
         {
-            "color_value": f"CASE WHEN _c1 = _c0 THEN 0D ELSE ({color} - _c0) / (_c1 - _c0) END",
+            "color_value": f"CASE WHEN _e.c1 = _e.c0 THEN 0D ELSE ({color} - _e.c0) / (_e.c1 - _e.c0) END",
             "hex_radius": f"({smallest} + ({largest} - {smallest}) * {place}) * {lit(radius)}",
         },
-    )
+    ).drop("_e")
 
 
 def hexbin_centres_lonlat(bins: DataFrame, radius: float = HEX_RADIUS) -> DataFrame:

@@ -13,6 +13,7 @@ from paylens.operators import timeseries as ts
 from paylens.operators.joins import enrich_location, fill_from_gazetteer, unresolved_keys
 from paylens.operators.stages import add_columns
 from paylens.schema import CLEAN_SCHEMA, RAW_COLUMNS, SCHOOL_COLUMNS
+from paylens.sources.literals import literal_table
 from paylens.sources.survey import normalise_nulls
 
 
@@ -52,10 +53,6 @@ class Refreshed:
     report: DataFrame
 
 
-def _ids(df: DataFrame, ids) -> DataFrame:
-    return df.sparkSession.createDataFrame([(i,) for i in ids], "id bigint")
-
-
 def clean_responses(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Typed, repaired, de-duplicated responses of every work status."""
     df = add_columns(normalise_nulls(raw.select(*RAW_COLUMNS)), {"id": "CAST(id AS BIGINT)"})
@@ -73,7 +70,7 @@ def clean_responses(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
     df = c.remap_values(df, "Years of Experience", rules.experience_remap)
     for age in rules.spam_ages:
         df = c.drop_equal(df, "Age", age)
-    df = c.drop_ids(df, _ids(df, rules.denied_before_dedup))
+    df = c.drop_ids(df, rules.denied_before_dedup)
     df = c.regex_repair(df, SCHOOL_COLUMNS, rules.school_pattern, rules.school_name)
     df = c.dedup_keep_first(df)
     df = c.drop_bad_batch(
@@ -106,14 +103,14 @@ def refresh(
     unresolved = unresolved_keys(df, coordinates)
     df, dropped = fill_from_gazetteer(enrich_location(df, coordinates), gazetteer)
     df = c.clean_literals(df, {"Location": [(rules.place_suffix, "")]})
-    df = c.drop_ids(df, _ids(df, rules.denied_after_geocoding))
-    fixes = df.sparkSession.createDataFrame(
-        list(rules.corrections), "id bigint, Salary bigint, `Salary Unit` string, `Annual Bonus` string"
+    df = c.drop_ids(df, rules.denied_after_geocoding)
+    fixes = literal_table(
+        df.sparkSession, rules.corrections, "id bigint, Salary bigint, `Salary Unit` string, `Annual Bonus` string"
     )
     df = c.apply_corrections(df, fixes)
     df = add_columns(df, {"Annual Bonus": t.strip_to_number("`Annual Bonus`")})
     df = c.fx_normalise(df, "Salary", "Salary Unit", rules.unit_rates)
-    df = c.drop_ids(df, _ids(df, rules.denied_after_units))
+    df = c.drop_ids(df, rules.denied_after_units)
     df, rejected = c.allowlist_split(df, "Salary Unit", rules.allowed_units)
     index = ts.interpolate_gaps(price_index)
     df = ts.join_month_fallback(df, index, "Date", "CPIAUCSL")

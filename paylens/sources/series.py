@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from paylens.functions.sql import lit
+from paylens.sources.literals import literal_table
 
 
 def read_series(spark: SparkSession, path: str, series_id: str) -> DataFrame:
@@ -24,5 +25,5 @@ def as_series(df: DataFrame, series_id: str, date: str, value: str) -> DataFrame
 
 def inline_series(spark: SparkSession, series_id: str, rows: Sequence[tuple[int, float]]) -> DataFrame:
     """A handful of (year, value) pairs written in code, dated 1 January."""
-    years = spark.createDataFrame([(int(y), float(v)) for y, v in rows], "year int, value double")
+    years = literal_table(spark, [(int(y), float(v)) for y, v in rows], "year int, value double")
     return as_series(years, series_id, "make_date(year, 1, 1)", "value")

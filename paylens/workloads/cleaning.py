@@ -5,6 +5,7 @@ from __future__ import annotations
 from paylens.functions import text as t
 from paylens.operators import cleaning as c
 from paylens.operators.stages import add_columns
+from paylens.sources.literals import literal_table
 from paylens.sources.survey import normalise_nulls
 from paylens.workloads.views import R_SQL, responses, table
 
@@ -43,7 +44,7 @@ _DENIED = [5, 77, 1234, 9999, 14000]
 
 
 def denylist_anti(spark, folder):
-    denied = spark.createDataFrame([(i,) for i in _DENIED], "id bigint")
+    denied = literal_table(spark, [(i,) for i in _DENIED], "id bigint")
     return c.drop_ids(responses(spark, folder).select("id", "salary"), denied)
 
 
@@ -83,8 +84,8 @@ def min_threshold(spark, folder):
 
 
 def apply_corrections(spark, folder):
-    fixes = spark.createDataFrame(
-        [(7, 75600.0, "year"), (42, None, "month"), (4242, 27000.0, None)], "id bigint, salary double, unit string"
+    fixes = literal_table(
+        spark, [(7, 75600.0, "year"), (42, None, "month"), (4242, 27000.0, None)], "id bigint, salary double, unit string"
     )
     return c.apply_corrections(responses(spark, folder).select("id", "salary", "unit"), fixes)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paylens.operators import timeseries as ts
 from paylens.plans.growth import growth_table
+from paylens.sources.literals import literal_table
 from paylens.sources.series import as_series
 from paylens.sources.series import inline_series as literal_series
 from paylens.sources.survey import sheet_rows
@@ -82,7 +83,7 @@ _EXTRA = [("2001-05-01", 1.0), ("2001-06-01", 50000.5), ("2001-07-01", 50001.5)]
 
 
 def append_missing_periods(spark, folder):
-    extra = as_series(spark.createDataFrame(_EXTRA, "d string, v double"), "price", "d", "v")
+    extra = as_series(literal_table(spark, _EXTRA, "d string, v double"), "price", "d", "v")
     return ts.append_missing_periods(monthly_index(spark, folder), extra).selectExpr("series_id", _DAY, "value")
 
 
@@ -105,7 +106,8 @@ def table_from_sheet(spark, folder):
         .agg(F.expr("count(*) AS n"), F.expr("round(sum(o_totalprice), 2) AS s"), F.expr("max(o_orderkey) AS k"))
     )
     body = sheet_rows(monthly, ["m", "n", "s", "k"])
-    around = spark.createDataFrame(
+    around = literal_table(
+        spark,
         [("Index report", None, None, None), (None, None, None, None), ("Month", "Billings", "Inquiries", "Contracts"),
          ("Source: orders", None, None, None)], "c0 string, c1 string, c2 string, c3 string",
     )
