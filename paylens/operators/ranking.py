@@ -24,22 +24,15 @@ def _slot(df: DataFrame, column: str, cuts: list[float], out: str) -> DataFrame:
     return Bucketizer(splits=splits, inputCol=column, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def global_rank(
-    df: DataFrame, value: str, seq: str, ascending: bool = True, buckets: int | None = None, out: str = "rank"
-) -> DataFrame:
-    """0-based place of every row by a number (null last), equal numbers by `seq`.
-
-    `value` is an SQL expression, `seq` a unique numeric column; both are compared as doubles.
+def rank_buckets(df: DataFrame, value: str, seq: str, ascending: bool, buckets: int) -> DataFrame:
+    """Add _bucket and _part, which order rows roughly, and _o and _s, which order them within.
 
     Approximate quantiles cut the values, and `seq`, into buckets of about equal size. They are a
     fixed number of literals in the plan, so every pass and retry sees the same buckets; only the
-    balance depends on how good they are, never the result. A value so frequent that it is a cut
-    itself gets a bucket of its own, split further by `seq`, so no value makes a bucket large. The
-    place is the number of rows in earlier buckets plus the row number within the bucket. The cuts
-    take one pass when this is called.
+    balance depends on how good they are, never the order. A value so frequent that it is a cut
+    itself gets a bucket of its own, split further by `seq`, and so does null; so no value makes a
+    bucket large.
     """
-    if buckets is None:
-        buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sign = "" if ascending else "-"
     work = df.selectExpr("*", f"nullif({sign}CAST({value} AS DOUBLE), double('NaN')) AS _v", f"CAST({q(seq)} AS DOUBLE) AS _s")
     v_cuts, s_cuts = _cuts(work, ["_v", "_s"], max(buckets, 2))
@@ -48,13 +41,27 @@ def global_rank(
     if v_cuts:
         listed = ", ".join(lit(c) for c in v_cuts)
         is_cut = f"coalesce(get(array({listed}), CAST(_slot AS INT) - 1) = _o, FALSE)"
-    work = work.selectExpr("*", f"{is_cut} AS _cut").selectExpr(
+    return work.selectExpr("*", f"{is_cut} AS _cut").selectExpr(
         *[q(c) for c in df.columns],
         "_o",
         "_s",
         f"CAST(CASE WHEN _v IS NULL THEN {2 * len(v_cuts) + 2} WHEN _cut THEN 2 * _slot ELSE 2 * _slot + 1 END AS INT) AS _bucket",
         "CAST(CASE WHEN _v IS NULL OR _cut THEN _part ELSE -1 END AS INT) AS _part",
     )
+
+
+def global_rank(
+    df: DataFrame, value: str, seq: str, ascending: bool = True, buckets: int | None = None, out: str = "rank"
+) -> DataFrame:
+    """0-based place of every row by a number (null last), equal numbers by `seq`.
+
+    `value` is an SQL expression, `seq` a unique numeric column; both are compared as doubles. The
+    place is the number of rows in earlier buckets plus the row number within the bucket. Cutting
+    the buckets takes one pass when this is called.
+    """
+    if buckets is None:
+        buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    work = rank_buckets(df, value, seq, ascending, buckets)
     # a few rows per bucket: these windows see buckets and parts, never data rows
     parts = work.groupBy("_bucket", "_part").agg(F.expr("count(*) AS _n"))
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -80,7 +87,7 @@ def sort_key(column: str, orders: dict[str, list[str]], year: str = "Year") -> t
     """What a listing is ordered by, and whether ascending: the year means order of entry, a
     category its explicit list, anything else the largest number first."""
     if column == year:
-        return "0", True
+        return "0D", True
     if column in orders:
         return category_rank(q(column), orders[column]), True
     return q(column), False
