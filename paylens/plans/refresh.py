@@ -13,6 +13,7 @@ from paylens.operators import timeseries as ts
 from paylens.operators.joins import enrich_location, fill_from_gazetteer, unresolved_keys
 from paylens.operators.stages import add_columns
 from paylens.schema import CLEAN_SCHEMA, RAW_COLUMNS, SCHOOL_COLUMNS
+from paylens.session import stored
 from paylens.sources.literals import literal_table
 from paylens.sources.survey import normalise_nulls
 
@@ -90,12 +91,17 @@ def refresh(
     gazetteer: DataFrame,
     price_index: DataFrame,
     rules: Rules = Rules(),
+    store: bool = False,
 ) -> Refreshed:
     """Everything from raw responses to the final table, as one lazy plan.
 
-    `price_index` is one monthly series (series_id, date, value). Its gaps are filled first.
+    `price_index` is one monthly series (series_id, date, value). Its gaps are filled first. With
+    `store`, the cleaned responses are written to the shared folder at once, for callers who use
+    several of the results: else each of them repeats the cleaning.
     """
     responses = clean_responses(raw, rules)
+    if store:
+        responses = stored(responses)
     df = c.drop_equal(responses, "Work Status", "Part-time")
     df = c.annualise(df, "Salary", "Salary Unit", "Work Status")
     df = c.min_threshold(df, "Salary", rules.minimum_pay)

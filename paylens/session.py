@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -39,3 +40,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="paylens-checkpoint-")
     sc.setCheckpointDir(own)
     return own
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder and read it back, so that what follows starts from files.
+
+    Unlike a cache this outlives executors, and it keeps columns and statistics.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

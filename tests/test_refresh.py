@@ -87,6 +87,14 @@ def test_rules_can_be_changed(spark, dims):
     assert rows(result.clean, "id", "Age") == [(2, "103")]
 
 
+def test_stored_responses_give_the_same(spark, dims):
+    responses = raw(spark, {"id": "1"}, {"id": "2", "Location": "Atlantis"})
+    lazy, kept = refresh(responses, *dims), refresh(responses, *dims, store=True)
+    assert rows(lazy.clean) == rows(kept.clean)
+    assert rows(lazy.dropped_places, "id") == rows(kept.dropped_places, "id") == [(2,)]
+    assert "table-" in kept.clean._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cards_to_clean_table(spark, dims):
     cards = spark.createDataFrame([("5", CARD.replace("Jun '24", "Dec '24"))], "id string, html string")
     got = refresh(extract_cards(cards), *dims).clean.collect()[0]
