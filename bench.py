@@ -56,7 +56,7 @@ def main() -> None:
                 "value": total,
                 "unit": "sec",
                 "queries": took,
-                "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
+                "sf": float(os.path.basename(folder.rstrip("/")).removeprefix("sf")),
             }
         )
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from paylens.functions import text as t
 from paylens.functions.sql import lit, lookup, one_of, q
+from paylens.operators.joins import share_of
 from paylens.operators.stages import add_columns
 
 
@@ -167,7 +168,7 @@ def duplicate_audit(df: DataFrame, ident: str = "id", shares: int = 64) -> DataF
     part that occurs in it: twice for a pair, at most `shares` times for any group.
     """
     same = [c for c in df.columns if c != ident]
-    shared = df.selectExpr("*", f"CAST(pmod(xxhash64({q(ident)}), {shares}) AS INT) AS _share")
+    shared = df.selectExpr("*", f"{share_of([ident], shares)} AS _share")
     repeated = (
         shared.groupBy(*[q(c) for c in same])
         .agg(F.expr("count(*) AS copies"), F.expr("collect_set(_share) AS _parts"))

@@ -120,8 +120,10 @@ def density_curve(
             "greatest(ceil((_v - 39 * _h - _lo) / _step), 0L) AS _first",
             f"least(floor((_v + 39 * _h - _lo) / _step), {points - 1}L) AS _last",
         )
-        .where("_first <= _last")
-        .selectExpr("*", "explode(sequence(_first, _last)) AS bin")
+        # the outer form, and no filter: either would be pushed down and evaluated for every row
+        # instead of every distinct value; a value between two points ends in the bin null, which
+        # no point asks for
+        .selectExpr("*", "explode_outer(CASE WHEN _first <= _last THEN sequence(_first, _last) END) AS bin")
         .groupBy("bin")
         .agg(F.expr("sum(_n * exp(-0.5D * pow((_lo + bin * _step - _v) / _h, 2D))) AS _sum"))
     )

@@ -14,6 +14,15 @@ BROADCAST_ROWS = 100_000
 SHARES = 64
 
 
+def share_of(columns: Sequence[str], shares: int) -> str:
+    """Number of a share, from 0, by a hash of columns.
+
+    Never null, and declared so: a null check would be pushed below into one branch of a plan and
+    keep it from sharing a shuffle with another.
+    """
+    return f"coalesce(CAST(pmod(xxhash64({', '.join(q(c) for c in columns)}), {shares}) AS INT), 0)"
+
+
 def salted_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -27,8 +36,7 @@ def salted_join(
     The share follows from a hash of the row, so a retried task sends each row the same way.
     `dim` is written once per share; it is meant to be far smaller than the facts.
     """
-    spread = ", ".join(q(c) for c in (spread_by or facts.columns))
-    left = facts.selectExpr("*", f"CAST(pmod(xxhash64({spread}), {shares}) AS INT) AS _share")
+    left = facts.selectExpr("*", f"{share_of(spread_by or facts.columns, shares)} AS _share")
     right = dim.selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
     return left.join(right, [*on, "_share"], how).drop("_share")
 

@@ -68,6 +68,14 @@ def test_points_land_in_the_nearest_hexagon(spark):
         assert distance(p, i, j) <= around * 1.2
 
 
+def test_counts_add_up_to_the_points_on_the_map(spark):
+    df = spark.range(2000).selectExpr("-180 + id * 7919 % 36000 / 100 AS lon", "10 + id * 104729 % 6000 / 100 AS lat")
+    projected = h.project_points(df, "lon", "lat")
+    on_map = projected.where("region IS NOT NULL").count()
+    assert 0 < on_map < 2000
+    assert h.hexbin_counts(h.assign_cells(projected)).selectExpr("sum(n)").collect()[0][0] == on_map
+
+
 def test_centre_goes_back_to_the_map(places):
     cells = h.hexbin_centres_lonlat(h.hexbin_counts(h.assign_cells(places)))
     again = h.project_points(cells.select("cell_i", "cell_j", "lon", "lat", "centre_region", "x", "y").withColumnsRenamed({"x": "x0", "y": "y0"}), "lon", "lat")
