@@ -44,6 +44,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/orders.parquet").selectExpr("sum(o_totalprice)").collect()
     catalogue, took = queries(), {}
+    scale = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     for name in HEADLINE:
         start = time.perf_counter()
         catalogue[name](spark, folder).write.format("noop").mode("overwrite").save()
@@ -56,7 +57,7 @@ def main() -> None:
                 "value": total,
                 "unit": "sec",
                 "queries": took,
-                "sf": float(os.path.basename(folder.rstrip("/")).removeprefix("sf")),
+                "sf": float(scale) if scale.replace(".", "", 1).isdigit() else scale,
             }
         )
     )

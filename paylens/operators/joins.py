@@ -12,6 +12,7 @@ from paylens.operators.stages import add_columns
 
 BROADCAST_ROWS = 100_000
 SHARES = 64
+HOT_ONE_IN = 1000
 
 
 def share_of(columns: Sequence[str], shares: int) -> str:
@@ -23,6 +24,13 @@ def share_of(columns: Sequence[str], shares: int) -> str:
     return f"coalesce(CAST(pmod(xxhash64({', '.join(q(c) for c in columns)}), {shares}) AS INT), 0)"
 
 
+def hot_keys(facts: DataFrame, on: Sequence[str], one_in: int = HOT_ONE_IN) -> DataFrame:
+    """Keys with more than one in `one_in` of all rows; there are fewer than `one_in` of them."""
+    counted = facts.where(not_null(on)).groupBy(*[q(k) for k in on]).agg(F.expr("count(*) AS _n"))
+    rows = facts.selectExpr("count(*)").scalar()
+    return counted.withColumn("_rows", rows).where(f"_n > _rows / {one_in}").select(*[q(k) for k in on])
+
+
 def salted_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -30,14 +38,29 @@ def salted_join(
     how: str = "left",
     shares: int = SHARES,
     spread_by: Sequence[str] | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join in which every key of `facts` is split over `shares` tasks.
+    """Equi-join in which keys of `facts` are split over `shares` tasks.
 
-    The share follows from a hash of the row, so a retried task sends each row the same way.
-    `dim` is written once per share; it is meant to be far smaller than the facts.
+    The share follows from a hash of the row, so a retried task sends each row the same way. The
+    rows of `dim` are written once per share. With `hot`, a short list of keys, only those keys
+    and null are split, and only their rows of `dim` are repeated; without it all are.
     """
-    left = facts.selectExpr("*", f"{share_of(spread_by or facts.columns, shares)} AS _share")
-    right = dim.selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
+    share = share_of(spread_by or facts.columns, shares)
+    if hot is None:
+        left = facts.selectExpr("*", f"{share} AS _share")
+        right = dim.selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
+    else:
+        # fewer rows than HOT_ONE_IN
+        flagged = F.broadcast(hot.selectExpr("*", "TRUE AS _hot"))
+        left = facts.join(flagged, list(on), "left").selectExpr(
+            *[q(c) for c in facts.columns],
+            f"CASE WHEN _hot OR NOT ({not_null(on)}) THEN {share} ELSE 0 END AS _share",
+        )
+        right = dim.join(flagged, list(on), "left").selectExpr(
+            *[q(c) for c in dim.columns],
+            f"explode(sequence(0, CASE WHEN _hot THEN {shares - 1} ELSE 0 END)) AS _share",
+        )
     return left.join(right, [*on, "_share"], how).drop("_share")
 
 
@@ -53,11 +76,12 @@ def lookup_join(
 
     The size is checked by counting at most max_rows + 1 rows; `bounded` skips the check where the
     row count has a ceiling by construction, such as the months of a calendar or a top-N list.
+    Beyond that both sides are shuffled, and the keys that are hot in the facts are split.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if bounded or dim.limit(max_rows + 1).count() <= max_rows:
         return facts.join(F.broadcast(dim), keys, how)
-    return salted_join(facts, dim, keys, how)
+    return salted_join(facts, dim, keys, how, hot=hot_keys(facts, keys))
 
 
 def enrich_location(facts: DataFrame, coordinates: DataFrame, key: str = "Location") -> DataFrame:

@@ -31,12 +31,20 @@ def test_both_ways_agree(facts, places):
     assert small.count() == 3000
 
 
-def test_hot_key_is_spread(facts, places):
-    joined = j.salted_join(facts, places, ["Location"], shares=16)
-    assert joined.where("Location = 'hot'").count() == 1000
-    shares = facts.where("Location = 'hot'").selectExpr("pmod(xxhash64(id, Location), 16) AS s").groupBy("s").count()
-    assert shares.count() == 16
-    assert shares.selectExpr("max(count)").collect()[0][0] < 150
+def test_hot_keys_are_the_frequent_ones(facts):
+    assert {r[0] for r in j.hot_keys(facts, ["Location"], one_in=10).collect()} == {"hot"}
+    assert {r[0] for r in j.hot_keys(facts, ["Location"], one_in=2).collect()} == set()
+
+
+@pytest.mark.parametrize("listed", [True, False])
+def test_hot_key_and_null_are_spread(facts, places, listed):
+    hot = j.hot_keys(facts, ["Location"], one_in=10) if listed else None
+    joined = j.salted_join(facts, places, ["Location"], shares=16, hot=hot)
+    assert rows(joined) == rows(facts.join(places, "Location", "left"))
+    per_task = facts.selectExpr("*", f"{j.share_of(facts.columns, 16)} AS s").groupBy("Location", "s").count()
+    for key in ("Location = 'hot'", "Location IS NULL"):
+        assert per_task.where(key).count() == 16
+        assert per_task.where(key).selectExpr("max(count)").collect()[0][0] < 150
 
 
 def test_null_keys_never_match(facts, places, spark):
