@@ -35,12 +35,13 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def _numbers(df: DataFrame, value: str, below: float | None) -> DataFrame:
+def numbers(df: DataFrame, value: str, below: float | None = None) -> DataFrame:
+    """The values of a column as doubles named _v, null and NaN left out."""
     rows = df.selectExpr(f"CAST({q(value)} AS DOUBLE) AS _v").where("_v IS NOT NULL AND NOT isnan(_v)")
     return rows if below is None else rows.where(f"_v < {lit(float(below))}")
 
 
-def _span(rows: DataFrame) -> Column:
+def value_span(rows: DataFrame) -> Column:
     """struct(lo, hi, n, std) of the values as a scalar subquery: one row, computed once."""
     facts = "named_struct('lo', min(_v), 'hi', max(_v), 'n', count(_v), 'std', stddev_samp(_v))"
     return rows.selectExpr(f"{facts} AS span").scalar()
@@ -69,8 +70,8 @@ def histogram_equal_width(df: DataFrame, value: str, bins: int, below: float | N
 
     A single value gets a range one unit wide around it.
     """
-    rows = _numbers(df, value, below)
-    span = _span(rows)
+    rows = numbers(df, value, below)
+    span = value_span(rows)
     lo, hi = (f"_s.{end} {sign} CASE WHEN _s.lo = _s.hi THEN 0.5D ELSE 0D END" for end, sign in (("lo", "-"), ("hi", "+")))
     edges = [f"{lo} AS _lo", f"{hi} AS _hi"]
     counted = (
@@ -102,8 +103,8 @@ def density_curve(
     that the exponential is zero in double precision, so nothing is left out. As the bandwidth
     shrinks with the number of rows, a value of a large table touches a few points.
     """
-    rows = _numbers(df, value, below)
-    span = _span(rows)
+    rows = numbers(df, value, below)
+    span = value_span(rows)
     shape = [
         "_s.lo AS _lo",
         "_s.std * pow(_s.n, -0.2D) AS _h",

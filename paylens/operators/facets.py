@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paylens.functions.sql import lit, one_of, q
 from paylens.operators.aggregates import category_rank
-from paylens.operators.distributions import bin_of, with_all_bins
+from paylens.operators.distributions import bin_of, numbers, value_span, with_all_bins
 from paylens.operators.stages import add_columns
 
 NOT_GIVEN = "N/A"
@@ -111,23 +111,28 @@ def facet_order(
 
 
 def facet_histogram(
-    df: DataFrame, filters: FilterSet, column: str, lo: float, hi: float, bins: int = 20
+    df: DataFrame, filters: FilterSet, column: str, lo: float | None = None, hi: float | None = None, bins: int = 20
 ) -> DataFrame:
-    """Histogram of a measure over a fixed range for the rows that pass the other filters.
+    """Histogram of a measure for the rows that pass the other filters.
 
-    Values outside the range are ignored.
+    The range is that of all rows, filtered or not, where it is not given; values outside are ignored.
     """
-    lo, hi = float(lo), float(hi)
+    passing = df.where(filters.without(column).passes())
+    if lo is None or hi is None:
+        span = value_span(numbers(df, column))
+        passing = passing.withColumn("_span", span)
+    ends = [f"_span.{name}" if end is None else lit(float(end)) for name, end in (("lo", lo), ("hi", hi))]
     counted = (
-        df.where(filters.without(column).passes())
-        .where(f"{q(column)} BETWEEN {lit(lo)} AND {lit(hi)}")
-        .selectExpr(f"{bin_of(f'CAST({q(column)} AS DOUBLE)', lit(lo), lit(hi), bins)} AS bin")
+        passing.where(f"{q(column)} BETWEEN {ends[0]} AND {ends[1]}")
+        .selectExpr(f"{bin_of(f'CAST({q(column)} AS DOUBLE)', *ends, bins)} AS bin")
         .groupBy("bin")
         .agg(F.expr("count(*) AS count"))
     )
-    return with_all_bins(counted, bins).selectExpr(
-        "bin", f"{lit(lo)} + bin * {lit((hi - lo) / bins)} AS left", "coalesce(count, 0L) AS count"
-    )
+    every = with_all_bins(counted, bins)
+    if lo is None or hi is None:
+        every = every.withColumn("_span", span)
+    left = f"{ends[0]} + bin * (({ends[1]} - {ends[0]}) / {bins})"
+    return every.selectExpr("bin", f"{left} AS left", "coalesce(count, 0L) AS count")
 
 
 def suggest_values(df: DataFrame, column: str, query: str, seq: str, limit: int | None = 10) -> DataFrame:

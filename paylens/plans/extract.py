@@ -9,9 +9,17 @@ from paylens.functions.sql import q
 from paylens.schema import RAW_COLUMNS
 
 
-def extract_cards(cards: DataFrame, ident: str = "id", html: str = "html") -> DataFrame:
-    """One response of 21 text columns per card; what a card lacks is null."""
+def extract_cards(
+    cards: DataFrame, ident: str = "id", html: str = "html", tasks: int | None = None
+) -> DataFrame:
+    """One response of 21 text columns per card; what a card lacks is null.
+
+    A card costs far more to take apart than to move. Where a few large files hold all cards,
+    `tasks` spreads them by id first; with many files leave it out, as then no shuffle is needed.
+    """
     page = q(html)
+    if tasks:
+        cards = cards.repartition(tasks, q(ident))
     stages = [
         {
             "mood": t.tag_attribute(page, "img", "data-original-title", "emoticon"),

@@ -12,7 +12,7 @@ from paylens.sources.literals import literal_table
 
 def read_series(spark: SparkSession, path: str, series_id: str) -> DataFrame:
     """A two-column file `DATE,value` with a header; a blank value is null."""
-    raw = spark.read.schema("date date, value double").option("header", True).csv(path)
+    raw = spark.read.schema("date date, value double").option("header", True).option("mode", "FAILFAST").csv(path)
     return as_series(raw, series_id, "date", "value")
 
 

@@ -78,6 +78,13 @@ def test_card(spark):
     assert {k: v for k, v in empty.items() if v is not None} == {"id": "18", "Licensed": "No"}
 
 
+def test_spread_cards_give_the_same(spark):
+    df = spark.range(40).selectExpr("CAST(id AS STRING) AS id").crossJoin(spark.createDataFrame([(CARD,)], "html string")).coalesce(1)
+    spread = extract_cards(df, tasks=6)
+    assert spread.rdd.getNumPartitions() > 1
+    assert rows(spread) == rows(extract_cards(df))
+
+
 @pytest.mark.parametrize(
     "text, wanted",
     [

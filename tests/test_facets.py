@@ -68,6 +68,17 @@ def test_facet_histogram(people):
     assert got == wanted
 
 
+def test_facet_histogram_over_the_range_of_all_rows(people):
+    got = [(r["left"], r["count"]) for r in f.facet_histogram(people, FILTERS, "pay", bins=4).orderBy("bin").collect()]
+    lo, hi = min(d[4] for d in DATA), max(d[4] for d in DATA)
+    width, wanted = (hi - lo) / 4, [0] * 4
+    for d in DATA:
+        if passes(d, "pay"):
+            wanted[min(int((d[4] - lo) / width), 3)] += 1
+    assert [n for _, n in got] == wanted
+    assert [x for x, _ in got] == pytest.approx([lo + i * width for i in range(4)])
+
+
 def test_range_opens_near_the_cap(people):
     assert f.value_range("pay", 1.0, 999.5, cap=1000.0) == "`pay` >= 1.0D"
     assert "BETWEEN" in f.value_range("pay", 1.0, 999.0, cap=1000.0)
