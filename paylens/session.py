@@ -35,7 +35,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
         return named
-    if not sc.master.startswith("local"):
+    if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     own = tempfile.mkdtemp(prefix="paylens-checkpoint-")
     sc.setCheckpointDir(own)

@@ -42,7 +42,7 @@ def differences(spark_df, con, sql: str) -> list[str]:
     if sorted(names) != sorted(spark_df.columns):
         return [f"columns {sorted(spark_df.columns)} against {sorted(names)}"]
     spark_kinds = dict(spark_df.dtypes)
-    family = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+    family = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "int": "INTEGER"}
     for name, kind in zip(names, kinds):
         if family.get(spark_kinds[name], spark_kinds[name]) not in (kind, {"NUMBER": "BIGINT", "STRING": "VARCHAR"}.get(kind)):
             found.append(f"type of {name}: {spark_kinds[name]} against {kind}")

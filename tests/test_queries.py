@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from paylens.workloads import catalog
 from tests.oracle import connect, differences
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -16,10 +17,10 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, duck, name):
     assert differences(contract.queries()[name](spark, FOLDER), duck, contract.oracle_sql()[name]) == []
 
