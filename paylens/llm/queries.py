@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.llm.line_frequency import quality_rules
+from paylens.llm.minhash import near_duplicates
 from paylens.llm.mixing import plan_mix
 from paylens.llm.packing import pack
 from paylens.llm.tables import table
@@ -19,6 +20,13 @@ def op2_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id", F.expr("coalesce(id = component_id, FALSE)").alias("kept")
+    )
+
+
 def op8_fair_queue_mixing(spark: SparkSession, folder: str) -> DataFrame:
     planned = plan_mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "finish")
@@ -105,6 +113,7 @@ FROM f LEFT JOIN taken USING (k, rank, cum)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_line_frequency": (op2_line_frequency, OP2_SQL),
+    "op4_tensored_minhash": (op4_tensored_minhash, None),
     "op8_fair_queue_mixing": (op8_fair_queue_mixing, OP8_SQL),
     "op10_length_buckets": (op10_length_buckets, None),
 }
