@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylens.llm.huffman import crc32_of_ids, read_ids, write_ids
 from paylens.llm.line_frequency import quality_rules
 from paylens.llm.minhash import near_duplicates
 from paylens.llm.mixing import plan_mix
 from paylens.llm.packing import pack
 from paylens.llm.tables import table
+from paylens.session import ensure_checkpoint_dir
 
 
 def op2_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +30,14 @@ def op4_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
+    write_ids(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return crc32_of_ids(read_ids(spark, path)).withColumnRenamed("id", "doc_id")
+
+
 def op8_fair_queue_mixing(spark: SparkSession, folder: str) -> DataFrame:
     planned = plan_mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "finish")
@@ -114,6 +125,7 @@ FROM f LEFT JOIN taken USING (k, rank, cum)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_line_frequency": (op2_line_frequency, OP2_SQL),
     "op4_tensored_minhash": (op4_tensored_minhash, None),
+    "op7_huffman_ids": (op7_huffman_ids, None),
     "op8_fair_queue_mixing": (op8_fair_queue_mixing, OP8_SQL),
     "op10_length_buckets": (op10_length_buckets, None),
 }
