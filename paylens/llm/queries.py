@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens.llm.huffman import crc32_of_ids, read_ids, write_ids
+from paylens.llm.language import CONFIDENT, address_parts, declared_language, fit_text, identify, visible_text
 from paylens.llm.line_frequency import quality_rules
 from paylens.llm.minhash import near_duplicates
 from paylens.llm.mixing import plan_mix
 from paylens.llm.packing import pack
 from paylens.llm.tables import table
+from paylens.llm.toxicity import fit_chain, predict
 from paylens.session import ensure_checkpoint_dir
 
 
@@ -30,6 +32,12 @@ def op4_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_classifier_chain(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chain = fit_chain(docs, table(spark, folder, "labels"))
+    return predict(docs, chain).select("doc_id", "p_low_quality", "p_toxic", "is_toxic", F.expr("NOT is_toxic AS kept"))
+
+
 def op7_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +51,26 @@ def op8_fair_queue_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "finish")
 
 
+def op9_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with their markup and address, and documents with their declared language and source as the host."""
+    docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    languages, logs = fit_text(docs)
+    host, domain, hint = address_parts(F.col("url"))
+    none = F.lit(None)
+    rows = pages.select(
+        none.cast("long").alias("doc_id"), "page_id", host.alias("host"), domain.alias("domain"),
+        declared_language(F.col("html")).alias("declared"), hint.alias("hint"), visible_text(F.col("html")).alias("body"),
+    ).unionByName(
+        docs.select(
+            "doc_id", none.cast("long").alias("page_id"), F.col("source").alias("host"), F.lit("documents").alias("domain"),
+            F.lower("lang").alias("declared"), none.cast("string").alias("hint"), F.col("text").alias("body"),
+        )
+    )
+    found = identify(rows, languages, logs)
+    sure = F.coalesce(F.col("confidence") >= CONFIDENT, F.lit(False))
+    return found.select("doc_id", "page_id", "host", "declared", "hint", "text_lang", "lang", "confidence", sure.alias("kept"))
+
+
 def op10_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     packed = pack(table(spark, folder, "documents").select("doc_id", "text"))
     return packed.select("doc_id", "length", "bucket", "boundary", "batch", "slot", "padding")
@@ -125,8 +153,10 @@ FROM f LEFT JOIN taken USING (k, rank, cum)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_line_frequency": (op2_line_frequency, OP2_SQL),
     "op4_tensored_minhash": (op4_tensored_minhash, None),
+    "op5_classifier_chain": (op5_classifier_chain, None),
     "op7_huffman_ids": (op7_huffman_ids, None),
     "op8_fair_queue_mixing": (op8_fair_queue_mixing, OP8_SQL),
+    "op9_language_fusion": (op9_language_fusion, None),
     "op10_length_buckets": (op10_length_buckets, None),
 }
 
