@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylens.llm.html_text import extract
 from paylens.llm.huffman import crc32_of_ids, read_ids, write_ids
 from paylens.llm.language import CONFIDENT, address_parts, declared_language, fit_text, identify, visible_text
 from paylens.llm.line_frequency import quality_rules
@@ -25,6 +26,11 @@ def op2_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_page_differencing(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+
+
 def op4_tensored_minhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select(
@@ -152,6 +158,7 @@ FROM f LEFT JOIN taken USING (k, rank, cum)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_line_frequency": (op2_line_frequency, OP2_SQL),
+    "op3_page_differencing": (op3_page_differencing, None),
     "op4_tensored_minhash": (op4_tensored_minhash, None),
     "op5_classifier_chain": (op5_classifier_chain, None),
     "op7_huffman_ids": (op7_huffman_ids, None),
