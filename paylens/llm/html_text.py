@@ -104,7 +104,7 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
                     del parts[inline:]
             elif skip and skipping in _IMPLIED and name in _BLOCKS and name not in _IMPLIED:
                 skip = 0
-            if not skip and article and name in ("article", "main"):
+            elif not skip and article and name in ("article", "main"):
                 article -= 1
             continue
         if name in _EMPTY or m[4].endswith("/"):
