@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylens.llm.hnsw import near_vectors
 from paylens.llm.html_text import extract
 from paylens.llm.huffman import crc32_of_ids, read_ids, write_ids
 from paylens.llm.language import CONFIDENT, address_parts, declared_language, fit_text, identify, visible_text
@@ -44,6 +45,13 @@ def op5_classifier_chain(spark: SparkSession, folder: str) -> DataFrame:
     return predict(docs, chain).select("doc_id", "p_low_quality", "p_toxic", "is_toxic", F.expr("NOT is_toxic AS kept"))
 
 
+def op6_hnsw_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component_id").cast("long").alias("component_id"), F.expr("coalesce(id = component_id, FALSE)").alias("kept")
+    )
+
+
 def op7_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -161,6 +169,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_page_differencing": (op3_page_differencing, None),
     "op4_tensored_minhash": (op4_tensored_minhash, None),
     "op5_classifier_chain": (op5_classifier_chain, None),
+    "op6_hnsw_neighbours": (op6_hnsw_neighbours, None),
     "op7_huffman_ids": (op7_huffman_ids, None),
     "op8_fair_queue_mixing": (op8_fair_queue_mixing, OP8_SQL),
     "op9_language_fusion": (op9_language_fusion, None),
