@@ -289,8 +289,10 @@ def _shards(least: float):
                 if kinds[a] == 0:
                     shard.node.append(node), shard.raw.append(raw), shard.copies.append(rows.column("copies").to_numpy())
                     continue
-                if not shard.node or (shard.graph is None and shard.build() is not None):
-                    continue
+                if shard.graph is None:
+                    if not shard.node:
+                        continue
+                    shard.build()
                 for i in range(0, b - a, BATCH):
                     got = shard.answer(node[i : i + BATCH], raw[i : i + BATCH])
                     if len(got[0]):
