@@ -16,11 +16,16 @@ from paylens.llm.line_frequency import quality_rules
 from paylens.llm.minhash import near_duplicates
 from paylens.llm.mixing import plan_mix
 from paylens.llm.packing import pack
+from paylens.llm.suffixes import remove_repeats
 from paylens.llm.tables import table
 from paylens.llm.toxicity import fit_chain, predict
 from paylens.session import ensure_checkpoint_dir
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), with_text=False)
+
+
 def op2_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept"
@@ -165,6 +170,7 @@ FROM f LEFT JOIN taken USING (k, rank, cum)
 """
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_line_frequency": (op2_line_frequency, OP2_SQL),
     "op3_page_differencing": (op3_page_differencing, None),
     "op4_tensored_minhash": (op4_tensored_minhash, None),
