@@ -140,16 +140,18 @@ def plan_mix(
     )
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, in parts sorted by finish time."""
-    planned = plan_mix(docs, **options)
-    columns = [col(c) for c in docs.columns]
-    finish, again = fresh(docs, "_finish", "_again")
-    repeated = planned.where("copies > 0").select(
-        *columns,
-        F.col("finish").alias(finish),
-        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias(again),
-        F.col("source_size") / F.col("target"),
+def mix(
+    docs: DataFrame, text: str = "text", source: str = "source", identity: Sequence[str] = ("doc_id", "text"), **options
+) -> DataFrame:
+    """The mix itself, with the columns of `docs`: each document as often as it is taken, in parts sorted by finish time."""
+    names = [f"_identity{i}" for i in range(len(identity))]
+    rows = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("_doc"),
+        col(text).alias("_text"),
+        col(source).alias("_source"),
+        *[col(c).alias(n) for c, n in zip(identity, names)],
     )
-    when = F.col(finish) + F.col(again) * col(repeated.columns[-1])
-    return repeated.withColumn(finish, when).repartitionByRange(finish).sortWithinPartitions(finish).select(*columns)
+    planned = plan_mix(rows, "_text", "_source", names, **options).where("copies > 0")
+    repeated = planned.select("_doc", "finish", "source_size", "target", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("again"))
+    timed = repeated.select("_doc", (F.col("finish") + F.col("again") * F.col("source_size") / F.col("target")).alias("_time"))
+    return timed.repartitionByRange("_time").sortWithinPartitions("_time").select("_doc.*")
