@@ -30,7 +30,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, rounds: i
     Sources are numbered by code point, null last, and weigh `weights` in turn. A target ends at
     `rounds` times the size; what is left over goes to the others by weight until none is above.
     Sources reach their ceiling in order of ceiling / weight, so one pass over that order finds the
-    level. One row per source: a table of sources, not of documents, is what meets in one task.
+    level: the first that fits, which is the highest, as each further source at its ceiling lowers it. One row per source: a table of sources, not of documents, is what meets in one task.
     """
     by_name = W.orderBy(F.col("src").asc_nulls_last())
     turn = F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("rank") % len(weights) + 1)
@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, rounds: i
         "level", left / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
     )
     fits = F.when(F.col("level") <= F.col("ceiling") / F.col("weight"), F.col("level"))
-    return leveled.withColumn("level", F.min(fits).over(every)).select(
+    return leveled.withColumn("level", F.max(fits).over(every)).select(
         "src",
         "source_size",
         "rank",

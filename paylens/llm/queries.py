@@ -151,7 +151,7 @@ WITH d AS (
          / sum(weight) OVER (ORDER BY ceiling / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM c
 ), t AS (
-  SELECT source, rank, source_size, least(ceiling, coalesce(min(CASE WHEN level <= ceiling / weight THEN level END) OVER (), 0) * weight) AS target
+  SELECT source, rank, source_size, least(ceiling, coalesce(max(CASE WHEN level <= ceiling / weight THEN level END) OVER (), 0) * weight) AS target
   FROM l
 ), f AS (
   SELECT doc_id, k, size, rank, CAST(source_size AS BIGINT) AS source_size, target,
