@@ -4,8 +4,8 @@ Two collections of HALVES half-keys are computed, each half-key made of HALF min
 half-key of the first collection with one of the second: HALVES ** 2 tables from 2 * HALVES * HALF minhashes. At a
 similarity of s a pair meets in some table with probability (1 - (1 - s ** HALF) ** HALVES) ** 2: 0.9995 at 0.85 with
 the settings here. Documents with the same shingles are one class from the start. In each table a class is
-checked against the table's least class; classes of a table that are still in different components
-after that are checked against each other. All checks are on full shingle sets.
+checked against the table's central class. Classes that are then still in a table with classes of other
+components go through a prefix filter, which loses no similar pair. All checks are on full shingle sets.
 """
 
 from __future__ import annotations
@@ -107,6 +107,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _prefix_pairs(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (node, root, set) with different roots that may be similar enough; loses none.
+
+    Shingles are ordered from rare to frequent. Similar sets share one of their first size - ceil(size * percent / 100) + 1
+    shingles, and the first that they share leaves enough behind it on both sides for the overlap that is needed. A set
+    with so many shingles of its own has no partner at all.
+    """
+    sized = nodes.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("s"))
+    known = sized.groupBy(F.col("s").alias("s2")).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = sized.join(known, F.col("s") == F.col("s2")).select("node", "root", "n", "s", "df")
+    mine = W.partitionBy("node")
+    ranked = shared.withColumn("own", F.col("n") - F.count(F.lit(1)).over(mine)).withColumn(
+        "at", F.col("own") + F.row_number().over(mine.orderBy("df", "s"))
+    )
+    first = ranked.where(f"at <= n - ceil(n * {percent} / 100) + 1").select("s", "node", "root", "n", "at")
+    x, y = first.toDF("s", "a", "ra", "na", "pa"), first.toDF("s", "b", "rb", "nb", "pb")
+    enough = F.expr(f"{100 + percent} * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb)")
+    pairs = x.join(y, "s").where((F.col("ra") < F.col("rb")) & enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -140,9 +161,9 @@ def near_duplicates(
     halves_of = classes.select("node", F.posexplode(F.array(*names)).alias("at", "v"))
     shared = halves_of.groupBy(F.col("at").alias("at2"), F.col("v").alias("v2")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     alive = (
-        halves_of.join(shared, (F.col("at") == F.col("at2")) & (F.col("v") == F.col("v2")), "left_semi")
+        halves_of.join(shared, (F.col("at") == F.col("at2")) & (F.col("v") == F.col("v2")))
         .groupBy("node")
-        .agg(F.sum(F.pow(F.lit(2.0), F.col("at")).cast("long")).alias("bits"))
+        .agg(F.sum(F.pow(F.lit(2.0), F.col("at")).cast("long")).alias("bits"), F.sum("k").alias("known"))
     )
     bit = lambda i: F.shiftright("bits", i).bitwiseAND(F.lit(1)) == 1
     tables = [
@@ -150,10 +171,12 @@ def near_duplicates(
         for i in range(halves)
         for j in range(halves)
     ]
-    keyed = classes.join(alive, "node").select("node", "n", F.explode(F.array_compact(F.array(*tables))).alias("t"))
-    least = keyed.groupBy(F.col("t").alias("t2")).agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    met = stored(keyed.join(least, F.col("t") == F.col("t2")).select("t", "node", "n", "a"))
-    starred = stored(met.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    keyed = classes.join(alive, "node").select("node", "known", F.explode(F.array_compact(F.array(*tables))).alias("t"))
+    # the class that most others share half-keys with stands in the middle of its table
+    centre = keyed.groupBy(F.col("t").alias("t2")).agg(F.max(F.struct("known", (-F.col("node")).alias("m"))).alias("c"), F.count(F.lit(1)).alias("k"))
+    centre = centre.where("k > 1").select("t2", (-F.col("c.m")).alias("a"))
+    met = stored(keyed.join(centre, F.col("t") == F.col("t2")).select("t", "node", "a"))
+    starred = stored(met.where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
 
     wanted = starred.select(F.col("a").alias("node")).union(starred.select("b")).distinct().join(classes.select("node", "one"), "node")
     wanted = wanted.select("node", F.col("one.id").alias("id2"), F.col("one.th").alias("th2"))
@@ -164,13 +187,11 @@ def near_duplicates(
     links = stored(_confirmed(starred, sets, percent))
     roots = components(links)
 
-    # pairs of a table that the first links leave in different components
-    placed = met.join(roots, "node", "left").select("t", "node", "n", F.coalesce("root", "node").alias("root"))
+    # classes that the first links leave in a table with classes of other components
+    placed = met.join(roots, "node", "left").select("t", "node", F.coalesce("root", "node").alias("root"))
     open_tables = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    rest = stored(placed.join(open_tables, "t", "left_semi"))
-    x, y = rest.toDF("t", "a", "na", "ra"), rest.toDF("t", "b", "nb", "rb")
-    near = (F.col("ra") < F.col("rb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    across = x.join(y, "t").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = placed.join(open_tables, "t", "left_semi").select("node", "root").distinct()
+    across = _prefix_pairs(rest.join(sets, "node"), percent)
     more = _confirmed(across.join(starred, ["a", "b"], "left_anti"), sets, percent)
     roots = components(links.union(more))
 
