@@ -7,7 +7,7 @@ decoder starts at all checkpoints of a block at once and steps through a table o
 
 from __future__ import annotations
 
-import sys
+import os
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from paylens.llm.hashing import blocks, mix64, prefix_hashes, range_hashes, words
 from paylens.llm.tables import col
 from paylens.session import stored
 
@@ -28,7 +29,7 @@ BLOCK = 1 << 16
 END = 0
 
 BLOCK_SCHEMA = (
-    "shard int, block int, doc_ids array<{kind}>, doc_tokens array<long>, n_tokens long, checkpoints array<long>, payload binary"
+    "shard int, block int, before long, doc_ids array<{kind}>, doc_tokens array<long>, n_tokens long, checkpoints array<long>, payload binary"
 )
 
 
@@ -134,169 +135,225 @@ def lane_counts(n: int, stride: int = STRIDE) -> np.ndarray:
     return np.diff(np.append(np.arange(0, n, stride), n))
 
 
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[c for c in range(128) if chr(c).isalnum()]] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = True
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+
+
+_WIDE = np.zeros(256, dtype=bool)
+_WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+# pieces are found again by the first bits of their hash
+_BITS = 21
+
+
+def plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows that have no other white space than single spaces and single line ends between other text."""
+    blank = _BLANK[data]
+    odd = blank & (data != 0x20) & (data != 0x0A)
+    odd[1:] |= blank[1:] & blank[:-1]
+    filled = offsets[:-1] < offsets[1:]
+    odd[offsets[:-1][filled]] |= blank[offsets[:-1][filled]]
+    odd[offsets[1:][filled] - 1] |= blank[offsets[1:][filled] - 1]
+    # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+    at = np.flatnonzero(_WIDE[data[:-2]]) if len(data) > 2 else np.zeros(0, dtype=np.int64)
+    x, y, z = data[at], data[at + 1], data[at + 2]
+    wide = (x == 0xC2) & ((y == 0x85) | (y == 0xA0)) | (x == 0xE1) & (y == 0x9A) & (z == 0x80) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+    wide |= (x == 0xE2) & ((y == 0x80) & ((z <= 0x8A) | np.isin(z, [0xA8, 0xA9, 0xAF])) | (y == 0x81) & (z == 0x9F))
+    odd[at[wide]] = True
+    odd[-2:] |= data[-2:] == 0xC2
+    plain = filled.copy()
+    plain[np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1] = False
+    return plain
+
+
 class Pieces:
-    """Ids of texts by way of their pieces between single spaces and line ends.
+    """Ids of texts by way of their pieces.
 
-    The tokenizer never joins text across a single space or line end that has other text on both sides, so each
-    distinct piece is encoded once by the library. Texts with other white space go to it whole. At
-    most `most` pieces are remembered.
+    The tokenizer never joins text across a single space or line end that has other text on both sides, nor a letter or
+    digit with punctuation after it. So each distinct word (with its space) and each run of punctuation at a
+    word's end is encoded by the library once, many in one text of lines, and its ids are looked up by hash from then on. Texts
+    with other white space go to the library whole. At most `most` pieces are remembered, in arrays.
     """
 
-    ODD = [*"\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)), "  ", "\n\n", " \n", "\n "]
-
-    def __init__(self, tokenizer: str, most: int = 600_000):
+    def __init__(self, tokenizer: str, most: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(tokenizer), most
         self.tokenizer.encode_special_tokens = True
+        self.line = self.library(["\n"])[0]
+        self.by_piece = len(self.line) == 1 and self.library(["a\n b.\nc"])[0].count(self.line[0]) == 2
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        """Forget all but the line end, which parts the pieces when others are learned."""
+        self.known, self.number = np.zeros(1 << _BITS, dtype=np.uint64), np.zeros(1 << _BITS, dtype=np.int32)
+        self.flat, self.start, self.size = np.array(self.line[:1], dtype=np.uint32), np.array([0], dtype=np.int32), np.array([1], dtype=np.int32)
+
+    @staticmethod
+    def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        size = (ends - starts).astype(np.uint64)
+        return mix64(range_hashes(prefix_hashes(data), starts, ends) + np.uint64(3) * size + kinds.astype(np.uint64))
 
     def library(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        for piece, ids in zip(pieces, self.library([p[1:] if p[0] == "\n" and len(p) > 1 else p if p[0] == "\n" else " " + p for p in pieces])):
-            i = len(self.index)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if i == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[i], self.size[i] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[piece] = i
-
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.index) > self.most:
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Numbers of new pieces. A piece whose place is wanted by another is forgotten, and learned anew when it is met."""
+        lines = ["\n".join(pieces[i : i + 512]) for i in range(0, len(pieces), 512)]
+        flat = np.concatenate([np.array([*ids, *self.line], dtype=np.uint32) for ids in self.library(lines)])
+        ends = np.flatnonzero(flat == self.line[0])
+        size = np.diff(np.concatenate([[-1], ends])) - 1
+        flat = np.delete(flat, ends)
+        first, base = len(self.size), len(self.flat)
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size.astype(np.int32)])
+        self.start = np.concatenate([self.start, (base + np.cumsum(size) - size).astype(np.int32)])
+        place = (keys >> np.uint64(64 - _BITS)).astype(np.int64)
+        self.known[place], self.number[place] = keys, first + np.arange(len(keys), dtype=np.int32)
+        return first + np.arange(len(keys), dtype=np.int32)
+
+    def _items(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Start, end, kind and row of all pieces: kind 0 after a space, 1 at a line's begin or a word's end, 2 a line end."""
+        starts, ends, first = words(data, offsets)
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        begin = np.zeros(len(starts), dtype=bool)
+        begin[first[:-1][np.diff(first) > 0]] = True
+        line = ~begin & (data[starts - 1] == 0x0A)
+        # the end of the last letter or digit before a word's closing run of marks
+        core = ends.copy()
+        marked = np.flatnonzero(_MARK[data[ends - 1]])
+        while len(marked):
+            core[marked] -= 1
+            marked = marked[core[marked] > starts[marked]]
+            marked = marked[_MARK[data[core[marked] - 1]]]
+        tail = (core < ends) & (core > starts) & _ALNUM[data[core - 1]]
+        core = np.where(tail, core, ends)
+        at = np.cumsum(1 + line + tail) - 1 - tail  # where each word goes
+        total = int(at[-1] + 1 + tail[-1]) if len(at) else 0
+        s, e, k, r = (np.empty(total, dtype=t) for t in (np.int64, np.int64, np.uint8, np.int64))
+        for place, values in ((at, (starts, core, np.where(begin | line, 1, 0), row)), (at[line] - 1, (starts[line] - 1, starts[line], 2, row[line])), (at[tail] + 1, (core[tail], ends[tail], 1, row[tail]))):
+            for out, value in zip((s, e, k, r), values):
+                out[place] = value
+        return s, e, k, r
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row of a block of UTF-8 texts."""
+        if len(self.size) > self.most:
             self.clear()
-        out: list = [None] * len(texts)
-        pieces, counts, plain, odd = [], [], [], []
-        for i, text in enumerate(texts):
-            if not text or text[0] in " \n" or text[-1] in " \n" or any(c in text for c in self.ODD):
-                odd.append(i)
-            else:
-                own = ("\n" + text.replace("\n", " \n \n")).split(" ")
-                pieces += own
-                counts.append(len(own))
-                plain.append(i)
-        for i, ids in zip(odd, self.library([texts[i] for i in odd])):
+        out: list = [np.zeros(0, dtype=np.uint32)] * (len(offsets) - 1)
+        plain = plain_rows(data, offsets) if self.by_piece else np.zeros(len(out), dtype=bool)
+        odd = np.flatnonzero(~plain & (offsets[1:] > offsets[:-1]))
+        for i, ids in zip(odd.tolist(), self.library([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in odd.tolist()])):
             out[i] = np.array(ids, dtype=np.uint32)
-        self.learn(list(set(pieces) - self.index.keys()))
-        at = np.fromiter(map(self.index.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        size = self.size[at]
+        if not plain.any():
+            return out
+        s, e, kind, row = self._items(data, offsets)
+        use = plain[row]
+        s, e, kind, row = s[use], e[use], kind[use], row[use]
+        keys = self._keys(data, s, e, kind)
+        place = (keys >> np.uint64(64 - _BITS)).astype(np.int64)
+        number = np.where(kind == 2, 0, self.number[place])
+        missing = np.flatnonzero((self.known[place] != keys) & (kind != 2))
+        if len(missing):
+            new, at, inverse = np.unique(keys[missing], return_index=True, return_inverse=True)
+            at = missing[at]
+            raw, found = data.tobytes(), zip(s[at].tolist(), e[at].tolist(), kind[at].tolist())
+            learned = self._learn(new, [raw[a:b].decode() if k else " " + raw[a:b].decode() for a, b, k in found])
+            number[missing] = learned[inverse]
+        size = self.size[number].astype(np.int64)
         ends = np.cumsum(size)
-        flat = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - size), size)]
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        for i, a, b in zip(plain, cut[:-1], cut[1:]):
-            out[i] = flat[a:b]
+        flat = self.flat[np.arange(int(ends[-1])) + np.repeat(self.start[number] - (ends - size), size)]
+        bound = np.concatenate([[0], ends])[np.searchsorted(row, np.arange(len(out) + 1))]
+        for i in np.flatnonzero(plain).tolist():
+            out[i] = flat[bound[i] : bound[i + 1]]
+        return out
+
+    def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null is empty."""
+        out = []
+        for _, data, offsets in blocks(pa.array([t if t is None else t.encode() for t in texts], type=pa.binary())):
+            out += self.encode_rows(data, offsets)
         return out
 
 
 def _worker_pieces(tokenizer: str) -> Pieces:
     """The pieces of this Python worker, kept from task to task."""
-    held = vars(sys.modules["tokenizers"]).setdefault("_pieces_by_file", {})
+    # a task has one core; threads of the library would each hold memory of their own
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_pieces_by_file", {})
     if tokenizer not in held:
         held[tokenizer] = Pieces(tokenizer)
     return held[tokenizer]
 
 
-def _runs(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts of about `most` characters, null as empty."""
-    run, size = [], 0
-    for text in column:
-        run.append(text.as_py() or "")
-        size += len(run[-1])
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
-def _tokenize(tokenizer: str, lengths: np.ndarray):
-    """Rows (id, text) to (id, n, at, ids, count): ids in a working code; the last row of a task has its counts."""
+def _tokenize(tokenizer: str, size: int):
+    """Rows (id, text) to (id, n, ids, count): ids compressed; the last row of a task has its counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tokenizers  # noqa: F401
+        import zstandard
 
-        pieces, codes = _worker_pieces(tokenizer), canonical_codes(lengths)
-        counts = np.zeros(len(lengths), dtype=np.int64)
-        kind = None
+        pieces, pack, kind = _worker_pieces(tokenizer), zstandard.ZstdCompressor(level=1), None
+        counts = np.zeros(size, dtype=np.int64)
+        names = ["id", "n", "ids", "count"]
         for batch in batches:
-            kind, done = batch.column("id").type, 0
-            for texts in _runs(batch.column("text")):
-                each = [np.append(ids, np.uint32(END)) for ids in pieces.encode(texts)]
-                counts += np.bincount(np.concatenate(each), minlength=len(counts))
-                coded = [encode(ids, codes, lengths) for ids in each]
+            kind = batch.column("id").type
+            for done, data, offsets in blocks(batch.column("text")):
+                each = [np.append(ids, np.uint32(END)) for ids in pieces.encode_rows(data, offsets)]
+                counts += np.bincount(np.concatenate(each), minlength=size)
                 columns = [
-                    batch.column("id").slice(done, len(texts)),
+                    batch.column("id").slice(done, len(each)),
                     pa.array([len(ids) for ids in each], type=pa.int64()),
-                    pa.array([at for _, at in coded], type=pa.list_(pa.int64())),
-                    pa.array([payload for payload, _ in coded], type=pa.binary()),
-                    pa.nulls(len(texts), pa.list_(pa.int64())),
+                    pa.array([pack.compress(ids.astype(_stored_type(size)).tobytes()) for ids in each], type=pa.binary()),
+                    pa.nulls(len(each), pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "at", "ids", "count"])
-                done += len(texts)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
         if kind is not None:
-            columns = [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.binary()), pa.array([counts], type=pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "at", "ids", "count"])
+            columns = [pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], type=pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _groups(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about `most` ids."""
-    first, size = 0, 0
-    for i, n in enumerate(batch.column("n").to_pylist()):
-        size += n
-        if size >= most:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(batch):
-        yield first, len(batch)
+def _stored_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def _recode(working: np.ndarray, lengths: np.ndarray, block: int, stride: int):
-    """Rows (id, n, at, ids) in order to blocks in the final code."""
+def _recode(lengths: np.ndarray, block: int, stride: int):
+    """Rows (id, n, ids) in order to blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, codes = decode_table(working), canonical_codes(lengths)
-        shard, number, held, size, kind = TaskContext.get().partitionId(), 0, [], 0, None
+        import zstandard
+
+        codes, unpack = canonical_codes(lengths), zstandard.ZstdDecompressor()
+        shard, number, before, held, size, kind = TaskContext.get().partitionId(), 0, 0, [], 0, None
 
         def block_of(parts: list) -> pa.RecordBatch:
-            ids = np.concatenate([p[2] for p in parts])
+            ids = np.concatenate([x for _, x in parts])
             payload, at = encode(ids, codes, lengths, stride)
             columns = [
                 pa.array([shard], type=pa.int32()),
                 pa.array([number], type=pa.int32()),
-                pa.array([[x for p in parts for x in p[0]]], type=pa.list_(kind)),
-                pa.array([np.concatenate([p[1] for p in parts])], type=pa.list_(pa.int64())),
+                pa.array([before], type=pa.int64()),
+                pa.array([[x for x, _ in parts]], type=pa.list_(kind)),
+                pa.array([[len(x) for _, x in parts]], type=pa.list_(pa.int64())),
                 pa.array([len(ids)], type=pa.int64()),
                 pa.array([at], type=pa.list_(pa.int64())),
                 pa.array([payload], type=pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "doc_ids", "doc_tokens", "n_tokens", "checkpoints", "payload"])
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "before", "doc_ids", "doc_tokens", "n_tokens", "checkpoints", "payload"])
 
         for batch in batches:
             kind = batch.column("id").type
-            for a, b in _groups(batch, block):
-                rows = batch.slice(a, b - a)
-                n = rows.column("n").to_numpy()
-                payloads = rows.column("ids").to_pylist()
-                base = np.cumsum([0, *map(len, payloads)])[:-1] * 8
-                at = [x.values.to_numpy() + o for x, o in zip(rows.column("at"), base)]
-                ids = decode(b"".join(payloads), np.concatenate(at), np.concatenate([lane_counts(k) for k in n.tolist()]), table)
-                held.append((rows.column("id").to_pylist(), n, ids))
-                size += len(ids)
+            for key, packed in zip(batch.column("id").to_pylist(), batch.column("ids")):
+                held.append((key, np.frombuffer(unpack.decompress(packed.as_py()), dtype=_stored_type(len(lengths))).astype(np.uint32)))
+                size += len(held[-1][1])
                 if size >= block:
                     yield block_of(held)
-                    number, held, size = number + 1, [], 0
+                    number, before, held, size = number + 1, before + size, [], 0
         if held:
             yield block_of(held)
 
@@ -331,32 +388,26 @@ def write_ids(
     tokenizer_file: str,
     key: str = "doc_id",
     text: str = "text",
-    sample: int = 200,
     block: int = BLOCK,
     stride: int = STRIDE,
     limit: int = LIMIT,
 ) -> None:
     """Encode every text and write its ids, with END after each document, in ascending key order.
 
-    `path`/code holds the code length of every id that occurs, `path`/blocks the blocks; `stride` is in the code
-    table as well. A null text is empty and has the END only; null keys come first; repeated rows are
-    separate documents. Texts are tokenized once: the ids wait in a working code made from at most `sample` documents,
-    which has a word for every id, so that it only affects the size of that intermediate table.
+    `path`/code holds the code length of every id that occurs and the stride, `path`/blocks the blocks. A null text is empty
+    and has the END only; null keys come first; repeated rows are separate documents. Texts are
+    tokenized once, into a table of compressed ids that waits for the code.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         tokenizer = f.read()
-    pieces = Pieces(tokenizer)
-    rows = docs.select(col(key).alias("id"), col(text).alias("text"))
-    seen = np.ones(pieces.tokenizer.get_vocab_size(), dtype=np.int64)
-    for ids in pieces.encode([r["text"] or "" for r in rows.select("text").limit(sample).toLocalIterator()]):
-        seen += 16 * np.bincount(ids, minlength=len(seen))
-    working = code_lengths(seen, limit)
+    size = Pieces(tokenizer).tokenizer.get_vocab_size()
+    rows = docs.select(col(key).alias("id"), col(text).cast("binary").alias("text"))
     kind = rows.dtypes[0][1]
-    coded = stored(rows.mapInArrow(_tokenize(tokenizer, working), f"id {kind}, n long, at array<long>, ids binary, count array<long>"))
+    coded = stored(rows.mapInArrow(_tokenize(tokenizer, size), f"id {kind}, n long, ids binary, count array<long>"))
 
     per_id = coded.where("count IS NOT NULL").select(F.posexplode("count").alias("id", "n")).where("n > 0")
     counted = per_id.groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-    counts = np.zeros(len(seen), dtype=np.int64)
+    counts = np.zeros(size, dtype=np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts, limit)
@@ -365,7 +416,7 @@ def write_ids(
     spark.createDataFrame(code, "id int, length int, stride int").coalesce(1).write.parquet(f"{path}/code")
 
     ordered = coded.where("count IS NULL").drop("count").repartitionByRange("id").sortWithinPartitions("id", "n", "ids")
-    blocks = ordered.mapInArrow(_recode(working, lengths, block, stride), BLOCK_SCHEMA.format(kind=kind))
+    blocks = ordered.mapInArrow(_recode(lengths, block, stride), BLOCK_SCHEMA.format(kind=kind))
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -378,14 +429,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     sizes = blocks.groupBy(F.col("shard").alias("s")).agg(F.sum("n_tokens").alias("n"))
-    before = W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # one row per shard
-    inside = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    slim = blocks.select("shard", "block", "n_tokens").withColumn("own", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    firsts = slim.join(starts, F.col("shard") == F.col("s")).select(
-        F.col("shard").alias("s"), F.col("block").alias("b"), (F.col("base") + F.col("own")).alias("first")
-    )
-    placed = blocks.join(firsts, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b")))
+    earlier = W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)
+    # one row per shard, of which there are as many as tasks that wrote the blocks
+    starts = F.broadcast(sizes.select("s", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")))
+    placed = blocks.join(starts, F.col("shard") == F.col("s")).withColumn("first", F.col("base") + F.col("before"))
     return placed.select("doc_ids", "doc_tokens", "n_tokens", "checkpoints", "payload", "first").mapInArrow(
         _read(lengths, code[0]["stride"] if code else STRIDE), f"id {kind}, start long, n_tokens long, ids array<int>"
     )

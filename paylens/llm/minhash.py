@@ -153,7 +153,7 @@ def near_duplicates(
     classes = stored(
         base.where("n > 0")
         .groupBy("d1", "d2")
-        .agg(F.min(F.struct("id", "th")).alias("one"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in names])
+        .agg(F.min(F.struct("id", "th")).alias("one"), F.min("id").alias("first"), F.min("n").alias("n"), *[F.min(c).alias(c) for c in names])
         .withColumn("node", F.monotonically_increasing_id())
     )
 
@@ -195,7 +195,7 @@ def near_duplicates(
     more = _confirmed(across.join(starred, ["a", "b"], "left_anti"), sets, percent)
     roots = components(links.union(more))
 
-    member = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), F.col("one.id").alias("first"))
+    member = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "first")
     least_id = member.groupBy("root").agg(F.min("first").alias("component_id"))
     found = member.join(least_id, "root").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "component_id")
     here = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n") > 0)

@@ -403,18 +403,15 @@ def remove_repeats(
     partial = sorted_.union(other.select("id", "th", each.cast(spans).alias("spans")))
     partial = partial.groupBy(F.col("id").alias("id3"), F.col("th").alias("th3")).agg(F.collect_list("spans").alias("spans"))
 
-    kept = docs.select(*[col(c) for c in keep], raw.alias("_text"), col(key).alias("_id"), th.alias("_th"))
-    slim = T.StructType([T.StructField(f.name, f.dataType) for f in kept.schema.fields])
-    names = kept.columns
-    kept = kept.toDF(*["text" if c == "_text" else f"c{i}" for i, c in enumerate(names)])
-    shipped = kept.mapInArrow(_compress, kept.schema)
-    i, t = f"c{len(names) - 2}", f"c{len(names) - 1}"
-    marked = shipped.join(full, F.col(i).eqNullSafe(F.col("id2")) & (F.col(t) == F.col("th2")), "left").drop("id2", "th2")
-    marked = marked.join(partial, F.col(i).eqNullSafe(F.col("id3")) & (F.col(t) == F.col("th3")), "left").drop("id3", "th3", i, t)
+    # helper names for all columns, as any name may be taken
     inner = [f"c{k}" for k in range(len(keep))]
-    result = T.StructType([*slim.fields[: len(keep)], *[T.StructField(c, T.LongType()) for c in new[:3]], T.StructField(new[3], T.StringType())])
+    kept = docs.select(*[col(c).alias(k) for c, k in zip(keep, inner)], raw, col(key).alias("ci"), th.alias("ct"))
+    shipped = kept.mapInArrow(_compress, kept.schema)
+    marked = shipped.join(full, F.col("ci").eqNullSafe(F.col("id2")) & (F.col("ct") == F.col("th2")), "left").drop("id2", "th2")
+    marked = marked.join(partial, F.col("ci").eqNullSafe(F.col("id3")) & (F.col("ct") == F.col("th3")), "left").drop("id3", "th3", "ci", "ct")
+    result = T.StructType([T.StructField(k, docs.schema[c].dataType) for c, k in zip(keep, inner)])
+    for c in new:
+        result = result.add(c, T.StringType() if c == "kept_sha256" else T.LongType())
     if with_text:
         result = result.add("text", T.StringType())
-    return marked.mapInArrow(_apply(length, gram, inner, with_text), T.StructType([T.StructField(inner[k], f.dataType) if k < len(keep) else f for k, f in enumerate(result.fields)])).toDF(
-        *[*keep, *new, *([text] if with_text else [])]
-    )
+    return marked.mapInArrow(_apply(length, gram, inner, with_text), result).toDF(*keep, *new, *([text] if with_text else []))

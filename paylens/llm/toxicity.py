@@ -20,11 +20,13 @@ from paylens.llm.hashing import blocks, mix64, prefix_hashes, range_hashes, word
 from paylens.llm.tables import col
 
 # labelled rows a chain is fitted on, at most; the driver holds their features
-SAMPLE = 12_000
+SAMPLE = 8_000
 FOLDS = 5
 SLOTS = 1 << 20
 # features that each model may use, those that tell the classes apart best
 CHOSEN = 8192
+# documents of the sample that a feature must be in
+FEW = 4
 BEGINNINGS = (3, 4, 5, 6)
 # no document is flagged on a probability below this, whatever the held-out rows suggest
 FLOOR = 0.1
@@ -85,14 +87,16 @@ def fit_linear(row: np.ndarray, slot: np.ndarray, y: np.ndarray, before: np.ndar
     start = float(np.log(rate / (1 - rate)))
     if not 0 < positive < n:
         return Linear(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(before.shape[1]), start)
-    used, inverse, seen = np.unique(slot, return_inverse=True, return_counts=True)
-    inside = np.bincount(inverse, weights=y[row], minlength=len(used))
+    seen = np.bincount(slot, minlength=SLOTS)
+    inside = np.bincount(slot[y[row] > 0], minlength=SLOTS)
+    used = np.flatnonzero(seen)
+    seen, inside = seen[used], inside[used]
     expected = seen * rate
     score = np.abs(inside - expected) / np.sqrt(expected * (1 - rate) + 1)
     best = np.sort(np.argsort(-score, kind="stable")[:CHOSEN])
-    place = np.full(len(used), -1)
-    place[best] = np.arange(len(best))
-    at = place[inverse]
+    place = np.full(SLOTS, -1, dtype=np.int32)
+    place[used[best]] = np.arange(len(best))
+    at = place[slot]
     r, f = row[at >= 0], at[at >= 0]
     w, g, b = np.zeros(len(best)), np.zeros(before.shape[1]), start
     vw, vg, vb = w.copy(), g.copy(), b
@@ -185,8 +189,11 @@ def fit_chain(
     lists = got.column("slots").combine_chunks()
     lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
     sizes = np.diff(lists.offsets.to_numpy()) if n else np.zeros(0, dtype=np.int64)
-    slot = lists.flatten().to_numpy().astype(np.int64) if n else np.zeros(0, dtype=np.int64)
-    row = np.repeat(np.arange(n), sizes)
+    slot = lists.flatten().to_numpy() if n else np.zeros(0, dtype=np.int32)
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    # what few documents have cannot be told from chance
+    common = np.bincount(slot, minlength=SLOTS)[slot] >= FEW if n else np.zeros(0, dtype=bool)
+    slot, row = slot[common], row[common]
     truth = np.array(got.column("y").to_pylist(), dtype=float).reshape(n, len(names))
     fold = (np.array(got.column("h").to_pylist(), dtype=np.int64).view(np.uint64) % np.uint64(folds)).astype(int) if n else np.zeros(0, dtype=int)
     apart = np.zeros((n, len(names)))  # out-of-fold probabilities
