@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from paylens.functions.sql import let, lit, one_of
 from paylens.schema import NULL_TEXTS
@@ -60,11 +60,6 @@ def month_from_stamp(e: str) -> str:
 # --- ordered rules over list items ------------------------------------------------------------
 
 
-def last_matching(items: str, rule: str) -> str:
-    """The last item x for which the rule holds, or null."""
-    return f"try_element_at(filter({items}, x -> {rule}), -1)"
-
-
 # The marker words of each field, in the order in which they decide an item.
 FIRM_MARKERS = {
     "firm_size": ["People"],
@@ -81,28 +76,43 @@ PERSON_MARKERS = {
 }
 
 
-def fields_by_marker(items: str, markers: dict[str, list[str]], otherwise: str) -> dict[str, str]:
-    """Last item per field, where the first field with a marker in the item takes it.
+def tagged(items: str, markers: dict[str, list[str]], otherwise: str) -> str:
+    """Each item with the first field that has a marker in it, as struct(tag, x).
 
-    Items without any marker belong to the field `otherwise`; empty items to none.
+    Items without any marker belong to the field `otherwise`; empty items to none. Keep the result in a column:
+    every field is picked from it.
     """
-    fields, earlier = {}, []
-    for name, words in markers.items():
-        mine = " OR ".join(f"contains(x, {lit(w)})" for w in words)
-        rule = " AND ".join([f"({mine})", *[f"NOT ({e})" for e in earlier]])
-        fields[name] = last_matching(items, rule)
-        earlier.append(mine)
-    fields[otherwise] = last_matching(items, " AND ".join(["x <> ''", *[f"NOT ({e})" for e in earlier]]))
-    return fields
+    cases = " ".join(
+        f"WHEN {' OR '.join(f'contains(x, {lit(w)})' for w in words)} THEN {lit(name)}" for name, words in markers.items()
+    )
+    tag = f"CASE {cases} WHEN x <> '' THEN {lit(otherwise)} END"
+    return f"transform({items}, x -> named_struct('tag', {tag}, 'x', x))"
+
+
+def fields_by_tag(tags: str, markers: dict[str, list[str]], otherwise: str) -> dict[str, str]:
+    """Last item per field of tagged items."""
+    return {name: f"try_element_at(filter({tags}, t -> t.tag = {lit(name)}), -1).x" for name in [*markers, otherwise]}
 
 
 def first_token(e: str) -> str:
     return rf"get(split({strip(e)}, r'\s+'), 0)"
 
 
-def firm_fields(items: str) -> dict[str, str]:
-    """Firm facts from unordered list items."""
-    f = fields_by_marker(items, FIRM_MARKERS, "firm_type")
+# The fields of items without a marker.
+FIRM_REST, PERSON_REST = "firm_type", "gender"
+
+
+def firm_tags(items: str) -> str:
+    return tagged(items, FIRM_MARKERS, FIRM_REST)
+
+
+def person_tags(items: str) -> str:
+    return tagged(items, PERSON_MARKERS, PERSON_REST)
+
+
+def firm_fields(tags: str) -> dict[str, str]:
+    """Firm facts from a column of firm_tags."""
+    f = fields_by_tag(tags, FIRM_MARKERS, FIRM_REST)
     return {
         **f,
         "health_insurance": f"CASE WHEN {f['health_insurance']} IS NOT NULL THEN 'Yes' END",
@@ -111,9 +121,9 @@ def firm_fields(items: str) -> dict[str, str]:
     }
 
 
-def person_fields(items: str) -> dict[str, str]:
-    """Person facts from unordered list items."""
-    f = fields_by_marker(items, PERSON_MARKERS, "gender")
+def person_fields(tags: str) -> dict[str, str]:
+    """Person facts from a column of person_tags."""
+    f = fields_by_tag(tags, PERSON_MARKERS, PERSON_REST)
     years = f"CASE WHEN contains(y, '<') THEN '< 1' ELSE {first_token('y')} END"
     return {
         **f,
@@ -133,25 +143,43 @@ def first_with_prefix(items: str, prefix: str) -> str:
 
 
 def _entity_names() -> str:
-    named = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
-    return "str_to_map(" + lit("\x01".join(f"{k}\x02{v}" for k, v in named.items())) + r", '\u0001', '\u0002')"
+    return "str_to_map(" + lit("\x01".join(f"{k}\x02{v}" for k, v in sorted(html5.items()))) + r", '\u0001', '\u0002')"
+
+
+# names that count without a semicolon, the longer before those they begin with
+_BARE = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+# numbers 128 to 159 mean the characters of Windows-1252; five of them have none there
+_WINDOWS = "array(" + ", ".join(lit(bytes([c]).decode("cp1252", errors="ignore") or chr(c)) for c in range(128, 160)) + ")"
 
 
 def decode_entities(e: str) -> str:
-    """Character references, named or numeric, as characters; unknown ones stay as written.
+    """Character references as HTML 5 reads them, named or numeric; unknown ones stay as written.
 
-    The text is cut at each "&" and every piece is decoded by itself, so nothing is decoded twice.
+    Some names need no semicolon, the longest known one counts. A number that is no character gives U+FFFD. The text
+    is cut at each "&" and every piece is decoded by itself, so nothing is decoded twice.
     """
-    reference = r"regexp_extract(piece, '^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);', 1)"
-    number = """CAST(CASE WHEN ref RLIKE '^#[xX]' THEN conv(substr(ref, 3), 16, 10)
-        WHEN startswith(ref, '#') THEN substr(ref, 2) END AS BIGINT)"""
-    character = f"""coalesce(
-        {let(number, 'code', "CASE WHEN code BETWEEN 1 AND 1114111 THEN decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') END")},
-        try_element_at({_entity_names()}, ref))"""
-    decoded = let(reference, "ref", f"concat({character}, substr(piece, length(ref) + 2))")
+    reference = r"regexp_extract(piece, '^(#[0-9]+;?|#[xX][0-9A-Fa-f]+;?|[A-Za-z][A-Za-z0-9]*;)', 1)"
+    digits = r"regexp_extract(ref, '^#[xX]?0*([0-9A-Fa-f]*)', 1)"
+    # eight digits are more than any character has, and fit into a number
+    number = f"""{let(digits, 'd', "CASE WHEN length(d) > 8 THEN 1114112L WHEN ref RLIKE '^#[xX]' THEN CAST(conv(concat('0', d), 16, 10) AS BIGINT) WHEN startswith(ref, '#') THEN CAST(concat('0', d) AS BIGINT) END")}"""
+    numeric = let(
+        number,
+        "code",
+        f"""CASE WHEN code = 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN '\ufffd'
+        WHEN code BETWEEN 128 AND 159 THEN get({_WINDOWS}, CAST(code - 128 AS INT))
+        WHEN code > 0 THEN decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') END""",
+    )
+    bare = f"regexp_extract(piece, '^({_BARE})', 1)"
+    used = f"CASE WHEN startswith(ref, '#') OR (ref <> '' AND map_contains_key(names, ref)) THEN ref ELSE {bare} END"
+    decoded = let(
+        reference,
+        "ref",
+        let(used, "used", f"concat(CASE WHEN startswith(used, '#') THEN {numeric} ELSE try_element_at(names, used) END, substr(piece, length(used) + 1))"),
+    )
     pieces = f"""transform(split(whole, '&'), (piece, i) ->
         CASE WHEN i = 0 THEN piece ELSE coalesce({decoded}, concat('&', piece)) END)"""
-    return let(e, "whole", f"CASE WHEN contains(whole, '&') THEN array_join({pieces}, '') ELSE whole END")
+    all_names = let(_entity_names(), "names", f"array_join({pieces}, '')")
+    return let(e, "whole", f"CASE WHEN contains(whole, '&') THEN {all_names} ELSE whole END")
 
 
 # a quote of either kind, written so that it fits into a raw SQL text

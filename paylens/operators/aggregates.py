@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paylens.functions.sql import lit, not_null, one_of, q
 from paylens.operators.joins import topn_semi
-from paylens.operators.quantiles import group_median
+from paylens.operators.quantiles import group_median, quantiles_of_counts, value_counts
 from paylens.operators.stages import add_columns
 from paylens.schema import CATEGORY_ORDER
 from paylens.sources.literals import literal_table
@@ -101,9 +101,13 @@ def topn_median_trend(
 ) -> DataFrame:
     """Median per period of the N most frequent values, with the median over all periods."""
     rows = topn_semi(df, topn_values(df, column, n, seq), column)
-    trend = group_median(rows, [column, period], measure, "median")
+    counts = value_counts(rows, [column, period], measure)
+    trend = quantiles_of_counts(counts, [column, period], {"median": 0.5})
+    # a period that is null has no trend, but its answers are in the median over all
+    rest = value_counts(rows.where(f"{q(period)} IS NULL"), [column], measure)
+    every = counts.drop(period).unionByName(rest).groupBy(q(column), "_v").agg(F.expr("sum(_n) AS _n"))
     # at most N rows
-    overall = group_median(rows, [column], measure, "overall_median")
+    overall = quantiles_of_counts(every, [column], {"overall_median": 0.5})
     return trend.join(F.broadcast(overall), column).orderBy(F.desc("overall_median"), q(column), q(period))
 
 
@@ -118,11 +122,14 @@ def pivot_matrices(
 ) -> DataFrame:
     """Three matrices side by side: mean_*, median_* and count_* for each listed column value.
 
-    Empty cells are 0 in the counts and null elsewhere. The list is given, so no job looks for it.
+    Empty cells are 0 in the counts and null elsewhere, and so is the whole line of a row whose answers are
+    all outside the list or null. The list is given, so no job looks for it.
     """
-    known = df.where(one_of(q(column), columns))
-    cells = aggregate(known, [row, column], {"mean": f"avg({q(mean_of)})", "count": f"count({q(mean_of)})"})
-    medians = group_median(known, [row, column], median_of, "median")
+    listed = f"CASE WHEN {one_of(q(column), columns)} THEN {q(column)} END AS {q(column)}"
+    numbers = [f"{q(mean_of)} AS _mean_of", f"{q(median_of)} AS _median_of"]
+    known = df.where(not_null([row])).selectExpr(q(row), listed, *numbers)
+    cells = known.groupBy(q(row), q(column)).agg(F.expr("avg(_mean_of) AS mean"), F.expr("count(_mean_of) AS count"))
+    medians = group_median(known, [row, column], "_median_of", "median")
     wide = (
         cells.join(medians, [row, column], "left")
         .groupBy(q(row))

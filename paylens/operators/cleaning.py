@@ -165,17 +165,21 @@ def duplicate_audit(df: DataFrame, ident: str = "id", shares: int = 64) -> DataF
 
     Joining the rows back to the repeated groups would send a hot group to one task. So each row
     goes to one of `shares` parts of its group by its id, and a group is written once for each
-    part that occurs in it: twice for a pair, at most `shares` times for any group.
+    part that occurs in it: twice for a pair, at most `shares` (64 at most) times for any group. The
+    parts are the bits of a number, which a hash aggregate can hold. Rows meet by a hash of all columns, and the
+    columns are compared after it.
     """
     same = [c for c in df.columns if c != ident]
-    shared = df.selectExpr("*", f"{share_of([ident], shares)} AS _share")
+    hashed = f"xxhash64({', '.join(q(c) for c in same)})"
+    shared = df.selectExpr("*", f"{share_of([ident], shares)} AS _share", f"{hashed} AS _hash")
     repeated = (
-        shared.groupBy(*[q(c) for c in same])
-        .agg(F.expr("count(*) AS copies"), F.expr("collect_set(_share) AS _parts"))
+        shared.groupBy(*[q(c) for c in same], "_hash")
+        .agg(F.expr("count(*) AS copies"), F.expr("bit_or(shiftleft(1L, _share)) AS _bits"))
         .where("copies > 1")
         .selectExpr(
-            *[f"{q(c)} AS _same_{i}" for i, c in enumerate(same)], "copies", "explode(_parts) AS _part"
+            *[f"{q(c)} AS _same_{i}" for i, c in enumerate(same)], "_hash AS _hash_2", "copies",
+            f"explode(filter(sequence(0, {shares - 1}), i -> bit_get(_bits, i) = 1)) AS _part",
         )
     )
-    on = " AND ".join(["_share = _part", *[f"{q(c)} <=> _same_{i}" for i, c in enumerate(same)]])
+    on = " AND ".join(["_share = _part", "_hash = _hash_2", *[f"{q(c)} <=> _same_{i}" for i, c in enumerate(same)]])
     return shared.join(repeated, F.expr(on)).select(*[q(c) for c in df.columns], "copies")

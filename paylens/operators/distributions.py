@@ -59,6 +59,12 @@ def bin_of(v: str, lo: str, hi: str, bins: int) -> str:
     return f"CAST({guess} - {down} + {up} AS BIGINT)"
 
 
+def edges(lo: str, hi: str) -> tuple[str, str]:
+    """Ends of a histogram: those given, or a range one unit wide around them where they are equal."""
+    pad = f"CASE WHEN {lo} = {hi} THEN 0.5D ELSE 0D END"
+    return f"({lo} - {pad})", f"({hi} + {pad})"
+
+
 def with_all_bins(counted: DataFrame, bins: int) -> DataFrame:
     """All bin numbers, joined to the counts; both sides have as many rows as bins at most."""
     every = counted.sparkSession.range(bins).withColumnRenamed("id", "bin")
@@ -72,11 +78,10 @@ def histogram_equal_width(df: DataFrame, value: str, bins: int, below: float | N
     """
     rows = numbers(df, value, below)
     span = value_span(rows)
-    lo, hi = (f"_s.{end} {sign} CASE WHEN _s.lo = _s.hi THEN 0.5D ELSE 0D END" for end, sign in (("lo", "-"), ("hi", "+")))
-    edges = [f"{lo} AS _lo", f"{hi} AS _hi"]
+    ends = [f"{end} AS {name}" for end, name in zip(edges("_s.lo", "_s.hi"), ("_lo", "_hi"))]
     counted = (
         rows.withColumn("_s", span)
-        .selectExpr("_v", *edges)
+        .selectExpr("_v", *ends)
         .selectExpr(f"{bin_of('_v', '_lo', '_hi', bins)} AS bin")
         .groupBy("bin")
         .agg(F.expr("count(*) AS n"))
@@ -84,7 +89,7 @@ def histogram_equal_width(df: DataFrame, value: str, bins: int, below: float | N
     return (
         with_all_bins(counted, bins)
         .withColumn("_s", span)
-        .selectExpr("bin", "n", *edges)
+        .selectExpr("bin", "n", *ends)
         .selectExpr(
             "bin",
             f"_lo + bin * ((_hi - _lo) / {bins}) AS left",
@@ -101,14 +106,15 @@ def density_curve(
 
     Bandwidth after Scott. Each distinct value adds to the points within 39 bandwidths only: past
     that the exponential is zero in double precision, so nothing is left out. As the bandwidth
-    shrinks with the number of rows, a value of a large table touches a few points.
+    shrinks with the number of rows, a value of a large table touches a few points. Values without
+    spread, a single one among them, have no density: it is null at every point.
     """
     rows = numbers(df, value, below)
     span = value_span(rows)
     shape = [
         "_s.lo AS _lo",
-        "_s.std * pow(_s.n, -0.2D) AS _h",
-        f"(_s.hi - _s.lo) / {points - 1} AS _step",
+        "nullif(_s.std * pow(_s.n, -0.2D), 0D) AS _h",
+        f"nullif((_s.hi - _s.lo) / {points - 1}, 0D) AS _step",
         f"(_s.hi - _s.lo) / {bins} AS _width",
     ]
     summed = (
@@ -134,7 +140,7 @@ def density_curve(
         .selectExpr("bin", "_sum", *shape)
         .selectExpr(
             "bin AS point",
-            "_lo + bin * _step AS x",
+            "_lo + bin * coalesce(_step, 0D) AS x",
             f"coalesce(_sum, 0D) / (_h * {lit(math.sqrt(2 * math.pi))}) * _width AS density",
         )
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paylens.functions.sql import lit, one_of, q
 from paylens.operators.aggregates import category_rank
-from paylens.operators.distributions import bin_of, numbers, value_span, with_all_bins
+from paylens.operators.distributions import bin_of, edges, numbers, value_span, with_all_bins
 from paylens.operators.stages import add_columns
 
 NOT_GIVEN = "N/A"
@@ -42,8 +42,11 @@ def value_range(column: str, start: float, end: float, cap: float | None = None)
 
 
 def text_search(column: str, query: str) -> str:
-    """"" takes all rows, "any" those with a text, "none" those without, else a part of the text."""
-    given = f"coalesce({q(column)} <> '', FALSE)"
+    """"" takes all rows, "any" those with a text, "none" those without, else a part of the text.
+
+    A value filled in by fill_not_given counts as none.
+    """
+    given = f"coalesce({q(column)} NOT IN ('', {lit(NOT_GIVEN)}), FALSE)"
     special = {"": "TRUE", "any": given, "none": f"NOT {given}"}
     return special.get(query, f"contains(lower({q(column)}), {lit(query.lower())})")
 
@@ -115,13 +118,14 @@ def facet_histogram(
 ) -> DataFrame:
     """Histogram of a measure for the rows that pass the other filters.
 
-    The range is that of all rows, filtered or not, where it is not given; values outside are ignored.
+    The range is that of all rows, filtered or not, where it is not given; values outside are ignored. Equal
+    ends get a range one unit wide around them.
     """
     passing = df.where(filters.without(column).passes())
     if lo is None or hi is None:
         span = value_span(numbers(df, column))
         passing = passing.withColumn("_span", span)
-    ends = [f"_span.{name}" if end is None else lit(float(end)) for name, end in (("lo", lo), ("hi", hi))]
+    ends = edges(*[f"_span.{name}" if end is None else lit(float(end)) for name, end in (("lo", lo), ("hi", hi))])
     counted = (
         passing.where(f"{q(column)} BETWEEN {ends[0]} AND {ends[1]}")
         .selectExpr(f"{bin_of(f'CAST({q(column)} AS DOUBLE)', *ends, bins)} AS bin")

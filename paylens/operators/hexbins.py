@@ -82,30 +82,52 @@ def hexbin_stats(
     """Per hexagon: rows, median of the measure, mean satisfaction, shares and modes.
 
     A share counts the rows that meet a condition and divides by all rows of the hexagon, unknown
-    answers included. Only hexagons with more than `min_rows` rows are kept.
+    answers included. Only hexagons with more than `min_rows` rows are kept. Two scans: one for the medians, one for
+    all else, in which the rows as such are one more attribute beside those with a mode.
     """
-    plain = (
-        cells.groupBy(*CELL)
+    entries = ", ".join(
+        ["named_struct('attr', '', 'val', '')"]
+        + [f"named_struct('attr', {lit(out)}, 'val', CAST({q(c)} AS STRING))" for c, out in mode_columns.items()]
+    )
+    flags = [f"CAST(coalesce({c}, FALSE) AS INT) AS _flag_{i}" for i, c in enumerate(shares.values())]
+    hits = [F.expr(f"sum(_flag_{i}) AS _flag_{i}") for i in range(len(shares))]
+    counted = (
+        cells.selectExpr(*CELL, f"{q(seq)} AS _seq", f"CAST({q(satisfaction)} AS DOUBLE) AS _sat", *flags, f"inline(array({entries}))")
+        .where("val IS NOT NULL")
+        .groupBy(*CELL, "attr", "val")
+        .agg(F.expr("count(*) AS cnt"), F.expr("min(_seq) AS first_seen"), F.expr("sum(_sat) AS _sat"), F.expr("count(_sat) AS _sats"), *hits)
+        .groupBy(*CELL, "attr")
         .agg(
-            F.expr("count(*) AS n"),
-            F.expr(f"avg({q(satisfaction)}) AS mean_satisfaction"),
-            *[F.expr(f"count_if({c}) / count(*) AS {q(name)}") for name, c in shares.items()],
+            F.expr("max_by(named_struct('val', val, 'cnt', cnt), named_struct('c', cnt, 's', -first_seen)) AS top"),
+            *[F.expr(f"max({c}) AS {c}") for c in ("_sat", "_sats", *[f"_flag_{i}" for i in range(len(shares))])],
         )
-        .where(f"n > {min_rows}")
     )
+
+    def pick(attr: str, part: str) -> str:
+        return f"max(CASE WHEN attr = {lit(attr)} THEN {part} END)"
+
+    # at most one row per attribute and hexagon comes in here
+    plain = counted.groupBy(*CELL).agg(
+        F.expr(f"{pick('', 'top.cnt')} AS n"),
+        F.expr(f"{pick('', '_sat')} / {pick('', 'nullif(_sats, 0)')} AS mean_satisfaction"),
+        *[F.expr(f"{pick('', f'_flag_{i}')} / {pick('', 'top.cnt')} AS {q(name)}") for i, name in enumerate(shares)],
+        *[F.expr(f"{pick(o, 'top.val')} AS {q(o + '_mode')}") for o in mode_columns.values()],
+        *[F.expr(f"coalesce({pick(o, 'top.cnt')}, 0L) AS {q(o + '_mode_count')}") for o in mode_columns.values()],
+    )
+    order = ["n", "mean_satisfaction", *shares]
+    tops = [f"{o}_mode" for o in mode_columns.values()] + [f"{o}_mode_count" for o in mode_columns.values()]
     medians = group_median(cells, CELL, measure, "median")
-    tops = modes(cells, CELL, mode_columns, seq)
-    counts = [f"{o}_mode_count" for o in mode_columns.values()]
-    return plain.join(medians, CELL, "left").join(tops, CELL, "left").fillna(0, counts)
+    return plain.where(f"n > {min_rows}").join(medians, CELL, "left").select(*CELL, *[q(c) for c in order], "median", *[q(c) for c in tops])
 
 
 def hexbin_encode(bins: DataFrame, color_by: str, size_by: str = "n", radius: float = HEX_RADIUS) -> DataFrame:
     """Colour position between 0 and 1 and drawn radius of each hexagon.
 
-    Colour is linear between the smallest and the largest value, the radius follows the square
-    root. The extremes are one row, read as a scalar, so the hexagons stay where they are.
+    Colour is linear between the smallest and the largest value, and for a text the category itself; the radius
+    follows the square root. The extremes are one row, read as a scalar, so the hexagons stay where they are.
     """
-    color, size = f"CAST({q(color_by)} AS DOUBLE)", f"CAST({q(size_by)} AS DOUBLE)"
+    by_name = dict(bins.dtypes)[color_by] == "string"
+    color, size = "0D" if by_name else f"CAST({q(color_by)} AS DOUBLE)", f"CAST({q(size_by)} AS DOUBLE)"
     extremes = f"named_struct('c0', min({color}), 'c1', max({color}), 's0', min({size}), 's1', max({size})) AS e"
     place = f"CASE WHEN _e.s1 = _e.s0 THEN 0.5D ELSE (sqrt({size}) - sqrt(_e.s0)) / (sqrt(_e.s1) - sqrt(_e.s0)) END"
     # Ranges of the drawn radius as parts of the hexagon radius
@@ -116,7 +138,7 @@ def hexbin_encode(bins: DataFrame, color_by: str, size_by: str = "n", radius: fl
     return add_columns(
         bins.withColumn("_e", bins.selectExpr(extremes).scalar()),
         {
-            "color_value": f"CASE WHEN _e.c1 = _e.c0 THEN 0D ELSE ({color} - _e.c0) / (_e.c1 - _e.c0) END",
+            "color_value": q(color_by) if by_name else f"CASE WHEN _e.c1 = _e.c0 THEN 0D ELSE ({color} - _e.c0) / (_e.c1 - _e.c0) END",
             "hex_radius": f"({smallest} + ({largest} - {smallest}) * {place}) * {lit(radius)}",
         },
     ).drop("_e")

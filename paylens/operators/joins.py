@@ -9,10 +9,15 @@ from pyspark.sql import functions as F
 
 from paylens.functions.sql import not_null, q
 from paylens.operators.stages import add_columns
+from paylens.session import stored
+from paylens.sources.literals import literal_table
 
+# a dimension is broadcast if it has at most so many rows and bytes
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 32 << 20
 SHARES = 64
 HOT_ONE_IN = 1000
+_FIXED = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
 
 
 def share_of(columns: Sequence[str], shares: int) -> str:
@@ -24,11 +29,21 @@ def share_of(columns: Sequence[str], shares: int) -> str:
     return f"coalesce(CAST(pmod(xxhash64({', '.join(q(c) for c in columns)}), {shares}) AS INT), 0)"
 
 
-def hot_keys(facts: DataFrame, on: Sequence[str], one_in: int = HOT_ONE_IN) -> DataFrame:
-    """Keys with more than one in `one_in` of all rows; there are fewer than `one_in` of them."""
-    counted = facts.where(not_null(on)).groupBy(*[q(k) for k in on]).agg(F.expr("count(*) AS _n"))
-    rows = facts.selectExpr("count(*)").scalar()
-    return counted.withColumn("_rows", rows).where(f"_n > _rows / {one_in}").select(*[q(k) for k in on])
+def hot_keys(facts: DataFrame, on: Sequence[str], one_in: int = HOT_ONE_IN, tasks: int | None = None) -> DataFrame:
+    """Keys with more than one in `one_in` of all rows, and the shares each is split into.
+
+    One pass over the key columns, made when this is called: counts per key are stored, and the few hot
+    ones come back as a literal table that any number of joins can use. A key gets a share for
+    every `1 / tasks` of the rows that it holds, twice over; `tasks` is the number of shuffle partitions unless given.
+    """
+    spark = facts.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = stored(facts.where(not_null(on)).groupBy(*[q(k) for k in on]).agg(F.expr("count(*) AS _n")))
+    rows = counted.selectExpr("coalesce(sum(_n), 0L)").first()[0]
+    # fewer than one_in rows
+    hot = counted.where(f"_n > {rows} / {one_in}").selectExpr(*[q(k) for k in on], f"CAST(ceil(2 * _n * {tasks} / {rows or 1}) AS INT) + 1 AS _shares")
+    ddl = ", ".join(f"{q(f.name)} {f.dataType.simpleString()}" for f in hot.schema.fields)
+    return literal_table(spark, [tuple(r) for r in hot.collect()], ddl)
 
 
 def salted_join(
@@ -43,27 +58,34 @@ def salted_join(
     """Equi-join in which keys of `facts` are split over `shares` tasks.
 
     The share follows from a hash of the row, so a retried task sends each row the same way. The
-    rows of `dim` are written once per share. With `hot`, a short list of keys, only those keys
-    and null are split, and only their rows of `dim` are repeated; without it all are.
+    rows of `dim` are written once per share. With `hot`, a short list of keys with their shares, only those
+    keys and null are split, and only their rows of `dim` are repeated; without it all are.
     """
-    share = share_of(spread_by or facts.columns, shares)
+    spread = spread_by or facts.columns
     if hot is None:
-        left = facts.selectExpr("*", f"{share} AS _share")
+        left = facts.selectExpr("*", f"{share_of(spread, shares)} AS _share")
         right = dim.selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
     else:
-        # fewer rows than HOT_ONE_IN
-        flagged = F.broadcast(hot.selectExpr("*", "TRUE AS _hot"))
+        flagged = F.broadcast(hot)  # fewer rows than HOT_ONE_IN
+        number = f"pmod(xxhash64({', '.join(q(c) for c in spread)}), CAST(coalesce(_shares, {shares}) AS BIGINT))"
         left = facts.join(flagged, list(on), "left").selectExpr(
             *[q(c) for c in facts.columns],
-            f"CASE WHEN _hot OR NOT ({not_null(on)}) THEN {share} ELSE 0 END AS _share",
+            f"CASE WHEN _shares IS NOT NULL OR NOT ({not_null(on)}) THEN CAST({number} AS INT) ELSE 0 END AS _share",
         )
         right = dim.join(flagged, list(on), "left").selectExpr(
-            *[q(c) for c in dim.columns],
-            f"explode(sequence(0, CASE WHEN _hot THEN {shares - 1} ELSE 0 END)) AS _share",
+            *[q(c) for c in dim.columns], "explode(sequence(0, coalesce(_shares, 1) - 1)) AS _share"
         )
     return left.join(right, [*on, "_share"], how).drop("_share")
 
 
+def small_enough(dim: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table may be broadcast: counts rows, and bytes of texts, of at most max_rows + 1 rows."""
+    wide = [f"coalesce(octet_length(CAST({q(c)} AS STRING)), 0)" for c, kind in dim.dtypes if kind not in _FIXED]
+    size = " + ".join([str(16 * len(dim.columns)), *wide])
+    rows, size = dim.limit(max_rows + 1).selectExpr("count(*)", f"coalesce(sum({size}), 0L)").first()
+    return rows <= max_rows and size <= max_bytes
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -71,17 +93,18 @@ def lookup_join(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
     bounded: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Join to a dimension: broadcast when its row count is known to be small, else salted.
+    """Join to a dimension: broadcast when its rows and bytes are known to be few, else salted.
 
-    The size is checked by counting at most max_rows + 1 rows; `bounded` skips the check where the
-    row count has a ceiling by construction, such as the months of a calendar or a top-N list.
-    Beyond that both sides are shuffled, and the keys that are hot in the facts are split.
+    `bounded` skips the check where the row count has a ceiling by construction, such as the months of a
+    calendar or a top-N list. Beyond that both sides are shuffled, and the keys that are hot in the facts are
+    split. They are looked for in one pass over the keys, unless the caller hands in `hot` from an earlier one.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if bounded or dim.limit(max_rows + 1).count() <= max_rows:
+    if bounded or small_enough(dim, max_rows):
         return facts.join(F.broadcast(dim), keys, how)
-    return salted_join(facts, dim, keys, how, hot=hot_keys(facts, keys))
+    return salted_join(facts, dim, keys, how, hot=hot if hot is not None else hot_keys(facts, keys))
 
 
 def enrich_location(facts: DataFrame, coordinates: DataFrame, key: str = "Location") -> DataFrame:
@@ -100,15 +123,19 @@ def fill_from_gazetteer(
     gazetteer: DataFrame,
     key: str = "Location",
     values: Sequence[str] = ("Latitude", "Longitude"),
+    keep_missing: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Fill values still missing from a second table: rows with coordinates, and the rest."""
+    """Fill values still missing from a second table: rows with coordinates, and the rest.
+
+    With `keep_missing` the first table has all rows.
+    """
     second = gazetteer.selectExpr(q(key), *[f"{q(v)} AS {q('_second_' + v)}" for v in values])
     joined = lookup_join(facts, second, key)
     filled = add_columns(joined, {v: f"coalesce({q(v)}, {q('_second_' + v)})" for v in values}).drop(
         *[f"_second_{v}" for v in values]
     )
     found = not_null([values[0]])
-    return filled.where(found), filled.where(f"NOT ({found})")
+    return filled if keep_missing else filled.where(found), filled.where(f"NOT ({found})")
 
 
 def topn_semi(facts: DataFrame, top: DataFrame, key: str) -> DataFrame:

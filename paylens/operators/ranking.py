@@ -25,14 +25,20 @@ def _slot(df: DataFrame, column: str, cuts: list[float], out: str) -> DataFrame:
 
 
 def rank_buckets(df: DataFrame, value: str, seq: str, ascending: bool, buckets: int) -> DataFrame:
-    """Add _bucket and _part, which order rows roughly, and _o and _s, which order them within.
+    """Add _bucket and _part, which order rows roughly; within, the values themselves do.
 
     Approximate quantiles cut the values, and `seq`, into buckets of about equal size. They are a
     fixed number of literals in the plan, so every pass and retry sees the same buckets; only the
     balance depends on how good they are, never the order. A value so frequent that it is a cut
     itself gets a bucket of its own, split further by `seq`, and so does null; so no value makes a
-    bucket large.
+    bucket large. Doubles only choose the bucket: whole numbers that share a double with a cut, but
+    are less or more, go to the buckets beside the cut's own.
     """
+    kind = df.selectExpr(f"{value} AS v").dtypes[0][1]
+    back = f"try_cast(CAST({value} AS DOUBLE) AS {kind})"
+    below, above = ("<", ">") if ascending else (">", "<")
+    side = f"CASE WHEN {value} {below} {back} OR {back} IS NULL THEN 0 WHEN {value} {above} {back} THEN 2 ELSE 1 END"
+
     sign = "" if ascending else "-"
     work = df.selectExpr("*", f"nullif({sign}CAST({value} AS DOUBLE), double('NaN')) AS _v", f"CAST({q(seq)} AS DOUBLE) AS _s")
     v_cuts, s_cuts = _cuts(work, ["_v", "_s"], max(buckets, 2))
@@ -43,11 +49,10 @@ def rank_buckets(df: DataFrame, value: str, seq: str, ascending: bool, buckets:
         is_cut = f"coalesce(get(array({listed}), CAST(_slot AS INT) - 1) = _o, FALSE)"
     return work.selectExpr("*", f"{is_cut} AS _cut").selectExpr(
         *[q(c) for c in df.columns],
-        "_o",
-        "_s",
+        f"CASE WHEN _v IS NOT NULL THEN {value} END AS _o",
         # never null, and declared so, which spares a null check that would place each row twice
-        f"coalesce(CAST(CASE WHEN _v IS NULL THEN {2 * len(v_cuts) + 2} WHEN _cut THEN 2 * _slot ELSE 2 * _slot + 1 END AS INT), 0) AS _bucket",
-        "coalesce(CAST(CASE WHEN _v IS NULL OR _cut THEN _part ELSE -1 END AS INT), 0) AS _part",
+        f"coalesce(CAST(CASE WHEN _v IS NULL THEN {4 * len(v_cuts) + 8} WHEN _cut THEN 4 * _slot + {side} ELSE 4 * _slot + 3 END AS INT), 0) AS _bucket",
+        f"coalesce(CAST(CASE WHEN _v IS NULL OR (_cut AND {side} = 1) THEN _part ELSE -1 END AS INT), 0) AS _part",
     )
 
 
@@ -56,7 +61,7 @@ def global_rank(
 ) -> DataFrame:
     """0-based place of every row by a number (null last), equal numbers by `seq`.
 
-    `value` is an SQL expression, `seq` a unique numeric column; both are compared as doubles. The
+    `value` is an SQL expression, `seq` a unique numeric column; both are compared as what they are. The
     place is the number of rows in earlier buckets plus the row number within the bucket. Cutting
     the buckets takes one pass when this is called.
     """
@@ -78,7 +83,8 @@ def global_rank(
         .join(starts, "_bucket")
         .selectExpr("_bucket", "_part", "_start + _skip AS _before")
     )
-    ranked = work.selectExpr("*", "row_number() OVER (PARTITION BY _bucket, _part ORDER BY _o, _s) AS _row")
+    order = f"_o {'ASC' if ascending else 'DESC'}, {q(seq)}"
+    ranked = work.selectExpr("*", f"row_number() OVER (PARTITION BY _bucket, _part ORDER BY {order}) AS _row")
     return ranked.join(offsets, ["_bucket", "_part"]).selectExpr(
         *[q(c) for c in df.columns], f"CAST(_before + _row - 1 AS BIGINT) AS {q(out)}"
     )

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from paylens.functions import text as t
-from paylens.functions.sql import q
+from paylens.functions.sql import lit, q
 from paylens.schema import RAW_COLUMNS
 
 
 def extract_cards(
-    cards: DataFrame, ident: str = "id", html: str = "html", tasks: int | None = None
+    cards: DataFrame, ident: str = "id", html: str = "html", keep: Sequence[str] = (), spread: bool = True
 ) -> DataFrame:
-    """One response of 21 text columns per card; what a card lacks is null.
+    """One response of 21 text columns per card, then the columns of `keep`; what a card lacks is null.
 
-    A card costs far more to take apart than to move. Where a few large files hold all cards,
-    `tasks` spreads them by id first; with many files leave it out, as then no shuffle is needed.
+    A card costs far more to take apart than to move, and a landed file is read by one task. So cards are
+    spread by id first, over as many tasks as the session shuffles into; `spread` can be turned off where
+    many files do that already. The response comes out of a generator, so that later filters stay
+    above it and no pattern runs twice.
     """
     page = q(html)
-    if tasks:
-        cards = cards.repartition(tasks, q(ident))
+    if spread:
+        cards = cards.repartition(q(ident))
     stages = [
         {
             "mood": t.tag_attribute(page, "img", "data-original-title", "emoticon"),
@@ -32,12 +36,15 @@ def extract_cards(
         {
             "pay": t.plain_text(t.element("head", "span", "salary")),
             "after_slash": t.texts_after("head", "span", "slash"),
+            "firm_tags": t.firm_tags("firm"),
+            "person_tags": t.person_tags("person"),
         },
     ]
-    df = cards.selectExpr(f"CAST({q(ident)} AS STRING) AS id", f"{page}")
+    kept = [f"{q(c)} AS _kept_{i}" for i, c in enumerate(keep)]
+    df = cards.selectExpr(f"CAST({q(ident)} AS STRING) AS id", f"{page}", *kept)
     for stage in stages:
         df = df.selectExpr("*", *[f"{e} AS {c}" for c, e in stage.items()])
-    firm, person = t.firm_fields("firm"), t.person_fields("person")
+    firm, person = t.firm_fields("firm_tags"), t.person_fields("person_tags")
 
     def given(e: str) -> str:
         return f"nullif({e}, '')"
@@ -68,4 +75,5 @@ def extract_cards(
         "Post-Graduate School": t.first_with_prefix("schools", "PhD:"),
         "Date": given("stamp"),
     }
-    return df.selectExpr(*[f"{fields[c]} AS {q(c)}" for c in RAW_COLUMNS])
+    response = ", ".join([*[f"{lit(c)}, {fields[c]}" for c in RAW_COLUMNS], *[f"{lit(c)}, _kept_{i}" for i, c in enumerate(keep)]])
+    return df.selectExpr(f"inline(array(named_struct({response})))")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paylens.functions import text as t
-from paylens.functions.sql import q
+from paylens.functions.sql import lit, q
 from paylens.operators import cleaning as c
 from paylens.operators import timeseries as ts
 from paylens.operators.joins import enrich_location, fill_from_gazetteer, unresolved_keys
@@ -54,9 +55,14 @@ class Refreshed:
     report: DataFrame
 
 
-def clean_responses(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Typed, repaired, de-duplicated responses of every work status."""
-    df = add_columns(normalise_nulls(raw.select(*RAW_COLUMNS)), {"id": "CAST(id AS BIGINT)"})
+def typed_responses(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Typed, repaired, de-duplicated responses; satisfaction is still the text that was given.
+
+    Of equal responses the one that landed first stays, by the column `landed` where there is one and
+    else by id. `landed` ends here.
+    """
+    seq = ["landed"] if "landed" in raw.columns else []
+    df = add_columns(normalise_nulls(raw.select(*RAW_COLUMNS, *seq)), {"id": "CAST(id AS BIGINT)"})
     df = c.clean_literals(
         df,
         {
@@ -73,16 +79,57 @@ def clean_responses(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
         df = c.drop_equal(df, "Age", age)
     df = c.drop_ids(df, rules.denied_before_dedup)
     df = c.regex_repair(df, SCHOOL_COLUMNS, rules.school_pattern, rules.school_name)
-    df = c.dedup_keep_first(df)
+    df = c.dedup_keep_first(df, seq=seq[0] if seq else None).drop("landed")
     df = c.drop_bad_batch(
         df, "Post-Graduate School", "Date", "Location", rules.bad_batch_stamp, rules.bad_batch_place
     )
     df = c.parse_month_year(df, "Date")
-    df = add_columns(
+    return add_columns(
         df,
         {"Salary": t.parse_thousands("Salary"), "Vacation Days": "try_cast(`Vacation Days` AS DOUBLE)"},
     )
-    return c.coerce_numeric(df, "Job Satisfaction")
+
+
+def clean_responses(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Typed, repaired, de-duplicated responses of every work status with a satisfaction."""
+    return c.coerce_numeric(typed_responses(raw, rules), "Job Satisfaction")
+
+
+def quality(
+    typed: DataFrame, coordinates: DataFrame, gazetteer: DataFrame, index: DataFrame, rules: Rules = Rules()
+) -> DataFrame:
+    """One row: missing answers of the typed responses, before any is dropped, and rows dropped per step.
+
+    `index` is the price index without gaps. One pass: every response is flagged, and one aggregate counts
+    the flags. A response counts for the first step that drops it, in the order of the refresh.
+    """
+    paid = c.annualise(typed, "Salary", "Salary Unit", "Work Status")
+    known = coordinates.selectExpr("Location", "Latitude", "Longitude")
+    placed, _ = fill_from_gazetteer(enrich_location(paid, known), gazetteer, keep_missing=True)
+    latest = index.selectExpr("max(CASE WHEN value IS NOT NULL THEN date END)").scalar()
+    months = index.where("value IS NOT NULL").selectExpr("date AS Date", "TRUE AS _month")
+    flagged = placed.join(F.broadcast(months), "Date", "left").withColumn("_latest", latest)  # one row per month
+    missing = {
+        "missing_salary": "Salary IS NULL",
+        "missing_satisfaction": f"({t.coerce_int('`Job Satisfaction`')}) IS NULL",
+        "missing_coordinates": "Latitude IS NULL OR Longitude IS NULL",
+        "missing_index": "NOT coalesce(_month OR Date > _latest, FALSE)",
+    }
+    fixed = ", ".join(lit(i) for i, _, unit, _ in rules.corrections if unit in rules.allowed_units)
+    units = ", ".join(lit(u) for u in [*rules.allowed_units, *rules.unit_rates])
+    steps = {
+        "dropped_satisfaction": missing["missing_satisfaction"],
+        "dropped_part_time": "`Work Status` <=> 'Part-time'",
+        "dropped_pay": f"coalesce(Salary < {lit(rules.minimum_pay)}, TRUE)",
+        "dropped_place": "Latitude IS NULL",
+        "dropped_ids": f"id IN ({', '.join(lit(i) for i in (*rules.denied_after_geocoding, *rules.denied_after_units)) or 'NULL'})",
+        "dropped_unit": f"NOT coalesce(`Salary Unit` IN ({units}), FALSE) AND NOT coalesce(id IN ({fixed or 'NULL'}), FALSE)",
+    }
+    first = " ".join(f"WHEN coalesce({rule}, FALSE) THEN {lit(name)}" for name, rule in steps.items())
+    counted = flagged.selectExpr(*[f"({rule}) AS {name}" for name, rule in missing.items()], f"CASE {first} END AS _step")
+    return c.quality_report(
+        counted, {**{n: n for n in missing}, **{n: f"_step = {lit(n)}" for n in steps}, "kept": "_step IS NULL"}
+    )
 
 
 def refresh(
@@ -99,9 +146,10 @@ def refresh(
     `store`, the cleaned responses are written to the shared folder at once, for callers who use
     several of the results: else each of them repeats the cleaning.
     """
-    responses = clean_responses(raw, rules)
+    typed = typed_responses(raw, rules)
     if store:
-        responses = stored(responses)
+        typed = stored(typed)
+    responses = c.coerce_numeric(typed, "Job Satisfaction")
     df = c.drop_equal(responses, "Work Status", "Part-time")
     df = c.annualise(df, "Salary", "Salary Unit", "Work Status")
     df = c.min_threshold(df, "Salary", rules.minimum_pay)
@@ -126,13 +174,5 @@ def refresh(
     clean = df.selectExpr(
         *[f"CAST({q(f.name)} AS {f.dataType.simpleString()}) AS {q(f.name)}" for f in CLEAN_SCHEMA.fields]
     )
-    report = c.quality_report(
-        clean,
-        {
-            "missing_salary": "Salary IS NULL",
-            "missing_satisfaction": "`Job Satisfaction` IS NULL",
-            "missing_coordinates": "Latitude IS NULL OR Longitude IS NULL",
-            "missing_index": "CPIAUCSL IS NULL",
-        },
-    )
+    report = quality(typed, coordinates, gazetteer, index, rules)
     return Refreshed(clean, unresolved, dropped, rejected, report)

@@ -18,9 +18,9 @@ def write_dated(df: DataFrame, path: str, run_date: date, fmt: str = "parquet")
 
 
 def new_cache_rows(resolved: DataFrame, cache: DataFrame, key: str = "Location") -> DataFrame:
-    """Resolved rows whose key the cache does not hold yet, one per key; keys without a hit stay out."""
+    """Resolved rows whose key the cache does not hold yet, one per key; null keys and keys without a hit stay out."""
     values = [c for c in resolved.columns if c != key]
-    found = resolved.where(F.col(f"`{values[0]}`").isNotNull())
+    found = resolved.where(F.col(f"`{values[0]}`").isNotNull() & F.col(f"`{key}`").isNotNull())
     # any_value would do, but min makes a rerun give the same row
     one_each = found.groupBy(key).agg(F.min(F.struct(*values)).alias("v")).select(key, "v.*")
     return one_each.join(cache, key, "left_anti")

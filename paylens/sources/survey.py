@@ -49,9 +49,16 @@ def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unwrap(envelope: DataFrame, records: str = "aaData") -> DataFrame:
-    """One row (id, html) per pair of the envelope; pairs with an empty id are left out."""
-    pairs = envelope.selectExpr(f"explode({q(records)}) AS pair")
-    return pairs.selectExpr("get(pair, 0) AS id", "get(pair, 1) AS html").where("id <> ''")
+    """One row (id, html, landed) per pair of the envelope; pairs with an empty id are left out.
+
+    `landed` is the place a pair was found at: struct(file, place in the envelope). It orders responses
+    the way they came in, files by name. Without a column `file` that part is empty.
+    """
+    file = "file" if "file" in envelope.columns else "''"
+    pairs = envelope.selectExpr(f"{file} AS file", f"posexplode({q(records)}) AS (place, pair)")
+    return pairs.selectExpr(
+        "get(pair, 0) AS id", "get(pair, 1) AS html", "named_struct('file', file, 'place', place) AS landed"
+    ).where("id <> ''")
 
 
 def unwrap_text(df: DataFrame, column: str) -> DataFrame:
@@ -60,8 +67,9 @@ def unwrap_text(df: DataFrame, column: str) -> DataFrame:
 
 
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON envelopes, one document per file; files are the unit of parallelism."""
-    return unwrap(spark.read.schema(ENVELOPE_SCHEMA).option("multiLine", True).json(path))
+    """Landed JSON envelopes, one document per file; one task reads a file."""
+    landed = spark.read.schema(ENVELOPE_SCHEMA).option("multiLine", True).json(path)
+    return unwrap(landed.selectExpr("*", "_metadata.file_path AS file"))
 
 
 def table_from_sheet(

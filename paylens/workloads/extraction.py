@@ -52,12 +52,14 @@ PARTS_SQL = (
 
 def classify_items_firm(spark, folder):
     items = parts(spark, folder).selectExpr("k AS id", f"array({', '.join(FIRM)}) AS items")
-    return items.selectExpr("id", *[f"{e} AS {name}" for name, e in t.firm_fields("items").items()])
+    tags = items.selectExpr("id", f"{t.firm_tags('items')} AS tags")
+    return tags.selectExpr("id", *[f"{e} AS {name}" for name, e in t.firm_fields("tags").items()])
 
 
 def classify_items_person(spark, folder):
     items = parts(spark, folder).selectExpr("k AS id", f"array({', '.join(PERSON)}) AS items")
-    return items.selectExpr("id", *[f"{e} AS {name}" for name, e in t.person_fields("items").items()])
+    tags = items.selectExpr("id", f"{t.person_tags('items')} AS tags")
+    return tags.selectExpr("id", *[f"{e} AS {name}" for name, e in t.person_fields("tags").items()])
 
 
 def first_with_prefix(spark, folder):

@@ -56,7 +56,18 @@ def topn_semi(spark, folder):
     return j.topn_semi(rows, topn_values(rows, "location", 10, "id"), "location")
 
 
+def lookup_large(spark, folder):
+    """Customers as a dimension too large to broadcast: the gate is lowered to a hundred rows."""
+    rows = table(spark, folder, "orders").selectExpr("o_orderkey AS id", "o_custkey AS c_custkey")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return j.lookup_join(rows, customers, "c_custkey", max_rows=100)
+
+
 QUERIES = {
+    "lookup_large": (
+        lookup_large,
+        "SELECT o_orderkey AS id, o_custkey AS c_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+    ),
     "enrich_location": (
         enrich_location,
         f"WITH {R_SQL}, {_PLACES_SQL} SELECT id, r.location, p.lat, p.lon FROM r LEFT JOIN places p ON r.location = p.location AND k < 20",

@@ -6,7 +6,7 @@ from paylens.functions.sql import q
 from paylens.plans.refresh import refresh
 from paylens.schema import RAW_COLUMNS
 from paylens.workloads.extraction import PARTS_SQL, parts
-from paylens.workloads.views import FILLED_SQL, IDX_SQL, monthly_index, table
+from paylens.workloads.views import FILLED_SQL, IDX_SQL, INDEX_END, monthly_index, table
 
 # The text of each raw column; a missing answer is written NA, as in a landed file.
 _RAW = {
@@ -53,7 +53,7 @@ def _places(spark, folder, below):
 
 def survey_refresh(spark, folder):
     result = refresh(
-        raw_responses(spark, folder), _places(spark, folder, 20), _places(spark, folder, 24), monthly_index(spark, folder)
+        raw_responses(spark, folder), _places(spark, folder, 20), _places(spark, folder, 24), monthly_index(spark, folder, INDEX_END)
     )
     whole = {"satisfaction", "year"}
     return result.clean.selectExpr(
@@ -83,4 +83,26 @@ SELECT k AS id, k % 10 + 1 AS satisfaction, salary,
     CASE WHEN licence <> '' THEN 'Yes' ELSE 'No' END AS licensed, n_name AS college, year(m) AS year, lat,
     round_even(CAST(salary AS DOUBLE) * (now / cpi), -2) AS real_salary, round(cpi, 6) AS cpi FROM e"""
 
-QUERIES = {"survey_refresh": (survey_refresh, _SQL)}
+
+def refresh_quality(spark, folder):
+    """What the refresh finds missing, and what each of its steps drops."""
+    return refresh(
+        raw_responses(spark, folder), _places(spark, folder, 20), _places(spark, folder, 24), monthly_index(spark, folder, INDEX_END)
+    ).report
+
+
+_QUALITY_SQL = f"""WITH {PARTS_SQL}, {IDX_SQL}, {FILLED_SQL},
+a AS (SELECT k, status, k % 9 = 0 AS ms, CASE k % 10 WHEN 1 THEN 'CADyear' WHEN 2 THEN 'CHFyear' WHEN 3 THEN 'hour' ELSE 'year' END AS u,
+    n_name IN (SELECT n_name FROM nation WHERE n_nationkey < 24) AS placed,
+    f.value IS NOT NULL OR CAST(date_trunc('month', o_orderdate) AS DATE) > latest.date AS indexed
+  FROM p LEFT JOIN filled f ON f.date = CAST(date_trunc('month', o_orderdate) AS DATE) CROSS JOIN latest
+  WHERE k NOT IN (12734, 2653) AND k % 23 <> 0),
+b AS (SELECT *, CASE WHEN ms THEN 'satisfaction' WHEN status = 'Part-time' THEN 'part_time'
+    WHEN (k * 1000 + 500) * CASE WHEN u = 'hour' AND status = 'Full-time' THEN 2080 ELSE 1 END < 10000 THEN 'pay'
+    WHEN NOT placed THEN 'place' WHEN k IN (5573, 8747, 3616) THEN 'ids' WHEN u = 'CHFyear' AND k <> 17102 THEN 'unit' ELSE '' END AS step FROM a)
+SELECT count(*) AS rows, CAST(0 AS BIGINT) AS missing_salary, count(*) FILTER (ms) AS missing_satisfaction,
+    count(*) FILTER (NOT placed) AS missing_coordinates, count(*) FILTER (NOT indexed) AS missing_index,
+    {', '.join(f"count(*) FILTER (step = '{x}') AS dropped_{x}" for x in ('satisfaction', 'part_time', 'pay', 'place', 'ids', 'unit'))},
+    count(*) FILTER (step = '') AS kept FROM b"""
+
+QUERIES = {"survey_refresh": (survey_refresh, _SQL), "refresh_quality": (refresh_quality, _QUALITY_SQL)}

@@ -13,9 +13,11 @@ from paylens.sources.survey import sheet_rows
 from paylens.sources.survey import table_from_sheet as table_of_sheet
 from paylens.workloads.views import (
     ADJUSTED_SQL,
+    ALL_IDX_SQL,
     FILLED_SQL,
     IDX2_SQL,
     IDX_SQL,
+    INDEX_END,
     R_SQL,
     adjusted_responses,
     monthly_index,
@@ -84,11 +86,11 @@ _EXTRA = [("2001-05-01", 1.0), ("2001-06-01", 50000.5), ("2001-07-01", 50001.5)]
 
 def append_missing_periods(spark, folder):
     extra = as_series(literal_table(spark, _EXTRA, "d string, v double"), "price", "d", "v")
-    return ts.append_missing_periods(monthly_index(spark, folder), extra).selectExpr("series_id", _DAY, "value")
+    return ts.append_missing_periods(monthly_index(spark, folder, INDEX_END), extra).selectExpr("series_id", _DAY, "value")
 
 
 def join_month_fallback(spark, folder):
-    index = ts.interpolate_gaps(monthly_index(spark, folder))
+    index = ts.interpolate_gaps(monthly_index(spark, folder, INDEX_END))
     joined = ts.join_month_fallback(responses(spark, folder), index, "month", "cpi")
     return joined.selectExpr("id", "date_format(month, 'yyyy-MM-dd') AS month", "round(cpi, 6) AS cpi")
 
@@ -120,7 +122,7 @@ def table_from_sheet(spark, folder):
 QUERIES = {
     "load_series": (
         load_series,
-        f"WITH {IDX_SQL}, {IDX2_SQL} SELECT series_id, {_DAY_SQL}, value FROM (SELECT * FROM idx UNION ALL SELECT * FROM idx2)",
+        f"WITH {ALL_IDX_SQL}, {IDX2_SQL} SELECT series_id, {_DAY_SQL}, value FROM (SELECT * FROM idx UNION ALL SELECT * FROM idx2)",
     ),
     "inline_series": (
         inline_series,
@@ -130,32 +132,32 @@ QUERIES = {
     ),
     "interpolate_gaps": (
         interpolate_gaps,
-        f"WITH {IDX_SQL}, {FILLED_SQL} SELECT series_id, {_DAY_SQL}, round(value, 6) AS value FROM filled",
+        f"WITH {ALL_IDX_SQL}, {FILLED_SQL} SELECT series_id, {_DAY_SQL}, round(value, 6) AS value FROM filled",
     ),
     "latest_value": (
         latest_value,
-        f"""WITH {IDX_SQL}, {IDX2_SQL} SELECT series_id, strftime(max(date), '%Y-%m-%d') AS date, arg_max(value, date) AS value
+        f"""WITH {ALL_IDX_SQL}, {IDX2_SQL} SELECT series_id, strftime(max(date), '%Y-%m-%d') AS date, arg_max(value, date) AS value
         FROM (SELECT * FROM idx UNION ALL SELECT * FROM idx2) WHERE value IS NOT NULL GROUP BY 1""",
     ),
     "since_filter": (
         since_filter,
-        f"WITH {IDX_SQL} SELECT series_id, {_DAY_SQL}, value FROM idx WHERE date >= DATE '1998-01-01'",
+        f"WITH {ALL_IDX_SQL} SELECT series_id, {_DAY_SQL}, value FROM idx WHERE date >= DATE '1998-01-01'",
     ),
     "resample_year_last": (
         resample_year_last,
-        f"""WITH {IDX_SQL}, {IDX2_SQL} SELECT series_id, year(date) AS year, arg_max(value, date) AS value,
+        f"""WITH {ALL_IDX_SQL}, {IDX2_SQL} SELECT series_id, year(date) AS year, arg_max(value, date) AS value,
         strftime(max(date), '%Y-%m-%d') AS observed
         FROM (SELECT * FROM idx UNION ALL SELECT * FROM idx2) WHERE value IS NOT NULL GROUP BY 1, 2""",
     ),
     "growth_vs_base": (
         growth_vs_base,
-        f"""WITH {IDX_SQL}, y AS (SELECT series_id, year(date) AS year, arg_max(value, date) AS value FROM idx
+        f"""WITH {ALL_IDX_SQL}, y AS (SELECT series_id, year(date) AS year, arg_max(value, date) AS value FROM idx
         WHERE value IS NOT NULL AND date >= DATE '1996-01-01' GROUP BY 1, 2)
         SELECT series_id, year, value, round((value / first_value(value) OVER (PARTITION BY series_id ORDER BY year) - 1) * 100, 6) AS growth_pct FROM y""",
     ),
     "compare_growth": (
         compare_growth,
-        f"""WITH {R_SQL}, {IDX_SQL}, {IDX2_SQL}, y AS (
+        f"""WITH {R_SQL}, {ALL_IDX_SQL}, {IDX2_SQL}, y AS (
         SELECT series_id, year(date) AS year, arg_max(value, date) AS value FROM (SELECT * FROM idx UNION ALL SELECT * FROM idx2)
         WHERE value IS NOT NULL AND date >= DATE '1996-01-01' GROUP BY 1, 2
         UNION ALL SELECT 'median_pay', year, median(salary) FROM r WHERE year >= 1996 GROUP BY 2)

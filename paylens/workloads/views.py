@@ -79,11 +79,13 @@ def _gap(month: str) -> str:
     return f"((year({month}) - 1995) * 12 + month({month}) - 1) % 7 = 0"
 
 
-def monthly_index(spark: SparkSession, folder: str) -> DataFrame:
+def monthly_index(spark: SparkSession, folder: str, end: str | None = None) -> DataFrame:
+    """The index of all months, or of those before `end`."""
+    months = table(spark, folder, "lineitem").selectExpr(
+        "CAST(date_trunc('month', l_shipdate) AS DATE) AS m", "l_extendedprice AS p"
+    )
     monthly = (
-        table(spark, folder, "lineitem")
-        .selectExpr("CAST(date_trunc('month', l_shipdate) AS DATE) AS m", "l_extendedprice AS p")
-        .where(f"m < DATE'{INDEX_END}'")
+        (months.where(f"m < DATE'{end}'") if end else months)
         .groupBy("m")
         .agg(F.expr(f"{_MEAN} DIV count(*) / 1000D AS v"))
     )
@@ -107,6 +109,7 @@ def _series_sql(series_id: str, source: str, stamp: str, price: str, cut: str) -
     )
 
 
+ALL_IDX_SQL = f"idx AS ({_series_sql('price', 'lineitem', 'l_shipdate', 'l_extendedprice', '')})"
 IDX_SQL = f"idx AS ({_series_sql('price', 'lineitem', 'l_shipdate', 'l_extendedprice', f'''WHERE m < DATE '{INDEX_END}' ''')})"
 IDX2_SQL = f"idx2 AS ({_series_sql('orders', 'orders', 'o_orderdate', 'o_totalprice', '')})"
 
@@ -132,6 +135,6 @@ ADJUSTED_SQL = f"{R_SQL}, {IDX_SQL}, {FILLED_SQL}, {_ADJUST_SQL.strip()}"
 
 def adjusted_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Responses with the index of their month and the pay in today's money."""
-    index = ts.interpolate_gaps(monthly_index(spark, folder))
+    index = ts.interpolate_gaps(monthly_index(spark, folder, INDEX_END))
     joined = ts.join_month_fallback(responses(spark, folder), index, "month", "cpi")
     return ts.inflation_adjust(joined, "salary", "cpi", ts.current_value(index), "real_salary")

@@ -9,6 +9,7 @@ from tests.conftest import rows
 
 NA = None
 
+# Cases with known answers.
 FIRM_CASES = [
     (["Individual", "16-30 People", "Health Insurance", "15 Days Vacation", "$1,000 Bonus"], ("Individual", "16-30 People", "Yes", NA, "15", "1,000")),
     (["Boutique", "6-10 People"], ("Boutique", "6-10 People", NA, NA, NA, NA)),
@@ -36,9 +37,10 @@ PERSON_CASES = [
 
 def classify(spark, cases, fields):
     df = spark.createDataFrame([(i, items) for i, (items, _) in enumerate(cases)], "i int, items array<string>")
-    names = fields("items")
+    tags = t.firm_tags if fields is t.firm_fields else t.person_tags
+    names = fields("tags")
     order = ["i", *names]
-    return df.selectExpr("i", *[f"{e} AS {n}" for n, e in names.items()]).select(*order), order
+    return df.selectExpr("i", f"{tags('items')} AS tags").selectExpr("i", *[f"{e} AS {n}" for n, e in names.items()]).select(*order), order
 
 
 def test_firm_items(spark):
@@ -80,9 +82,15 @@ def test_card(spark):
 
 def test_spread_cards_give_the_same(spark):
     df = spark.range(40).selectExpr("CAST(id AS STRING) AS id").crossJoin(spark.createDataFrame([(CARD,)], "html string")).coalesce(1)
-    spread = extract_cards(df, tasks=6)
-    assert spread.rdd.getNumPartitions() > 1
-    assert rows(spread) == rows(extract_cards(df))
+    spread = extract_cards(df)
+    assert "REPARTITION_BY_COL" in spread._jdf.queryExecution().executedPlan().toString()
+    assert rows(spread) == rows(extract_cards(df, spread=False))
+
+
+def test_later_filters_stay_above_the_extraction(spark):
+    df = spark.createDataFrame([("17", CARD)], "id string, html string")
+    text = extract_cards(df).where("Salary = '60,000' AND Gender = 'Male'")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("data-original-title") == 1 and text.count("date-stamp") == 1
 
 
 @pytest.mark.parametrize(
@@ -98,6 +106,12 @@ def test_spread_cards_give_the_same(spark):
         ("it&apos;s", "it's"),
         ("plain", "plain"),
         (None, None),
+        ("&#0000000039;x", "'x"),
+        ("it&#146;s &#150; &#x80;", "it\u2019s \u2013 \u20ac"),
+        ("&period;&NotEqualTilde;", ".\u2242\u0338"),
+        ("A&nbspB caf&eacute", "A\xa0B caf\xe9"),
+        ("&notit; &copyx &ampamp;", "\xacit; \xa9x &amp;"),
+        ("&#0; &#xD800; &#99999999999; &#65", "\ufffd \ufffd \ufffd A"),
     ],
 )
 def test_entities(spark, text, wanted):
@@ -124,4 +138,6 @@ def test_first_with_prefix(spark):
 def test_envelope_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"iTotalRecords": 3,\n "aaData": [["1", "<p>x</p>"], ["", "y"], ["2", "z"]]}')
     (tmp_path / "b.json").write_text('{"iTotalRecords": 1, "aaData": []}')
-    assert rows(read_envelopes(spark, str(tmp_path))) == [("1", "<p>x</p>"), ("2", "z")]
+    got = read_envelopes(spark, str(tmp_path))
+    assert rows(got, "id", "html") == [("1", "<p>x</p>"), ("2", "z")]
+    assert [r["id"] for r in got.orderBy("landed").collect()] == ["1", "2"] and got.selectExpr("max(landed.place)").first()[0] == 2

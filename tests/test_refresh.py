@@ -71,9 +71,20 @@ def test_whole_job(spark, dims):
     assert rows(result.unresolved_places) == [("Atlantis",), ("Boston, MA, US",)]
     assert rows(result.dropped_places, "id", "Location") == [(5, "Atlantis")]
     assert rows(result.rejected_units) == [("CHFyear", 1)]
-    assert result.report.collect()[0].asDict() == {
-        "rows": 7, "missing_salary": 0, "missing_satisfaction": 0, "missing_coordinates": 0, "missing_index": 0
+    report = result.report.collect()[0].asDict()
+    assert report == {
+        "rows": 14, "missing_salary": 0, "missing_satisfaction": 1, "missing_coordinates": 1, "missing_index": 0,
+        "dropped_satisfaction": 1, "dropped_part_time": 1, "dropped_pay": 2, "dropped_place": 1, "dropped_ids": 1, "dropped_unit": 1, "kept": 7,
     }
+    assert report["kept"] == len(got)
+
+
+def test_first_landed_response_stays(spark, dims):
+    cards = [("20", CARD), ("3", CARD), ("9", "<p>no fields</p>")]
+    landed = spark.createDataFrame([(i, h, ("f", n)) for n, (i, h) in enumerate(cards)], "id string, html string, landed struct<file:string,place:int>")
+    typed = clean_responses(extract_cards(landed, keep=["landed"]))
+    assert rows(typed, "id") == [(20,)] and "landed" not in typed.columns
+    assert rows(clean_responses(extract_cards(landed)), "id") == [(3,)]
 
 
 def test_experience_labels_join_the_ordered_category(spark):
