@@ -2,8 +2,9 @@
 
 Spark's own median keeps every distinct value of a group in one buffer. Here a group is cut into
 cells on a fixed logarithmic grid; running counts over the cells tell which cells hold the wanted
-ranks, and only the values of those cells are ordered. The grid depends on the value alone, so the
-result does not depend on sampling, task order or retries.
+ranks. Those cells are cut again, evenly between their own smallest and largest value, as small or
+crowded values may share one cell; only the values of the parts with the wanted ranks are ordered.
+The grids depend on the values alone, so the result does not depend on sampling, task order or retries.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from paylens.functions.sql import lit, not_null, q
 # Cells per unit of log(1 + |v|): a cell spans 0.025 % of its values, so around 100,000 it holds
 # 25 whole units, and a group has about 47,000 cells between 10 thousand and 1 billion.
 CELLS_PER_LOG = 4096
+# parts of a cell that holds a wanted rank
+PARTS = 4096
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -43,21 +46,37 @@ def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: dict[str,
     cell = f"coalesce(floor(signum(_v) * log1p(abs(_v)) * {CELLS_PER_LOG}), 0L)"
     counts = counts.selectExpr("*", f"{cell} AS _cell")
     # the windows see cells, not rows: a group has a bounded number of them
+    wanted = f"exists(array({ranks}), r -> r >= _start AND r < _start + _held)"
     cells = (
         counts.groupBy(*names, "_cell")
-        .agg(F.expr("sum(_n) AS _in_cell"))
+        .agg(F.expr("sum(_n) AS _held"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
         .selectExpr(
             "*",
-            f"sum(_in_cell) OVER ({group} ORDER BY _cell ROWS UNBOUNDED PRECEDING) - _in_cell AS _start",
-            f"sum(_in_cell) OVER ({group}) AS _rows",
+            f"sum(_held) OVER ({group} ORDER BY _cell ROWS UNBOUNDED PRECEDING) - _held AS _start",
+            f"sum(_held) OVER ({group}) AS _rows",
         )
-        .where(f"exists(array({ranks}), r -> r >= _start AND r < _start + _in_cell)")
-        .select(*names, "_cell", "_start", "_rows")
+        .where(wanted)
+        .select(*names, "_cell", "_start", "_rows", "_lo", "_hi")
     )
-    in_cell = f"PARTITION BY {', '.join([*names, '_cell'])} ORDER BY _v ROWS UNBOUNDED PRECEDING"
+    # halves, so that the width of the widest cell is no overflow
+    part = f"CASE WHEN _hi > _lo THEN least(floor((_v / 2 - _lo / 2) / (_hi / 2 - _lo / 2) * {PARTS}), {PARTS - 1}) ELSE 0 END"
+    near = counts.join(cells, [*keys, "_cell"]).selectExpr(
+        *names, "_cell", f"CAST(coalesce(try_cast({part} AS BIGINT), 0) AS INT) AS _part", "_v", "_n", "_start", "_rows"
+    )
+    cell = ", ".join([*names, "_cell"])
+    parts = (
+        near.groupBy(*names, "_cell", "_part")
+        .agg(F.expr("sum(_n) AS _held"), F.expr("min(_start) AS _begin"), F.expr("min(_rows) AS _rows"))
+        .selectExpr(
+            "*", f"_begin + sum(_held) OVER (PARTITION BY {cell} ORDER BY _part ROWS UNBOUNDED PRECEDING) - _held AS _start"
+        )
+        .where(wanted)
+        .select(*names, "_cell", "_part", F.col("_start").alias("_before"))
+    )
+    in_part = f"PARTITION BY {cell}, _part ORDER BY _v ROWS UNBOUNDED PRECEDING"
     near = (
-        counts.join(cells, [*keys, "_cell"])
-        .selectExpr(*names, "_v", "_n", "_rows", f"_start + sum(_n) OVER ({in_cell}) AS _to")
+        near.join(parts, [*keys, "_cell", "_part"])
+        .selectExpr(*names, "_v", "_n", "_rows", f"_before + sum(_n) OVER ({in_part}) AS _to")
         .selectExpr("*", "_to - _n AS _from")
     )
 

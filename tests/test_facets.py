@@ -173,3 +173,23 @@ def test_bands_and_wide(spark):
     assert got[("x", "M")] == (2.5, -1.25, 1.25) and got[("z", "M")] == (5.0, 6.5, 11.5)
     wide = {r["age"]: r.asDict() for r in a.pivot_long_wide(df, "age", "gender", ["M", "F"], "mean").collect()}
     assert wide["z"] == {"age": "z", "M": 9.0, "F": None}
+
+
+def test_facet_histogram_of_one_value(spark):
+    df = spark.range(20).selectExpr("5D AS pay", "id")
+    got = [(r["left"], r["count"]) for r in f.facet_histogram(df, f.FilterSet(), "pay", bins=4).orderBy("bin").collect()]
+    assert got == [(4.5, 0), (4.75, 0), (5.0, 20), (5.25, 0)]
+    assert sum(r["count"] for r in f.facet_histogram(df, f.FilterSet(), "pay", 5, 5, 3).collect()) == 20
+
+
+def test_filled_values_are_not_found_as_text(spark):
+    df = f.fill_not_given(spark.createDataFrame([("x",), (None,), ("",)], "s string"), ["s"])
+    assert [r[0] for r in rows(df.where(f.text_search("s", "any")))] == ["x"]
+    assert [r[0] for r in rows(df.where(f.text_search("s", "none")))] == ["", "N/A"]
+
+
+def test_pivot_keeps_rows_without_a_listed_answer(spark):
+    df = spark.createDataFrame([("A", "1", 5, 10.0), ("B", "9", 5, 10.0), ("C", None, 5, 10.0), (None, "1", 5, 1.0)], "firm string, years string, sat int, pay double")
+    got = {r["firm"]: r.asDict() for r in a.pivot_matrices(df, "firm", "years", ["1", "2"], "sat", "pay").collect()}
+    assert sorted(got) == ["A", "B", "C"]
+    assert (got["A"]["count_1"], got["A"]["median_1"], got["B"]["count_1"], got["C"]["count_2"], got["C"]["mean_1"]) == (1, 10.0, 0, 0, None)

@@ -127,3 +127,9 @@ def test_encoding(spark, counts, largest):
     assert [other[0]["hex_radius"], other[-1]["hex_radius"]] == pytest.approx([1.0, 11.0])
     flat = h.hexbin_encode(df.limit(1), "share").collect()[0]
     assert (flat["color_value"], flat["hex_radius"]) == (0.0, pytest.approx(7.0))
+
+
+def test_hexagons_coloured_by_category(spark):
+    df = spark.createDataFrame([(0, 0, 4, "Boutique"), (0, 1, 9, None)], "cell_i int, cell_j int, n bigint, firm_mode string")
+    got = h.hexbin_encode(df, "firm_mode").orderBy("cell_j").collect()
+    assert [r["color_value"] for r in got] == ["Boutique", None] and got[0]["hex_radius"] < got[1]["hex_radius"]

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from paylens.operators import joins as j
 from paylens.workloads import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -52,3 +53,24 @@ def test_whole_refresh_shuffles_responses_once(spark):
 def test_facets_scan_once(spark):
     text = plan(contract.queries()["facet_counts"](spark, FOLDER))
     assert text.count("orders.parquet") == 1
+
+
+def test_hexagons_read_the_responses_twice(spark):
+    df = contract.queries()["hexbin_stats"](spark, FOLDER)
+    df.collect()
+    final = plan(df).split("Initial Plan")[0]
+    assert final.count("orders.parquet") <= 2
+
+
+def test_duplicate_audit_is_a_hash_aggregate(spark):
+    text = plan(contract.queries()["duplicate_audit"](spark, FOLDER))
+    assert "ObjectHashAggregate" not in text and "SortAggregate" not in text
+
+
+def test_large_lookups_share_their_hot_keys(spark):
+    facts = spark.read.parquet(f"{FOLDER}/orders.parquet").selectExpr("o_orderkey AS id", "o_custkey AS k")
+    dim = spark.read.parquet(f"{FOLDER}/customer.parquet").selectExpr("c_custkey AS k", "c_name AS a")
+    hot = j.hot_keys(facts, ["k"])
+    twice = j.lookup_join(j.lookup_join(facts, dim, "k", max_rows=1, hot=hot), dim.withColumnRenamed("a", "b"), "k", max_rows=1, hot=hot)
+    assert plan(twice).count("orders.parquet") == 1
+    assert twice.count() == facts.count()

@@ -100,3 +100,19 @@ def test_density_matches_formula(spark, n):
     wanted = kernel / (h * math.sqrt(2 * math.pi)) * (values.max() - values.min()) / 50
     assert [r["x"] for r in got] == pytest.approx(list(grid))
     assert [r["density"] for r in got] == pytest.approx(list(wanted), rel=1e-9, abs=1e-15)
+
+
+@pytest.mark.parametrize("low, high", [(0.0, 0.0001), (100000.0, 100010.0)])
+def test_crowded_values_are_cut_again(spark, low, high):
+    """A thousand times ten thousand values in a few cells of the first grid."""
+    df = spark.range(200_000).selectExpr("id % 2 AS g", f"{low}D + ({high}D - {low}D) * (id * 7919 % 200000) / 200000 AS v")
+    got = {r["g"]: r["median"] for r in group_median(df, ["g"], "v").collect()}
+    for g in (0, 1):
+        values = sorted(low + (high - low) * (i * 7919 % 200000) / 200000 for i in range(g, 200_000, 2))
+        assert got[g] == pytest.approx((values[49_999] + values[50_000]) / 2, rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 20])
+def test_density_of_values_without_spread_is_null(spark, n):
+    got = d.density_curve(spark.range(n).selectExpr("5D AS v"), "v", bins=10, points=6).collect()
+    assert [(r["x"], r["density"]) for r in got] == [(5.0, None)] * 6

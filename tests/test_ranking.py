@@ -70,3 +70,17 @@ def test_grid(spark):
     got = [tuple(r) for r in rank_grid(df, 3, 10, 5, 2).orderBy("rank").collect()]
     assert got[4] == (4, 1, 1, 15.0, 12.0)
     assert got[6] == (6, 0, 2, 5.0, 22.0)
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("buckets", [2, 16])
+def test_whole_numbers_that_share_a_double(spark, ascending, buckets):
+    """Ids and values above 2 ** 53, where neighbours become the same double, and one hot value among them."""
+    r = random.Random(5)
+    base = 2**53
+    data = [(base + i, None if i % 50 == 0 else base + 7 if i % 3 else base + r.randrange(300)) for i in range(1200)]
+    data += [(base + 5000 + i, 2**63 - 1 - i) for i in range(20)]
+    r.shuffle(data)
+    df = spark.createDataFrame(data, "seq bigint, v bigint").repartition(4)
+    got = {row["seq"]: row["rank"] for row in global_rank(df, "v", "seq", ascending, buckets).collect()}
+    assert got == expected(data, ascending)

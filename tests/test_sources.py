@@ -91,3 +91,9 @@ def test_checkpoint_dir(spark, tmp_path):
         finally:
             spark.conf.unset("spark.checkpoint.dir")
     assert session.ensure_checkpoint_dir(spark) == sc.getCheckpointDir()
+
+
+def test_cache_takes_no_null_key(spark):
+    cache = spark.createDataFrame([("A", 1.0)], "Location string, Latitude double")
+    found = spark.createDataFrame([(None, 2.0), ("B", 3.0)], "Location string, Latitude double")
+    assert rows(new_cache_rows(found, cache)) == [("B", 3.0)]
