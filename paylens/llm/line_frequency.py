@@ -20,7 +20,7 @@ WINDOW = 8
 LINE_DOCUMENTS = 20
 LINE_PERCENT = 1
 # a document is depleted if it keeps less than this share of its words
-KEEP_PERCENT = 50
+KEEP_PERCENT = 25
 
 
 def _words(text: str) -> str:

@@ -131,7 +131,7 @@ WITH w AS (
          CAST(coalesce(removed.n, 0) AS BIGINT) AS n_removed_words
   FROM w LEFT JOIN dup USING (r) LEFT JOIN covered USING (r) LEFT JOIN removed USING (r)
 )
-SELECT *, base_failed = FALSE AND 100 * (n_words - n_removed_words) >= 50 * n_words AS kept
+SELECT *, base_failed = FALSE AND 100 * (n_words - n_removed_words) >= 25 * n_words AS kept
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
 """
 
