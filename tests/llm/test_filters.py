@@ -42,11 +42,11 @@ def test_base_counts_on_odd_texts(spark):
 
 
 def test_lines_in_many_documents_of_a_host_go(spark):
-    rows = [(i, f"{prose(i, 30)}\nShare this page with number {i}\n" + "Common menu line here " * 20, "host") for i in range(30)]
+    rows = [(i, f"{prose(i, 30)}\nShare this page with number {i}\n" + "Common menu line here " * 30, "host") for i in range(30)]
     rows += [(100 + i, prose(7, 40), "host") for i in range(50)]  # copies are one document
     rows += [(200, prose(8, 40) + "\nShare this page with number 7", "other"), (201, None, None)]
     got = {r["doc_id"]: r for r in quality_rules(documents(spark, rows), max_repeat_percent=100).collect()}
-    assert got[3]["n_removed_words"] == 6 + 80 and not got[3]["kept"] and got[3]["clean_text"] == prose(3, 30)
+    assert got[3]["n_removed_words"] == 6 + 120 and not got[3]["kept"] and got[3]["clean_text"] == prose(3, 30)
     assert got[120]["kept"] and got[200]["kept"] and got[200]["n_removed_words"] == 0
     assert got[201]["base_failed"] and got[201]["clean_text"] is None
     assert quality_rules(documents(spark, [])).count() == 0
