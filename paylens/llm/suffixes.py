@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paylens.llm.hashing import blocks, mix64, prefix_hashes, range_hashes, seeds
+from paylens.llm.hashing import STEP, blocks, mix64, prefix_hashes, range_hashes, seeds
 from paylens.llm.tables import col
 from paylens.session import stored
 
@@ -62,16 +62,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 
 def _anchor_rows(length: int, gram: int):
-    """Rows (id, th, text) to (id, th, j, h, d), one for each segment; j numbers the segments of a text."""
+    """Rows (id, th, text) to (id, th, j, h, d, c), one for each distinct segment of a text.
+
+    j is the number of its first place among the text's segments, c of how many places it has there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for done, data, offsets in blocks(batch.column("text")):
+            for done, data, offsets in blocks(batch.column("text"), STEP // 2):
                 row, _, _, _, h, d = anchors(data, offsets, length, gram)
                 j = np.arange(len(row)) - np.searchsorted(row, row)
-                take = pa.array(row + done)
-                columns = [batch.column("id").take(take), batch.column("th").take(take), pa.array(j.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(d.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "j", "h", "d"])
+                # equal segments of a row side by side, the first place first
+                order = np.lexsort((d, row))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (d[order][1:] != d[order][:-1]) | (row[order][1:] != row[order][:-1])
+                first = order[new]
+                c = np.diff(np.append(np.flatnonzero(new), len(order)))
+                take = pa.array(row[first] + done)
+                columns = [batch.column("id").take(take), batch.column("th").take(take)]
+                columns += [pa.array(x) for x in (j[first].astype(np.int32), h[first].view(np.int64), d[first].view(np.int64), c.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "j", "h", "d", "c"])
 
     return run
 
@@ -244,7 +254,7 @@ def _runs(hit: np.ndarray, lo: int, length: int) -> list[dict]:
     return [{"lo": lo + a, "hi": lo + b - 1 + length} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-def _sort_groups(length: int, most: int = 1 << 21):
+def _sort_groups(length: int, most: int = 1 << 19):
     """Rows (id, th, lo, left, n, copies, h, seg) in order of h to (id, th, spans) of segments that occur once."""
 
     def solve(rows: pa.Table) -> pa.RecordBatch:
@@ -307,8 +317,9 @@ def _apply(length: int, gram: int, keep: list[str], with_text: bool):
                 size = len(text)
                 edge = np.zeros(size + 1, dtype=np.int64)
                 if full:
-                    _, lo, hi, *_ = anchors(np.frombuffer(text, dtype=np.uint8), np.array([0, size]), length, gram)
-                    j = np.array(full)
+                    _, lo, hi, _, _, d = anchors(np.frombuffer(text, dtype=np.uint8), np.array([0, size]), length, gram)
+                    # all places of the segments that are named by their first
+                    j = np.isin(d, d[np.array(full)])
                     np.add.at(edge, lo[j], 1)
                     np.add.at(edge, hi[j] + length, -1)
                 for part in spans or []:
@@ -367,16 +378,17 @@ def remove_repeats(
     # tells texts with the same key apart
     th = F.hash(col(text)).alias("th")
     rows = docs.select(col(key).alias("id"), th, raw)
-    found = rows.mapInArrow(_anchor_rows(length, gram), f"id {kind}, th int, j int, h long, d long")
+    found = rows.mapInArrow(_anchor_rows(length, gram), f"id {kind}, th int, j int, h long, d long, c int")
 
-    shared = found.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("n"), (F.min("d") != F.max("d")).alias("mixed"))
-    shared = shared.where("n > 1").select("h2", "mixed")
+    shared = found.groupBy(F.col("h").alias("h2")).agg(F.sum("c").alias("n"), (F.min("d") != F.max("d")).alias("mixed"))
+    # stored, so that the join stands on two plain shuffles and a frequent anchor can be split
+    shared = stored(shared.where("n > 1").select("h2", "mixed"))
     met = found.join(shared, F.col("h") == F.col("h2"))
-    hits = stored(met.select("id", "th", "j", *[F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("h", "d")]))
+    hits = stored(met.select("id", "th", "j", "c", *[F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("h", "d")]))
 
     # segments that differ around one anchor; one row per distinct segment
     mixed = hits.where("h IS NOT NULL")
-    classes = stored(mixed.groupBy("h", "d").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th", "j")).alias("one")))
+    classes = stored(mixed.groupBy("h", "d").agg(F.sum("c").alias("copies"), F.min(F.struct("id", "th", "j")).alias("one")))
     copied = classes.where("copies > 1").select(F.col("h").alias("h2"), F.col("d").alias("d2"))
     again = mixed.join(copied, (F.col("h") == F.col("h2")) & (F.col("d") == F.col("d2")), "left_semi")
     full = hits.where("h IS NULL").select("id", "th", "j").union(again.select("id", "th", "j"))
