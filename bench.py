@@ -34,6 +34,7 @@ HEADLINE = [
     "suggest_values",
     "rank_grid",
     "hexbin_stats",
+    "survey_refresh",
 ]
 
 
