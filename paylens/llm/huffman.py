@@ -8,7 +8,6 @@ decoder starts at all checkpoints of a block at once and steps through a table o
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from paylens.llm.hashing import blocks, mix64, prefix_hashes, range_hashes, words
-from paylens.llm.tables import col
+from paylens.llm.tables import col, small_batches
 from paylens.session import stored
 
 LIMIT = 18
@@ -360,7 +359,7 @@ def _recode(lengths: np.ndarray, block: int, stride: int):
     return run
 
 
-def _read(lengths: np.ndarray, stride: int):
+def _read(lengths: np.ndarray, as_bytes: bool):
     """Blocks with their first token's number to rows (id, start, n_tokens, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,14 +367,22 @@ def _read(lengths: np.ndarray, stride: int):
         for batch in batches:
             for i in range(len(batch)):
                 row = {c: batch.column(c)[i] for c in ("doc_ids", "doc_tokens", "n_tokens", "checkpoints", "payload", "first")}
-                ids = decode(row["payload"].as_py(), row["checkpoints"].values.to_numpy(), lane_counts(row["n_tokens"].as_py(), stride), table)
+                n, at = row["n_tokens"].as_py(), row["checkpoints"].values.to_numpy()
+                # checkpoints are as many as strides began
+                ids = decode(row["payload"].as_py(), at, lane_counts(n, batch.column("stride")[i].as_py()), table)
                 sizes = row["doc_tokens"].values.to_numpy()
                 ends = np.cumsum(sizes)
+                offsets = pa.array(np.append(0, ends).astype(np.int32))
+                if as_bytes:
+                    held = [pa.array(4 * np.append(0, ends).astype(np.int32)).buffers()[1], pa.py_buffer(ids.astype("<u4").tobytes())]
+                    lists = pa.Array.from_buffers(pa.binary(), len(sizes), [None, *held])
+                else:
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32)))
                 columns = [
                     row["doc_ids"].values,
                     pa.array(row["first"].as_py() + ends - sizes),
                     pa.array(sizes),
-                    pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view(np.int32))),
+                    lists,
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "n_tokens", "ids"])
 
@@ -403,7 +410,8 @@ def write_ids(
     size = Pieces(tokenizer).tokenizer.get_vocab_size()
     rows = docs.select(col(key).alias("id"), col(text).cast("binary").alias("text"))
     kind = rows.dtypes[0][1]
-    coded = stored(rows.mapInArrow(_tokenize(tokenizer, size), f"id {kind}, n long, ids binary, count array<long>"))
+    with small_batches(docs.sparkSession):
+        coded = stored(rows.mapInArrow(_tokenize(tokenizer, size), f"id {kind}, n long, ids binary, count array<long>"))
 
     per_id = coded.where("count IS NOT NULL").select(F.posexplode("count").alias("id", "n")).where("n > 0")
     counted = per_id.groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
@@ -417,11 +425,15 @@ def write_ids(
 
     ordered = coded.where("count IS NULL").drop("count").repartitionByRange("id").sortWithinPartitions("id", "n", "ids")
     blocks = ordered.mapInArrow(_recode(lengths, block, stride), BLOCK_SCHEMA.format(kind=kind))
-    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    with small_batches(spark):
+        blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(id, start, n_tokens, ids) of every document of a written corpus; start counts the ids of all documents before it."""
+def read_ids(spark: SparkSession, path: str, as_bytes: bool = False) -> DataFrame:
+    """(id, start, n_tokens, ids) of every document of a written corpus; start counts the ids of all documents before it.
+
+    ids is an array of integers, or with `as_bytes` their little-endian 32-bit form.
+    """
     code = spark.read.parquet(f"{path}/code").collect()  # at most the vocabulary
     lengths = np.zeros(max([r["id"] for r in code], default=0) + 1, dtype=np.uint8)
     for r in code:
@@ -433,20 +445,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     # one row per shard, of which there are as many as tasks that wrote the blocks
     starts = F.broadcast(sizes.select("s", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")))
     placed = blocks.join(starts, F.col("shard") == F.col("s")).withColumn("first", F.col("base") + F.col("before"))
-    return placed.select("doc_ids", "doc_tokens", "n_tokens", "checkpoints", "payload", "first").mapInArrow(
-        _read(lengths, code[0]["stride"] if code else STRIDE), f"id {kind}, start long, n_tokens long, ids array<int>"
+    stride = F.lit(code[0]["stride"] if code else STRIDE).alias("stride")
+    return placed.select("doc_ids", "doc_tokens", "n_tokens", "checkpoints", "payload", "first", stride).mapInArrow(
+        _read(lengths, as_bytes), f"id {kind}, start long, n_tokens long, ids {'binary' if as_bytes else 'array<int>'}"
     )
-
-
-def crc32_of_ids(documents: DataFrame) -> DataFrame:
-    """Replace `ids` by the unsigned crc32 of its little-endian 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, at = ids.values.to_numpy().astype("<i4", copy=False), ids.offsets.to_numpy()
-            crc = pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "start", "n_tokens")] + [crc], names=["id", "start", "n_tokens", "ids_crc32"])
-
-    kind = dict(documents.dtypes)["id"]
-    return documents.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,18 @@ def row_key(df: DataFrame, seed: int, columns: Sequence[str]) -> Column:
     """
     parts = [F.coalesce(F.md5(col(c).cast("string").cast("binary")), F.lit("null")) for c in columns]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts).cast("binary"))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Jobs planned inside send texts to Python in Arrow batches of about this size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
