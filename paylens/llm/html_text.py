@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from paylens.llm.tables import col, fresh
+from paylens.session import stored
 
 # hosts with more pages are cut by path, all but the last letters of its last part
 HOST_PAGES = 4096
@@ -234,7 +235,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.regexp_replace(F.regexp_extract(col(url), address, 2), r"(/|/index\.\w+|\.\w{1,5})$", "").alias("_path"),
         col(html).alias("_html"),
     )
+    # stored, so that its size is known and a short list is sent to the pages instead of shuffling these by host
     large = rows.groupBy(F.col("_host").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where(f"n > {host_pages}").select("_h")
+    large = stored(large)
     slim = T.StructType([*rows.drop("_html").schema.fields, T.StructField("_lines", T.ArrayType(T.StringType())), T.StructField("_kinds", T.ArrayType(T.IntegerType())), T.StructField("_marks", T.ArrayType(T.LongType()))])
     parsed = rows.mapInArrow(_parse, slim)
     # pages without an address stay apart from each other

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paylens.llm.hnsw import near_vectors
 from paylens.llm.html_text import extract
-from paylens.llm.huffman import crc32_of_ids, read_ids, write_ids
+from paylens.llm.huffman import read_ids, write_ids
 from paylens.llm.language import CONFIDENT, address_parts, declared_language, fit_text, identify, visible_text
 from paylens.llm.line_frequency import quality_rules
 from paylens.llm.minhash import near_duplicates
@@ -62,7 +62,8 @@ def op7_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
 
     path = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(table(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return crc32_of_ids(read_ids(spark, path)).withColumnRenamed("id", "doc_id")
+    read = read_ids(spark, path, as_bytes=True)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_fair_queue_mixing(spark: SparkSession, folder: str) -> DataFrame:

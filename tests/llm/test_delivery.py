@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from paylens.llm import queries
-from paylens.llm.huffman import Pieces, canonical_codes, code_lengths, crc32_of_ids, decode, decode_table, encode, lane_counts, read_ids, write_ids
+from paylens.llm.huffman import Pieces, canonical_codes, code_lengths, decode, decode_table, encode, lane_counts, read_ids, write_ids
 from paylens.llm.mixing import mix, plan_mix, source_targets
 from paylens.llm.packing import best_boundaries, pack
 from paylens.session import ensure_checkpoint_dir
@@ -156,7 +156,7 @@ def test_written_ids_read_back(spark):
     path = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
     write_ids(clashing(documents(spark, rows), "n", "ids", "count"), path, FILE, block=500)
     got = read_ids(spark, path)
-    crc = crc32_of_ids(got).collect()
+    crc = read_ids(spark, path, as_bytes=True).selectExpr("start", "crc32(ids) AS ids_crc32").collect()
     library = Pieces(open(FILE, encoding="utf-8").read()).library
     want = sorted((r[0] is not None, r[0] or 0, ids) for r, ids in zip(rows, ([*x, 0] for x in library([r[1] or "" for r in rows]))))
     found = sorted(got.collect(), key=lambda r: r["start"])
