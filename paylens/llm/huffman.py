@@ -21,7 +21,8 @@ from paylens.llm.hashing import blocks, mix64, prefix_hashes, range_hashes, word
 from paylens.llm.tables import col, small_batches
 from paylens.session import stored
 
-LIMIT = 18
+# with the seven bits before it, a code lies within three bytes
+LIMIT = 17
 STRIDE = 128
 # a block is closed by the document that brings it to so many tokens
 BLOCK = 1 << 16
@@ -73,6 +74,11 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
+def _reach(lengths: np.ndarray) -> int:
+    """Bytes that the longest code may touch."""
+    return (int(lengths.max(initial=1)) + 14) // 8
+
+
 def encode(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> tuple[bytes, np.ndarray]:
     """Payload and the bit offset of every stride-th token."""
     bits = lengths[ids].astype(np.int64)
@@ -81,17 +87,18 @@ def encode(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, stride: int
     total = int(ends[-1]) if len(ends) else 0
     size = (total + 7) // 8
     byte = starts >> 3
-    window = codes[ids].astype(np.uint64) << (np.uint64(40) - bits.astype(np.uint64) - (starts & 7).astype(np.uint64))
-    out = np.zeros(size + 5, dtype=np.uint8)
-    for i in range(5):
+    wide = _reach(lengths)
+    window = codes[ids].astype(np.int64) << (8 * wide - bits - (starts & 7))
+    out = np.zeros(size + wide, dtype=np.uint8)
+    for i in range(wide):
         # codes do not overlap, so sums are unions
-        part = ((window >> np.uint64(32 - 8 * i)) & np.uint64(255)).astype(np.float64)
-        out += np.bincount(byte + i, weights=part, minlength=size + 5).astype(np.uint8)
+        part = (window >> (8 * (wide - 1 - i))) & 255
+        out += np.bincount(byte + i, weights=part, minlength=size + wide).astype(np.uint8)
     return out[:size].tobytes(), starts[::stride].copy()
 
 
-def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """For every word of the longest code's bits: symbol, its length; and those bits."""
+def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """For every word of the longest code's bits: symbol, its length; those bits, and the bytes they may touch."""
     top = max(1, int(lengths.max(initial=0)))
     used = np.flatnonzero(lengths)
     order = used[np.argsort(lengths[used], kind="stable")]
@@ -100,7 +107,7 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     filled = int(width.sum())
     symbols[:filled] = np.repeat(order, width)
     sizes[:filled] = np.repeat(lengths[order], width)
-    return symbols, sizes, top
+    return symbols, sizes, top, _reach(lengths)
 
 
 def decode(payload: bytes, at: np.ndarray, counts: np.ndarray, table: tuple) -> np.ndarray:
@@ -108,20 +115,20 @@ def decode(payload: bytes, at: np.ndarray, counts: np.ndarray, table: tuple) ->
 
     All lanes are stepped at once.
     """
-    symbols, sizes, top = table
-    data = np.frombuffer(payload + bytes(8), dtype=np.uint8)
-    words = np.zeros(len(data) - 4, dtype=np.uint64)
-    for i in range(5):
-        words = (words << np.uint64(8)) | data[i : i + len(words)]
+    symbols, sizes, top, wide = table
+    data = np.frombuffer(payload + bytes(wide), dtype=np.uint8)
+    words = np.zeros(len(data) - wide + 1, dtype=np.int64)
+    for i in range(wide):
+        words = (words << 8) | data[i : i + len(words)]
     order = np.argsort(-counts, kind="stable")
     at, left = np.asarray(at, dtype=np.int64)[order], counts[order]
     steps = int(left[0]) if len(left) else 0
     out = np.zeros((steps, len(at)), dtype=np.uint32)
     lanes = np.searchsorted(-left, -np.arange(steps), side="left")  # lanes with more ids than the step's number
-    mask, shift = np.uint64((1 << top) - 1), np.uint64(40 - top)
+    mask, shift = (1 << top) - 1, 8 * wide - top
     for step, n in enumerate(lanes.tolist()):
         here = at[:n]
-        word = (words[here >> 3] >> (shift - (here & 7).astype(np.uint64))) & mask
+        word = (words[here >> 3] >> (shift - (here & 7))) & mask
         out[step, :n] = symbols[word]
         here += sizes[word]
     back = np.empty(len(order), dtype=np.int64)

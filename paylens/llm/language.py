@@ -164,11 +164,12 @@ def identify(
     domains = hosts.groupBy("_d").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(n)])
     up = [(F.col(f"d{i}") + prior * every.select(f"g{i}").scalar()) / (total("d") + prior) for i in range(n)]
     domains = domains.select(F.col("_d").alias("_d2"), *[u.alias(f"d{i}") for i, u in enumerate(up)])
+    # stored, so that the join stands on plain shuffles and a large host can be split
     priors = hosts.join(domains, F.col("_d").eqNullSafe(F.col("_d2"))).select(
         F.col("_h"), F.col("_d"), F.array(*[F.col(f"n{i}") for i in range(n)]).alias("_n"), F.array(*[F.col(f"d{i}") for i in range(n)]).alias("_p")
     )
     joined = (
-        scored.join(priors, col("host").eqNullSafe(F.col("_h")) & col("domain").eqNullSafe(F.col("_d")), "left")
+        scored.join(stored(priors), col("host").eqNullSafe(F.col("_h")) & col("domain").eqNullSafe(F.col("_d")), "left")
         .join(F.broadcast(likelihood("_decl", "_ld")), F.col("_decl") == F.col("_ldv"), "left")
         .join(F.broadcast(likelihood("_hint", "_lh")), F.col("_hint") == F.col("_lhv"), "left")
     )
@@ -182,7 +183,7 @@ def identify(
     mass = sum((F.exp(F.col("_post")[i] - F.col("_max")) for i in range(1, n)), F.exp(F.col("_post")[0] - F.col("_max")))
     return post.select(
         *[col(c) for c in kept],
-        F.element_at(known, F.col("_says") + 1).alias("text_lang"),
+        F.when(F.col("_says").isNotNull(), F.element_at(known, F.col("_says") + 1)).alias("text_lang"),
         F.element_at(known, best).alias("lang"),
         (1 / mass).alias("confidence"),
     )

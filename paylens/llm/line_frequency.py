@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.llm.tables import SPACE, col, fresh
+from paylens.session import stored
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -124,7 +125,8 @@ def boilerplate_lines(
     copies = base.groupBy("host", "txt").agg(F.lit(1).alias("one"))
     texts = copies.groupBy(F.col("host").alias("host2")).agg(F.count("one").alias("texts"))
     above = counted.join(texts, F.col("host").eqNullSafe(F.col("host2"))).where(f"n * 100 > texts * {line_percent}")
-    above = above.select(F.col("host").alias("host3"), F.col("h").alias("h3"))
+    # stored, so that the join stands on plain shuffles and a line of very many documents can be split
+    above = stored(above.select(F.col("host").alias("host3"), F.col("h").alias("h3")))
     cut = lines.join(above, F.col("host").eqNullSafe(F.col("host3")) & (F.col("h") == F.col("h3")), "left_semi")
     # repeated rows share a key and a text; each line counts once
     once = cut.groupBy("key", "host", "txt", "pos").agg(F.max("w").alias("w"))

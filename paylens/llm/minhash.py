@@ -115,7 +115,8 @@ def _prefix_pairs(nodes: DataFrame, percent: int) -> DataFrame:
     with so many shingles of its own has no partner at all.
     """
     sized = nodes.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("s"))
-    known = sized.groupBy(F.col("s").alias("s2")).agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    known = sized.groupBy(F.col("s").alias("s2")).agg(F.count(F.lit(1)).alias("df"))
+    known = stored(known.where("df > 1"))
     shared = sized.join(known, F.col("s") == F.col("s2")).select("node", "root", "n", "s", "df")
     mine = W.partitionBy("node")
     ranked = shared.withColumn("own", F.col("n") - F.count(F.lit(1)).over(mine)).withColumn(
@@ -159,7 +160,9 @@ def near_duplicates(
 
     # only half-keys that two classes share can be part of a shared table key
     halves_of = classes.select("node", F.posexplode(F.array(*names)).alias("at", "v"))
-    shared = halves_of.groupBy(F.col("at").alias("at2"), F.col("v").alias("v2")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    shared = halves_of.groupBy(F.col("at").alias("at2"), F.col("v").alias("v2")).agg(F.count(F.lit(1)).alias("k"))
+    # short lists are stored before a join: it then stands on plain shuffles, whose frequent keys can be split
+    shared = stored(shared.where("k > 1"))
     alive = (
         halves_of.join(shared, (F.col("at") == F.col("at2")) & (F.col("v") == F.col("v2")))
         .groupBy("node")
@@ -174,7 +177,7 @@ def near_duplicates(
     keyed = classes.join(alive, "node").select("node", "known", F.explode(F.array_compact(F.array(*tables))).alias("t"))
     # the class that most others share half-keys with stands in the middle of its table
     centre = keyed.groupBy(F.col("t").alias("t2")).agg(F.max(F.struct("known", (-F.col("node")).alias("m"))).alias("c"), F.count(F.lit(1)).alias("k"))
-    centre = centre.where("k > 1").select("t2", (-F.col("c.m")).alias("a"))
+    centre = stored(centre.where("k > 1").select("t2", (-F.col("c.m")).alias("a")))
     met = stored(keyed.join(centre, F.col("t") == F.col("t2")).select("t", "node", "a"))
     starred = stored(met.where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
 
@@ -190,6 +193,7 @@ def near_duplicates(
     # classes that the first links leave in a table with classes of other components
     placed = met.join(roots, "node", "left").select("t", "node", F.coalesce("root", "node").alias("root"))
     open_tables = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
+    open_tables = stored(open_tables)
     rest = placed.join(open_tables, "t", "left_semi").select("node", "root").distinct()
     across = _prefix_pairs(rest.join(sets, "node"), percent)
     more = _confirmed(across.join(starred, ["a", "b"], "left_anti"), sets, percent)

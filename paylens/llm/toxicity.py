@@ -20,14 +20,14 @@ from paylens.llm.hashing import blocks, mix64, prefix_hashes, range_hashes, word
 from paylens.llm.tables import col
 
 # labelled rows a chain is fitted on, at most; the driver holds their features
-SAMPLE = 8_000
+SAMPLE = 6_000
 FOLDS = 5
 SLOTS = 1 << 20
 # features that each model may use, those that tell the classes apart best
 CHOSEN = 8192
 # documents of the sample that a feature must be in
 FEW = 4
-BEGINNINGS = (3, 4, 5, 6)
+BEGINNINGS = (3, 4, 5)
 # no document is flagged on a probability below this, whatever the held-out rows suggest
 FLOOR = 0.1
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -88,7 +88,7 @@ def fit_linear(row: np.ndarray, slot: np.ndarray, y: np.ndarray, before: np.ndar
     if not 0 < positive < n:
         return Linear(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(before.shape[1]), start)
     seen = np.bincount(slot, minlength=SLOTS)
-    inside = np.bincount(slot[y[row] > 0], minlength=SLOTS)
+    inside = np.bincount(slot[(y > 0)[row]], minlength=SLOTS)
     used = np.flatnonzero(seen)
     seen, inside = seen[used], inside[used]
     expected = seen * rate
@@ -191,11 +191,13 @@ def fit_chain(
     sizes = np.diff(lists.offsets.to_numpy()) if n else np.zeros(0, dtype=np.int64)
     slot = lists.flatten().to_numpy() if n else np.zeros(0, dtype=np.int32)
     row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    hashed = np.array(got.column("h").to_pylist(), dtype=np.int64).view(np.uint64)
+    truth = np.array(got.column("y").to_pylist(), dtype=float).reshape(n, len(names))
+    del got, lists
     # what few documents have cannot be told from chance
-    common = np.bincount(slot, minlength=SLOTS)[slot] >= FEW if n else np.zeros(0, dtype=bool)
+    common = (np.bincount(slot, minlength=SLOTS) >= FEW)[slot] if n else np.zeros(0, dtype=bool)
     slot, row = slot[common], row[common]
-    truth = np.array(got.column("y").to_pylist(), dtype=float).reshape(n, len(names))
-    fold = (np.array(got.column("h").to_pylist(), dtype=np.int64).view(np.uint64) % np.uint64(folds)).astype(int) if n else np.zeros(0, dtype=int)
+    fold = (hashed % np.uint64(folds)).astype(int)
     apart = np.zeros((n, len(names)))  # out-of-fold probabilities
     models, thresholds = [], []
     for i in range(len(names)):

@@ -91,7 +91,7 @@ def test_language_from_each_evidence(spark):
     docs = documents(spark, rows).withColumn("lang", F.when(F.col("text").rlike("[öü]"), "bb").otherwise("aa"))
     languages, logs = fit_text(docs)
     assert languages == ["aa", "bb"]
-    cases = [(i, "h1", "d", "aa", None, make("aa", 200 + i)) for i in range(30)] + [(100 + i, "h2", "d", "bb", "bb", make("bb", 300 + i)) for i in range(30)]
+    cases = [(i, "h1", "d", "aa", "aa", make("aa", 200 + i)) for i in range(30)] + [(100 + i, "h2", "d", "bb", "bb", make("bb", 300 + i)) for i in range(30)]
     cases += [(500, "h1", "d", None, None, None), (501, "h2", "d", None, None, ""), (502, None, None, "bb", None, "?"), (503, "h9", "d", "zz", "bb", None)]
     cases += [(504, "h1", "d", "aa", None, make("bb", 400)), (504, "h1", "d", "aa", None, make("bb", 400))]
     frame = spark.createDataFrame(cases, "id long, host string, domain string, declared string, hint string, body string").withColumn("confidence", F.lit("x"))
