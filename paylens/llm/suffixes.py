@@ -38,8 +38,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     prefix = prefix_hashes(data)
     at = np.arange(n - gram + 1)
     gram_hash = mix64(range_hashes(prefix, at, at + gram))
-    # the least hash of each window, and in its low bits where it is: the first of equals
-    low = np.uint64((1 << max(21, int(n).bit_length())) - 1)
+    # the least hash of each window, and in its low bits where it is: the first of equals. The same bits count in
+    # every block, so that equal strings have equal anchors; no text has 2 ** 32 bytes
+    low = np.uint64((1 << 32) - 1)
     least, span = (gram_hash & ~low) | at.astype(np.uint64), 1
     while 2 * span <= width:
         least = np.minimum(least[:-span], least[span:])
