@@ -30,7 +30,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|textarea|title|iframe|svg|math|object|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|([^<]+|<)",
     re.S | re.I,
 )
