@@ -101,11 +101,15 @@ def topn_median_trend(
 ) -> DataFrame:
     """Median per period of the N most frequent values, with the median over all periods."""
     rows = topn_semi(df, topn_values(df, column, n, seq), column)
-    counts = value_counts(rows, [column, period], measure)
-    trend = quantiles_of_counts(counts, [column, period], {"median": 0.5})
-    # a period that is null has no trend, but its answers are in the median over all
-    rest = value_counts(rows.where(f"{q(period)} IS NULL"), [column], measure)
-    every = counts.drop(period).unionByName(rest).groupBy(q(column), "_v").agg(F.expr("sum(_n) AS _n"))
+    # a period that is null has no trend, but its answers are in the median over all; inside a struct it is a key like
+    # any other, and comes out of a generator, so that both medians share one set of counts
+    keyed = rows.selectExpr(q(column), f"named_struct('p', {q(period)}) AS _key", f"{q(measure)} AS _measure")
+    counts = value_counts(keyed, [column, "_key"], "_measure")
+    trend = quantiles_of_counts(counts, [column, "_key"], {"median": 0.5}).selectExpr(
+        q(column), f"inline(array(named_struct({lit(period)}, _key.p, 'median', median)))"
+    )
+    trend = trend.where(not_null([period]))
+    every = counts.groupBy(q(column), "_v").agg(F.expr("sum(_n) AS _n"))
     # at most N rows
     overall = quantiles_of_counts(every, [column], {"overall_median": 0.5})
     return trend.join(F.broadcast(overall), column).orderBy(F.desc("overall_median"), q(column), q(period))

@@ -74,3 +74,9 @@ def test_large_lookups_share_their_hot_keys(spark):
     twice = j.lookup_join(j.lookup_join(facts, dim, "k", max_rows=1, hot=hot), dim.withColumnRenamed("a", "b"), "k", max_rows=1, hot=hot)
     assert plan(twice).count("orders.parquet") == 1
     assert twice.count() == facts.count()
+
+
+def test_trend_reads_the_responses_twice(spark):
+    df = contract.queries()["topn_median_trend"](spark, FOLDER)
+    df.collect()
+    assert plan(df).split("Initial Plan")[0].count("orders.parquet") <= 2
