@@ -229,8 +229,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = chain.wanted()
         for batch in batches:
-            held = batch.column(text)
-            raw = held.cast(pa.large_string() if pa.types.is_string(held.type) or pa.types.is_large_string(held.type) else held.type).cast(pa.large_binary())
+            raw = batch.column(text).cast(pa.large_binary())
             parts = [chain.probabilities(data, offsets, wanted) for _, data, offsets in blocks(raw)]
             p = np.concatenate(parts) if parts else np.zeros((0, len(chain.names)))
             columns = [pa.array(p[:, i]) for i in range(p.shape[1])]
