@@ -168,13 +168,12 @@ def near_duplicates(
         .groupBy("node")
         .agg(F.sum(F.pow(F.lit(2.0), F.col("at")).cast("long")).alias("bits"), F.sum("k").alias("known"))
     )
-    bit = lambda i: F.shiftright("bits", i).bitwiseAND(F.lit(1)) == 1
-    tables = [
-        F.when(bit(i) & bit(halves + j), F.xxhash64(F.lit(i), F.lit(j), F.col(f"a{i}"), F.col(f"b{j}")))
-        for i in range(halves)
-        for j in range(halves)
-    ]
-    keyed = classes.join(alive, "node").select("node", "known", F.explode(F.array_compact(F.array(*tables))).alias("t"))
+    first = [F.array(*names[:halves]), F.array(*names[halves:])]
+    live = lambda shift: F.filter(F.sequence(F.lit(0), F.lit(halves - 1)), lambda i: F.getbit("bits", i + shift) == 1)
+    # a table's key for each live half-key of the first collection with each of the second
+    tables = F.flatten(F.transform(live(0), lambda i: F.transform(live(halves), lambda j: F.xxhash64(i, j, F.get("a", i), F.get("b", j)))))
+    sided = classes.select("node", *[side.alias(c) for c, side in zip("ab", first)])
+    keyed = sided.join(alive, "node").select("node", "known", F.explode(tables).alias("t"))
     # the class that most others share half-keys with stands in the middle of its table
     centre = keyed.groupBy(F.col("t").alias("t2")).agg(F.max(F.struct("known", (-F.col("node")).alias("m"))).alias("c"), F.count(F.lit(1)).alias("k"))
     centre = stored(centre.where("k > 1").select("t2", (-F.col("c.m")).alias("a")))
@@ -197,7 +196,12 @@ def near_duplicates(
     rest = placed.join(open_tables, "t", "left_semi").select("node", "root").distinct()
     across = _prefix_pairs(rest.join(sets, "node"), percent)
     more = _confirmed(across.join(starred, ["a", "b"], "left_anti"), sets, percent)
-    roots = components(links.union(more))
+    # the components that the further links join, by their roots
+    ends = stored(more).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    joined = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    joined = joined.toDF("old", "new")
+    alone = joined.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    roots = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).union(alone)
 
     member = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "first")
     least_id = member.groupBy("root").agg(F.min("first").alias("component_id"))
