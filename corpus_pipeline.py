@@ -13,6 +13,11 @@ from paylens.llm.tables import col, table
 from paylens.llm.toxicity import fit_chain, predict
 from paylens.session import stored
 
+# near duplicates share this much of their five-word shingles; with 11 half-keys a side of 3 minhashes each, a pair at
+# 0.80 meets in some table with probability 0.9993
+NEAR_PERCENT = 80
+NEAR_HALVES = 11
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier chain does not reject; it is fitted on `labels`."""
@@ -21,8 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one(docs).select(*[col(c) for c in docs.columns])
+    """One document of each group of near duplicates, which are linked from a similarity of 0.8 on."""
+    return keep_one(docs, percent=NEAR_PERCENT, halves=NEAR_HALVES).select(*[col(c) for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from paylens.llm import suffixes
 from paylens.llm.components import components
 from paylens.llm.hnsw import Graph, near_vectors
@@ -136,6 +137,22 @@ def test_one_document_of_each_group_stays(spark):
     assert got[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
+def test_pipeline_links_pairs_from_080_on(spark):
+    """Pairs at 0.818 and 0.846 are linked by the stage, those at 0.778 are not."""
+    rows = []
+    for g in range(48):
+        n, k = [(100, 2), (50, 1), (200, 4), (120, 2), (120, 3)][g % 5]
+        base = prose(3000 + g, n + 4).split(" ")
+        edit = list(base)
+        for i in range(k):
+            edit[10 + 15 * i] = f"y{g}_{i}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(edit))]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = sorted(r["doc_id"] for r in stage(spark, documents(spark, rows), "").collect())
+    assert got == [i for i, _, c in brute_near(rows, 80) if i == c]
+    assert len(got) == 48 + 9 and len({c for _, _, c in brute_near(rows)}) == 96
+
+
 def test_components(spark):
     draw = random.Random(8)
     for n, m in ((60, 40), (200, 300), (5, 0)):
