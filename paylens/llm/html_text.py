@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +45,20 @@ _ASIDE = frozenset("head nav aside footer form menu dialog button select fieldse
 _ROLE = re.compile(r"""\brole\s*=\s*["']?(navigation|banner|contentinfo|complementary|search|dialog|alertdialog|alert|menu|menubar|form)\b""", re.I)
 _NAMED = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+# whole class names and ids, words parted by one hyphen; of compounds only these and those that begin as below
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs footer header masthead sidebar aside rail comment comments respond reply replies disqus cookie cookies consent gdpr "
     "notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "pagination pager toolbar widget skip copyright".split()
+    "pagination pager toolbar widget skip copyright "
+    "site-header site-footer site-nav site-navigation main-nav main-menu main-navigation top-nav page-footer footer-nav left-sidebar right-sidebar "
+    "sidebar-left sidebar-right social-share social-links share-buttons share-links related-posts related-articles related-links comment-list "
+    "comment-form comments-area skip-link".split()
 )
+_BEGINS = tuple("ad- ads- advert- advertisement- navbar- breadcrumb- breadcrumbs- cookie- cookies- gdpr- consent- newsletter- pagination- sponsored- popup-".split())
+# these are never the frame of a whole page
+_SURE = frozenset("head nav aside footer menu dialog button select header".split())
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 # a new one of these ends an open one of the same name
 _IMPLIED = frozenset("p li dt dd tr td th option".split())
 
@@ -61,17 +70,64 @@ def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
         return False
     if _ROLE.search(attributes) or _HIDDEN.search(attributes):
         return True
+    if in_article and name in _PROSE:
+        return False
     for m in _NAMED.finditer(attributes):
-        if not _WORDS.isdisjoint(re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for given in (m[1] or m[2] or m[3] or "").split():
+            plain = re.sub(r"[-_]+", "-", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", given)).lower()
+            if plain in _WORDS or plain.startswith(_BEGINS):
+                return True
     return False
 
 
+def _frames(tokens: list[re.Match]) -> set[int]:
+    """Numbers of the start tags whose elements are not skipped: those around an article, or around over half of the text.
+
+    A nav, aside, footer or the like around articles is a frame only if no article stands outside of such.
+    """
+    opened: list[tuple[int, str, int]] = []
+    count: Counter[str] = Counter()
+    around: dict[int, str] = {}
+    ends: list[tuple[int, int]] = []
+    size, plain = 0, False
+
+    def end(at: int) -> None:
+        for k, name, before in opened[at:]:
+            count[name] -= 1
+            if name not in _SURE:
+                ends.append((k, size - before))
+        del opened[at:]
+
+    for i, m in enumerate(tokens):
+        if m[5] is not None:
+            size += len(m[5].strip())
+            continue
+        if m[3] is None:
+            continue
+        name = m[3].lower()
+        if m[2]:
+            if count[name]:
+                end(next(k for k in range(len(opened) - 1, -1, -1) if opened[k][1] == name))
+        elif name not in _EMPTY and not m[4].endswith("/"):
+            if name in _IMPLIED and opened and opened[-1][1] == name:
+                end(len(opened) - 1)
+            if name in ("article", "main"):
+                plain = plain or not any(count[n] for n in _SURE)
+                for k, outer, _ in reversed(opened):
+                    if k in around:
+                        break
+                    around[k] = outer
+            opened.append((i, name, size))
+            count[name] += 1
+    end(0)
+    return {k for k, inside in ends if 2 * inside > size} | {k for k, name in around.items() if not (plain and name in _SURE)}
+
+
 def page_lines(html: str) -> tuple[list[str], list[int]]:
     """Text lines of a page and their kind: 0 marked as no article, 1 unmarked, 2 inside an article.
 
     A line is the text of a block, references decoded, white space folded. In a page with an article
-    or main element, whatever is outside is marked as no article.
+    or main element, whatever is outside is marked as no article; no element around one is taken for marked.
     """
     lines: list[str] = []
     kinds: list[int] = []
@@ -87,7 +143,9 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
             lines.append(text)
             kinds.append(0 if skip else 2 if article else 1)
 
-    for m in _TOKEN.finditer(html):
+    tokens = list(_TOKEN.finditer(html))
+    frames = _frames(tokens)
+    for i, m in enumerate(tokens):
         if m[5] is not None:
             parts.append(m[5])
             continue
@@ -114,7 +172,7 @@ def page_lines(html: str) -> tuple[list[str], list[int]]:
             skip = 0
         if skip:
             skip += name == skipping
-        elif _is_aside(name, m[4], article > 0):
+        elif i not in frames and _is_aside(name, m[4], article > 0):
             skip, skipping, inline = 1, name, len(parts)
         elif name in ("article", "main"):
             article += 1

@@ -123,6 +123,20 @@ def test_page_lines():
     assert page_lines("") == ([], []) and page_lines("a < b <c") == (["a < b <c"], [1]) and page_lines("t<!-- open <p>x") == (["t"], [1])
 
 
+@pytest.mark.parametrize("frame", ['<form id="aspnetForm">', '<div class="site has-sidebar">', '<div id="content-sidebar-wrap">', '<div class="widget">', '<div hidden>'])
+def test_frames_of_a_page_are_not_skipped(frame):
+    end = "</form>" if "form" in frame else "</div>"
+    text = "One long line of the article itself, longer than all the others of it"
+    assert page_lines(f"<body>{frame}<nav>menu</nav><main><h1>T</h1><p>{text}</p></main><div class=ad>ad</div>{end}</body>") == (["menu", "T", text, "ad"], [0, 2, 2, 0])
+    assert page_lines(f"<body>{frame}<nav>menu</nav><p>{text}</p>{end}</body>") == (["menu", text], [0, 1])
+
+
+def test_names_inside_an_article():
+    inner = '<h2 class="section-header">a</h2><h2 id="related-work">b</h2><div class="share-prices">c</div><p class="notice">d</p><p>e</p>'
+    assert page_lines(f"<article>{inner}<div class='share cookie_text'>f</div></article>") == (list("abcdef"), [2] * 5 + [0])
+    assert page_lines("<main><p>x y z</p></main><aside><article>teaser</article></aside>") == (["x y z", "teaser"], [2, 0])
+
+
 def test_common_subsequence_is_longest():
     draw = random.Random(3)
     for _ in range(200):
