@@ -15,16 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from paylens.llm.tables import col, fresh
 from paylens.session import stored
 
-# hosts with more pages are cut by path, all but the last letters of its last part
-HOST_PAGES = 4096
 COPY = 0.5
 
 _TOKEN = re.compile(
@@ -226,20 +224,44 @@ def _shared(own: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray
     return hit
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (..., html) to (..., lines, kinds, marks); lines marked as no article keep their mark only."""
+def _marks(html: str) -> tuple[list[str], list[int], list[int], int]:
+    """Lines of a page, their kinds and marks, and the page's sign: pages of a host with the same one are copies.
+
+    It is made of the lines that are not marked as no article, or of all if there is none.
+    """
     import xxhash
 
+    lines, kinds = page_lines(html)
+    marks = [xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines]
+    own = [m for m, k in zip(marks, kinds) if k] or marks
+    return lines, kinds, marks, xxhash.xxh64_intdigest(np.array(own, dtype="<i8").tobytes()) - (1 << 63)
+
+
+def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., html) to (..., sign, marks)."""
+    for batch in batches:
+        signs, marks = [], []
+        for page in batch.column("_html"):
+            _, _, mark, sign = _marks(page.as_py() or "")
+            signs.append(sign)
+            marks.append(np.array(mark, dtype="<i8").tobytes())
+        kept = [c for c in batch.schema.names if c != "_html"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(signs, pa.int64()), pa.array(marks, pa.binary())], names=[*kept, "_sign", "_marks"])
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (..., html) to (..., lines, kinds, marks, sign); lines marked as no article keep their mark only."""
     for batch in batches:
-        lines, kinds, marks = [], [], []
+        lines, kinds, marks, signs = [], [], [], []
         for page in batch.column("_html"):
-            text, kind = page_lines(page.as_py() or "")
-            marks.append([xxhash.xxh64_intdigest(x) - (1 << 63) for x in text])
+            text, kind, mark, sign = _marks(page.as_py() or "")
+            marks.append(np.array(mark, dtype="<i8").tobytes())
             lines.append([x if k else "" for x, k in zip(text, kind)])
-            kinds.append(kind)
+            kinds.append(bytes(kind))
+            signs.append(sign)
         kept = [c for c in batch.schema.names if c != "_html"]
-        columns = [*[batch.column(c) for c in kept], pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.list_(pa.int32())), pa.array(marks, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=[*kept, "_lines", "_kinds", "_marks"])
+        columns = [*[batch.column(c) for c in kept], pa.array(lines, pa.list_(pa.string())), pa.array(kinds, pa.binary()), pa.array(marks, pa.binary()), pa.array(signs, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*kept, "_lines", "_kinds", "_own", "_sign2"])
 
 
 def _common_start(a: str | None, b: str | None) -> int:
@@ -250,18 +272,84 @@ def _common_start(a: str | None, b: str | None) -> int:
     return n
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (host, path, sign, marks) of one range, in order, to (host, sign, before, n_before, after, n_after, ...).
+
+    n_before and n_after are how far the paths agree. The first and the last page of a range carry task, edge, path
+    and marks as well, as the pages beside them are in other ranges.
+    """
+    task = TaskContext.get().partitionId()
+    before = here = None
+    out: list[tuple] = []
+
+    def place(before: tuple | None, here: tuple, after: tuple | None) -> None:
+        edge = (before is None) + 2 * (after is None)
+        out.append((here[0], here[2], *_side(here, before), *_side(here, after), task, edge, here[1] if edge else None, here[3] if edge else None))
+
+    def flush() -> pa.RecordBatch:
+        columns = [pa.array(c, type=k) for c, k in zip(zip(*out) if out else [[]] * len(_BESIDE), (k for _, k in _BESIDE))]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in _BESIDE])
+
+    for batch in batches:
+        for after in zip(*(batch.column(c).to_pylist() for c in ("_host", "_path", "_sign", "_marks"))):
+            if here is not None:
+                place(before, here, after)
+            before, here = here, after
+        yield flush()
+    if here is not None:
+        place(before, here, None)
+        yield flush()
+
+
+_BESIDE = [
+    ("_host", pa.string()), ("_sign", pa.int64()), ("_before", pa.binary()), ("_n_before", pa.int32()), ("_after", pa.binary()), ("_n_after", pa.int32()),
+    ("_task", pa.int32()), ("_edge", pa.int32()), ("_path", pa.string()), ("_marks", pa.binary()),
+]
+_BESIDE_SCHEMA = "_host string, _sign long, _before binary, _n_before int, _after binary, _n_after int, _task int, _edge int, _path string, _marks binary"
+
+
+def _side(page: tuple, other: tuple | None) -> tuple[bytes | None, int | None]:
+    """Marks of the page beside, if it is of the same host, and how far its path agrees."""
+    return (None, None) if other is None or other[0] != page[0] else (other[3], _common_start(page[1], other[1]))
+
+
+def _neighbours(pages: DataFrame) -> DataFrame:
+    """(host, sign, before, n_before, after, n_after): the nearest pages of each page of (host, path, url, key, sign, marks).
+
+    Pages of all hosts are sorted by ranges, so a host of any size is dealt to as many tasks as it fills. Only the first
+    and last page of each range come together, to find the pages across its borders.
+    """
+    order = ["_host", "_path", "_url", "_key", "_sign"]
+    ranges = pages.repartitionByRange(*order).sortWithinPartitions(*order).select("_host", "_path", "_sign", "_marks")
+    placed = stored(ranges.mapInArrow(_beside, _BESIDE_SCHEMA))
+    names = ["_host", "_sign", "_before", "_n_before", "_after", "_n_after"]
+    # two rows of each range
+    edges = sorted(placed.where("_edge > 0").collect(), key=lambda r: (r["_task"], r["_edge"]))
+    found = []
+    for i, r in enumerate(edges):
+        here, row = (r["_host"], r["_path"], r["_sign"], r["_marks"]), [r[c] for c in names]
+        for bit, step, at in ((1, -1, 2), (2, 1, 4)):
+            if r["_edge"] & bit and 0 <= i + step < len(edges):
+                o = edges[i + step]
+                row[at : at + 2] = _side(here, (o["_host"], o["_path"], o["_sign"], o["_marks"]))
+        found.append(tuple(row))
+    inner = placed.where("_edge = 0").select(*names)
+    return inner.union(pages.sparkSession.createDataFrame(found, inner.schema))
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    inner = ["_lines", "_kinds", "_marks", "_path", "_before", "_before_path", "_after", "_after_path"]
+    inner = ["_lines", "_kinds", "_own", "_before", "_n_before", "_after", "_n_after"]
     for batch in batches:
         texts, counts = [], []
         for i in range(len(batch)):
-            lines, kinds, marks, path, before, before_path, after, after_path = (batch.column(c)[i].as_py() for c in inner)
-            own, kind = np.array(marks, dtype=np.int64), np.array(kinds, dtype=np.int32)
+            lines, kinds, marks, before, n_before, after, n_after = (batch.column(c)[i].as_py() for c in inner)
+            own, kind = np.frombuffer(marks, dtype="<i8"), np.frombuffer(kinds, dtype=np.uint8)
             size = np.array([len(x) for x in lines], dtype=np.int64) + (kind == 0)
-            beside = [(-_common_start(path, p), n, m) for n, (m, p) in enumerate([(before, before_path), (after, after_path)]) if m is not None]
+            beside = [(-n, at, m) for at, (n, m) in enumerate([(n_before, before), (n_after, after)]) if m is not None]
             hit = np.zeros(len(own), dtype=bool)
             for _, _, other in sorted(beside, key=lambda x: x[:2]):
-                found = _shared(own, size, np.array(other, dtype=np.int64))
+                found = _shared(own, size, np.frombuffer(other, dtype="<i8"))
                 if found is not None:
                     hit = found
                     break
@@ -272,42 +360,35 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=[*kept, "text", "n_shared"])
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", host_pages: int = HOST_PAGES) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", host_pages: int | None = None) -> DataFrame:
     """Every page with `text`, its main text, and `n_shared`, its lines shared with the nearest page; html is dropped.
 
-    Pages without URL are not compared. A page is not compared with a copy of itself but with the page on its other side,
-    if that is none. Null or empty html gives an empty text. Repeated rows are copies of each other. Columns
-    `text` and `n_shared` are replaced, all others are kept.
+    Pages without URL are not compared. Copies of a host stand once among its pages, at the place of the first by path,
+    url and key, and are all compared with the pages beside it. Null or empty html gives an empty text. Columns
+    `text` and `n_shared` are replaced, all others are kept. `host_pages` has no effect: pages are compared
+    in the same way whatever the number of a host.
     """
     kept = [c for c in pages.columns if c.lower() not in ("text", "n_shared", html.lower())]
-    inner = {"_html", "_lines", "_kinds", "_marks", "_path", "_host", "_part", "_before", "_before_path", "_after", "_after_path"}
+    inner = {
+        "_html", "_lines", "_kinds", "_own", "_marks", "_path", "_host", "_url", "_key", "_sign", "_host2", "_sign2", "_before", "_n_before", "_after", "_n_after"
+    }
     if inner & {c.lower() for c in kept}:
         names = fresh(pages.select(*[col(c) for c in kept]), *["c" + str(i) for i in range(len(kept))])
         renamed = pages.select(*[col(c).alias(n) for c, n in zip(kept, names)], col(html).alias("_page"))
         back = dict(zip(kept, names))
         return extract(renamed, back[key], back[url], "_page", host_pages).toDF(*kept, "text", "n_shared")
     address = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
-    rows = pages.select(
-        *[col(c) for c in kept],
-        F.lower(F.regexp_extract(col(url), address, 1)).alias("_host"),
-        F.regexp_replace(F.regexp_extract(col(url), address, 2), r"(/|/index\.\w+|\.\w{1,5})$", "").alias("_path"),
-        col(html).alias("_html"),
-    )
-    # stored, so that its size is known and a short list is sent to the pages instead of shuffling these by host
-    large = rows.groupBy(F.col("_host").alias("_h")).agg(F.count(F.lit(1)).alias("n")).where(f"n > {host_pages}").select("_h")
-    large = stored(large)
-    slim = T.StructType([*rows.drop("_html").schema.fields, T.StructField("_lines", T.ArrayType(T.StringType())), T.StructField("_kinds", T.ArrayType(T.IntegerType())), T.StructField("_marks", T.ArrayType(T.LongType()))])
-    parsed = rows.mapInArrow(_parse, slim)
-    # pages without an address stay apart from each other
-    part = (
-        F.when(F.col("_host").isNull() | (F.col("_host") == ""), F.xxhash64(col(key), col(url)).cast("string"))
-        .when(F.col("_h").isNotNull(), F.regexp_replace("_path", r"[^/]{1,3}$", ""))
-        .otherwise("")
-    )
-    placed = parsed.join(large, F.col("_host") == F.col("_h"), "left").withColumn("_part", part).drop("_h")
-    beside = W.partitionBy("_host", "_part").orderBy("_path", col(url), col(key))
-    columns = {f"_{n}{suffix}": f(c, 1).over(beside) for n, f in (("before", F.lag), ("after", F.lead)) for suffix, c in (("", "_marks"), ("_path", "_path"))}
-    lonely = F.col("_host").isNull() | (F.col("_host") == "")
-    paired = placed.withColumns(columns).withColumns({c: F.when(~lonely, F.col(c)) for c in columns}).drop("_host", "_part")
+    host = F.coalesce(F.lower(F.regexp_extract(col(url), address, 1)), F.lit(""))
+    path = F.regexp_replace(F.regexp_extract(col(url), address, 2), r"(/|/index\.\w+|\.\w{1,5})$", "")
+    placed = pages.select(host.alias("_host"), path.alias("_path"), col(url).alias("_url"), col(key).alias("_key"), col(html).alias("_html")).where("_host <> ''")
+    slim = placed.mapInArrow(_slim, T.StructType([*placed.drop("_html").schema.fields, T.StructField("_sign", T.LongType()), T.StructField("_marks", T.BinaryType())]))
+    first = slim.groupBy("_host", "_sign").agg(F.min(F.struct("_path", "_url", "_key", "_marks")).alias("one"))
+    beside = _neighbours(first.select("_host", "one._path", "one._url", "one._key", "_sign", "one._marks"))
+
+    # parsed again, so that texts are not kept while neighbours are found
+    rows = pages.select(*[col(c) for c in kept], host.alias("_host2"), col(html).alias("_html"))
+    extra = [T.StructField("_lines", T.ArrayType(T.StringType())), T.StructField("_kinds", T.BinaryType()), T.StructField("_own", T.BinaryType()), T.StructField("_sign2", T.LongType())]
+    parsed = rows.mapInArrow(_parse, T.StructType([*rows.drop("_html").schema.fields, *extra]))
+    paired = parsed.join(beside, (F.col("_host2") == F.col("_host")) & (F.col("_sign2") == F.col("_sign")), "left")
     out = T.StructType([*[pages.schema[c] for c in kept], T.StructField("text", T.StringType()), T.StructField("n_shared", T.LongType())])
-    return paired.select(*[col(c) for c in kept], "_lines", "_kinds", "_marks", "_path", "_before", "_before_path", "_after", "_after_path").mapInArrow(_difference, out)
+    return paired.select(*[col(c) for c in kept], "_lines", "_kinds", "_own", "_before", "_n_before", "_after", "_n_after").mapInArrow(_difference, out)

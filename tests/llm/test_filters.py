@@ -165,6 +165,21 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert extract(frame.limit(0)).count() == 0
 
 
+def test_large_hosts_are_compared_like_small_ones(spark):
+    """Slug paths, pages that differ in the query only, and pages at the borders of ranges."""
+    page = lambda i: f"<div>Menu of the site</div><p>{prose(i, 12)}</p><div>About us and more</div>"
+    rows = [(i, f"http://slug.example/2024/05/{prose(i, 2).replace(' ', '-')}", page(i)) for i in range(300)]
+    rows += [(1000 + i, f"http://query.example/index.php?id={i}", page(1000 + i)) for i in range(5000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["page_id"]: r for r in extract(frame, host_pages=64).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == len(rows) and all(got[i]["text"] == prose(i, 12) and got[i]["n_shared"] == 2 for i, _, _ in rows)
+
+
 def test_blocks_cover_all_rows():
     column = pa.array([b"ab", None, b"", b"x" * 50, b"c"], type=pa.binary())
     for step in (1, 3, 1000):
