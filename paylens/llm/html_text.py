@@ -2,8 +2,8 @@
 
 Pages of a host are put in order of their URL path; each is compared with the nearest page beside it. The text lines
 of the two are aligned by longest common subsequence, and shared lines are deleted: menus, footers and
-notices are the same on neighbouring pages, the article is not. Lines that a page itself marks as not its
-article are deleted as well, and those inside its article element are not taken for shared.
+notices are the same on neighbouring pages, the article is not. Markup decides the weak cases: lines that a page itself
+marks as not its article go even if no page beside it has them, and those inside its article element stay.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 from paylens.llm.tables import col, fresh
 from paylens.session import stored
 
+# a near copy shares more than COPY of what a page does not share with a second one, or ALMOST all
 COPY = 0.5
+ALMOST = 0.9
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -214,16 +216,35 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _shared(own: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray | None:
-    """Lines of a page shared with another; None if the other is a copy, that is, shares most of the text."""
+def _shared(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Lines of a page in a longest common subsequence with another."""
     ours, theirs = np.isin(own, other), np.isin(other, own)
     hit = np.zeros(len(own), dtype=bool)
-    if size[ours].sum() > COPY * size.sum():
-        return None
     hit[np.flatnonzero(ours)] = common_subsequence(own[ours], other[theirs])
     return hit
 
 
+def shared_lines(own: np.ndarray, kind: np.ndarray, size: np.ndarray, beside: list[np.ndarray]) -> np.ndarray:
+    """Lines to delete as shared; `beside` has the nearest page and, if there is one, the second.
+
+    Near copies are told by what the page does not share with the second: a menu or footer, however long, is not
+    part of that. Without a second, a near copy shares almost all.
+    """
+    hit = np.zeros(len(own), dtype=bool)
+    if not beside:
+        return hit
+    has = [np.isin(own, other) for other in beside]
+    if len(beside) == 2:
+        rest = ~has[1]
+        copy = size[rest & has[0]].sum() > COPY * size[rest].sum()
+    else:
+        copy = size[has[0]].sum() > ALMOST * size.sum()
+    if copy and len(beside) == 1:
+        return hit
+    hit = _shared(own, beside[1 if copy else 0])
+    return hit
+
+
 def _marks(html: str) -> tuple[list[str], list[int], list[int], int]:
     """Lines of a page, their kinds and marks, and the page's sign: pages of a host with the same one are copies.
 
@@ -272,87 +293,81 @@ def _common_start(a: str | None, b: str | None) -> int:
     return n
 
 
-def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages (host, path, sign, marks) of one range, in order, to (host, sign, before, n_before, after, n_after, ...).
-
-    n_before and n_after are how far the paths agree. The first and the last page of a range carry task, edge, path
-    and marks as well, as the pages beside them are in other ranges.
-    """
-    task = TaskContext.get().partitionId()
-    before = here = None
-    out: list[tuple] = []
-
-    def place(before: tuple | None, here: tuple, after: tuple | None) -> None:
-        edge = (before is None) + 2 * (after is None)
-        out.append((here[0], here[2], *_side(here, before), *_side(here, after), task, edge, here[1] if edge else None, here[3] if edge else None))
+def _two(pages: list[tuple], at: int) -> tuple[bytes | None, bytes | None]:
+    """Marks of the nearest page and of that on the other side, or the next behind it at an end of the host."""
+    here = pages[at]
+    sides = []
+    for step in (-1, 1):
+        side = [pages[i] for i in (at + step, at + 2 * step) if 0 <= i < len(pages) and pages[i][0] == here[0]]
+        if side:
+            sides.append((-_common_start(here[1], side[0][1]), step, [p[3] for p in side]))
+    sides.sort(key=lambda x: x[:2])
+    found = [side[0] for _, _, side in sides] if len(sides) == 2 else sides[0][2] if sides else []
+    return tuple([*found, None, None][:2])
 
-    def flush() -> pa.RecordBatch:
-        columns = [pa.array(c, type=k) for c, k in zip(zip(*out) if out else [[]] * len(_BESIDE), (k for _, k in _BESIDE))]
-        out.clear()
-        return pa.RecordBatch.from_arrays(columns, names=[n for n, _ in _BESIDE])
 
-    for batch in batches:
-        for after in zip(*(batch.column(c).to_pylist() for c in ("_host", "_path", "_sign", "_marks"))):
-            if here is not None:
-                place(before, here, after)
-            before, here = here, after
-        yield flush()
-    if here is not None:
-        place(before, here, None)
-        yield flush()
+_BESIDE = {"_host": pa.string(), "_sign": pa.int64(), "_near": pa.binary(), "_far": pa.binary(), "_task": pa.int32(), "_at": pa.int64(), "_open": pa.bool_(), "_path": pa.string(), "_marks": pa.binary()}
+_BESIDE_SCHEMA = "_host string, _sign long, _near binary, _far binary, _task int, _at long, _open boolean, _path string, _marks binary"
 
 
-_BESIDE = [
-    ("_host", pa.string()), ("_sign", pa.int64()), ("_before", pa.binary()), ("_n_before", pa.int32()), ("_after", pa.binary()), ("_n_after", pa.int32()),
-    ("_task", pa.int32()), ("_edge", pa.int32()), ("_path", pa.string()), ("_marks", pa.binary()),
-]
-_BESIDE_SCHEMA = "_host string, _sign long, _before binary, _n_before int, _after binary, _n_after int, _task int, _edge int, _path string, _marks binary"
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages (host, path, sign, marks) of one range, in order, to (host, sign, near, far, ...).
 
+    The first and the last two of a range are left open, as pages beside them are in other ranges; these and the two next to
+    them have their path and marks.
+    """
+    task = TaskContext.get().partitionId()
+    held: list[tuple] = []
+    base = at = 0
+
+    def emit(upto: int, last: bool) -> pa.RecordBatch:
+        out = []
+        for i in range(at, upto):
+            back = base + len(held) - i if last else 5
+            open_ = i < 2 or back <= 2
+            here = held[i - base]
+            shown = (here[1], here[3]) if i < 4 or back <= 4 else (None, None)
+            out.append((here[0], here[2], *((None, None) if open_ else _two(held, i - base)), task, i, open_, *shown))
+        columns = zip(*out) if out else [[]] * len(_BESIDE)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, _BESIDE.values())], names=list(_BESIDE))
 
-def _side(page: tuple, other: tuple | None) -> tuple[bytes | None, int | None]:
-    """Marks of the page beside, if it is of the same host, and how far its path agrees."""
-    return (None, None) if other is None or other[0] != page[0] else (other[3], _common_start(page[1], other[1]))
+    for batch in batches:
+        held += zip(*(batch.column(c).to_pylist() for c in ("_host", "_path", "_sign", "_marks")))
+        upto = max(at, base + len(held) - 4)
+        yield emit(upto, False)
+        at = upto
+        cut = max(0, at - 2 - base)
+        del held[:cut]
+        base += cut
+    yield emit(base + len(held), True)
 
 
 def _neighbours(pages: DataFrame) -> DataFrame:
-    """(host, sign, before, n_before, after, n_after): the nearest pages of each page of (host, path, url, key, sign, marks).
+    """(host, sign, near, far): the nearest pages of each page of (host, path, url, key, sign, marks).
 
     Pages of all hosts are sorted by ranges, so a host of any size is dealt to as many tasks as it fills. Only the first
-    and last page of each range come together, to find the pages across its borders.
+    and last pages of each range come together, to find the pages across its borders.
     """
     order = ["_host", "_path", "_url", "_key", "_sign"]
     ranges = pages.repartitionByRange(*order).sortWithinPartitions(*order).select("_host", "_path", "_sign", "_marks")
     placed = stored(ranges.mapInArrow(_beside, _BESIDE_SCHEMA))
-    names = ["_host", "_sign", "_before", "_n_before", "_after", "_n_after"]
-    # two rows of each range
-    edges = sorted(placed.where("_edge > 0").collect(), key=lambda r: (r["_task"], r["_edge"]))
-    found = []
-    for i, r in enumerate(edges):
-        here, row = (r["_host"], r["_path"], r["_sign"], r["_marks"]), [r[c] for c in names]
-        for bit, step, at in ((1, -1, 2), (2, 1, 4)):
-            if r["_edge"] & bit and 0 <= i + step < len(edges):
-                o = edges[i + step]
-                row[at : at + 2] = _side(here, (o["_host"], o["_path"], o["_sign"], o["_marks"]))
-        found.append(tuple(row))
-    inner = placed.where("_edge = 0").select(*names)
+    # at most eight rows of each range
+    shown = sorted(placed.where("_path IS NOT NULL").collect(), key=lambda r: (r["_task"], r["_at"]))
+    plain = [(r["_host"], r["_path"], r["_sign"], r["_marks"]) for r in shown]
+    found = [(r["_host"], r["_sign"], *_two(plain, i)) for i, r in enumerate(shown) if r["_open"]]
+    inner = placed.where("NOT _open").select("_host", "_sign", "_near", "_far")
     return inner.union(pages.sparkSession.createDataFrame(found, inner.schema))
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    inner = ["_lines", "_kinds", "_own", "_before", "_n_before", "_after", "_n_after"]
+    inner = ["_lines", "_kinds", "_own", "_near", "_far"]
     for batch in batches:
         texts, counts = [], []
         for i in range(len(batch)):
-            lines, kinds, marks, before, n_before, after, n_after = (batch.column(c)[i].as_py() for c in inner)
+            lines, kinds, marks, near, far = (batch.column(c)[i].as_py() for c in inner)
             own, kind = np.frombuffer(marks, dtype="<i8"), np.frombuffer(kinds, dtype=np.uint8)
             size = np.array([len(x) for x in lines], dtype=np.int64) + (kind == 0)
-            beside = [(-n, at, m) for at, (n, m) in enumerate([(n_before, before), (n_after, after)]) if m is not None]
-            hit = np.zeros(len(own), dtype=bool)
-            for _, _, other in sorted(beside, key=lambda x: x[:2]):
-                found = _shared(own, size, np.frombuffer(other, dtype="<i8"))
-                if found is not None:
-                    hit = found
-                    break
+            hit = shared_lines(own, kind, size, [np.frombuffer(m, dtype="<i8") for m in (near, far) if m is not None])
             keep = (kind == 2) | ((kind == 1) & ~hit)
             texts.append("\n".join(x for x, k in zip(lines, keep) if k))
             counts.append(int(hit.sum()))
@@ -361,7 +376,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", host_pages: int | None = None) -> DataFrame:
-    """Every page with `text`, its main text, and `n_shared`, its lines shared with the nearest page; html is dropped.
+    """Every page with `text`, its main text, and `n_shared`, its lines deleted as shared; html is dropped.
 
     Pages without URL are not compared. Copies of a host stand once among its pages, at the place of the first by path,
     url and key, and are all compared with the pages beside it. Null or empty html gives an empty text. Columns
@@ -370,7 +385,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """
     kept = [c for c in pages.columns if c.lower() not in ("text", "n_shared", html.lower())]
     inner = {
-        "_html", "_lines", "_kinds", "_own", "_marks", "_path", "_host", "_url", "_key", "_sign", "_host2", "_sign2", "_before", "_n_before", "_after", "_n_after"
+        "_html", "_lines", "_kinds", "_own", "_marks", "_path", "_host", "_url", "_key", "_sign", "_host2", "_sign2", "_near", "_far"
     }
     if inner & {c.lower() for c in kept}:
         names = fresh(pages.select(*[col(c) for c in kept]), *["c" + str(i) for i in range(len(kept))])
@@ -391,4 +406,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     parsed = rows.mapInArrow(_parse, T.StructType([*rows.drop("_html").schema.fields, *extra]))
     paired = parsed.join(beside, (F.col("_host2") == F.col("_host")) & (F.col("_sign2") == F.col("_sign")), "left")
     out = T.StructType([*[pages.schema[c] for c in kept], T.StructField("text", T.StringType()), T.StructField("n_shared", T.LongType())])
-    return paired.select(*[col(c) for c in kept], "_lines", "_kinds", "_own", "_before", "_n_before", "_after", "_n_after").mapInArrow(_difference, out)
+    return paired.select(*[col(c) for c in kept], "_lines", "_kinds", "_own", "_near", "_far").mapInArrow(_difference, out)

@@ -180,6 +180,21 @@ def test_large_hosts_are_compared_like_small_ones(spark):
     assert len(got) == len(rows) and all(got[i]["text"] == prose(i, 12) and got[i]["n_shared"] == 2 for i, _, _ in rows)
 
 
+def test_long_menus_and_runs_of_copies(spark):
+    menu, foot = "".join(f"<div>{prose(900 + i, 9)}</div>" for i in range(20)), f"<div>{prose(990, 60)}</div>"
+    rows = [(i, f"http://short.example/a/{i:03d}", f"{menu}<p>{prose(i, 6)}</p>{foot}") for i in range(9)]
+    rows += [(100 + i, f"http://copies.example/a/{i:03d}", f"{menu}<p>{prose(max(i, 5) if i < 9 else 5 + i % 3, 60)}</p>{foot}") for i in range(20)]
+    # copies but for a line, between other pages
+    rows += [(200 + i, f"http://near.example/a/{i:03d}", f"<p>Menu of the site</p><p>read {i} times</p><p>{prose(50 + i // 2, 60)}</p>") for i in range(10)]
+    got = {r["page_id"]: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        assert got[i]["text"] == prose(i, 6) and got[i]["n_shared"] == 21
+    for i in range(20):
+        assert got[100 + i]["text"] == prose(max(i, 5) if i < 9 else 5 + i % 3, 60), i
+    for i in range(1, 9):
+        assert got[200 + i]["text"] == f"read {i} times\n{prose(50 + i // 2, 60)}", i
+
+
 def test_blocks_cover_all_rows():
     column = pa.array([b"ab", None, b"", b"x" * 50, b"c"], type=pa.binary())
     for step in (1, 3, 1000):
