@@ -3,7 +3,8 @@
 Pages of a host are put in order of their URL path; each is compared with the nearest page beside it. The text lines
 of the two are aligned by longest common subsequence, and shared lines are deleted: menus, footers and
 notices are the same on neighbouring pages, the article is not. Markup decides the weak cases: lines that a page itself
-marks as not its article go even if no page beside it has them, and those inside its article element stay.
+marks as not its article go even if no page beside it has them, and those inside its article element go
+only if the two nearest pages have them.
 """
 
 from __future__ import annotations
@@ -228,7 +229,8 @@ def shared_lines(own: np.ndarray, kind: np.ndarray, size: np.ndarray, beside: li
     """Lines to delete as shared; `beside` has the nearest page and, if there is one, the second.
 
     Near copies are told by what the page does not share with the second: a menu or footer, however long, is not
-    part of that. Without a second, a near copy shares almost all.
+    part of that. Without a second, a near copy shares almost all. Lines inside an article need more to go: both pages
+    have them, and they are less than half of the article.
     """
     hit = np.zeros(len(own), dtype=bool)
     if not beside:
@@ -242,7 +244,11 @@ def shared_lines(own: np.ndarray, kind: np.ndarray, size: np.ndarray, beside: li
     if copy and len(beside) == 1:
         return hit
     hit = _shared(own, beside[1 if copy else 0])
-    return hit
+    inside = kind == 2
+    both = hit & has[0] & has[1] if len(beside) == 2 and not copy else np.zeros(len(own), dtype=bool)
+    if 2 * size[both & inside].sum() >= size[inside].sum():
+        both[:] = False
+    return np.where(inside, both, hit)
 
 
 def _marks(html: str) -> tuple[list[str], list[int], list[int], int]:
@@ -368,7 +374,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, kind = np.frombuffer(marks, dtype="<i8"), np.frombuffer(kinds, dtype=np.uint8)
             size = np.array([len(x) for x in lines], dtype=np.int64) + (kind == 0)
             hit = shared_lines(own, kind, size, [np.frombuffer(m, dtype="<i8") for m in (near, far) if m is not None])
-            keep = (kind == 2) | ((kind == 1) & ~hit)
+            keep = (kind > 0) & ~hit
             texts.append("\n".join(x for x, k in zip(lines, keep) if k))
             counts.append(int(hit.sum()))
         kept = [c for c in batch.schema.names if c not in inner]

@@ -8,7 +8,7 @@ import pytest
 
 from paylens.llm import queries
 from paylens.llm.hashing import blocks
-from paylens.llm.html_text import common_subsequence, extract, page_lines
+from paylens.llm.html_text import common_subsequence, extract, page_lines, shared_lines
 from paylens.llm.language import address_parts, declared_language, fit_text, identify
 from paylens.llm.line_frequency import quality_rules
 from paylens.llm.toxicity import Chain, fit_chain, predict
@@ -195,6 +195,15 @@ def test_long_menus_and_runs_of_copies(spark):
         assert got[200 + i]["text"] == f"read {i} times\n{prose(50 + i // 2, 60)}", i
 
 
+def test_comparison_and_markup():
+    """1 menu, 2 aside of its own, 3 notice and 4 to 7 text inside the article; only deleted lines count."""
+    own, kind, size = np.arange(1, 8), np.array([0, 0, 2, 2, 2, 2, 2]), np.array([1, 1, 20, 50, 50, 50, 50])
+    hit = lambda *beside: np.flatnonzero(shared_lines(own, kind, size, [np.array(b) for b in beside])).tolist()
+    assert hit([1, 3, 9], [1, 3, 8]) == [0, 2] and hit([1, 3, 9], [1, 8]) == [0] and hit([1, 3, 9]) == [0]
+    # versions of the article on both sides are not taken for boilerplate, a copy is passed over
+    assert hit([1, 3, 4, 5, 8], [1, 3, 4, 5, 9]) == [0] and hit([1, 2, 3, 4, 5, 6], [1, 3]) == [0] and hit() == []
+
+
 def test_blocks_cover_all_rows():
     column = pa.array([b"ab", None, b"", b"x" * 50, b"c"], type=pa.binary())
     for step in (1, 3, 1000):
