@@ -120,7 +120,7 @@ def _cut_segments(length: int, gram: int):
                     j = w["j"]
                     a, b = int(lo[j]), int(hi[j])
                     out.append((key, th, a, int(anchor[j]) - a, b - a + 1, w["copies"], int(h[j]), w["many"], text[a : b + length]))
-            kinds = [batch.column("id").type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+            kinds = [batch.column("id").type, batch.column("th").type, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
             names = ["id", "th", "lo", "left", "n", "copies", "h", "many", "seg"]
             columns = zip(*out) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=names)
@@ -375,11 +375,12 @@ def remove_repeats(
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c.lower() not in new]
     kind = docs.select(col(key)).dtypes[0][1]
+    mark = "struct<x:bigint,n:int>"
     raw = col(text).cast("binary").alias("text")
     # tells texts with the same key apart
-    th = F.hash(col(text)).alias("th")
+    th = F.struct(F.xxhash64(col(text)).alias("x"), F.coalesce(F.octet_length(col(text)), F.lit(0)).alias("n")).alias("th")
     rows = docs.select(col(key).alias("id"), th, raw)
-    found = rows.mapInArrow(_anchor_rows(length, gram), f"id {kind}, th int, j int, h long, d long, c int")
+    found = rows.mapInArrow(_anchor_rows(length, gram), f"id {kind}, th {mark}, j int, h long, d long, c int")
 
     shared = found.groupBy(F.col("h").alias("h2")).agg(F.sum("c").alias("n"), (F.min("d") != F.max("d")).alias("mixed"))
     # stored, so that the join stands on two plain shuffles and a frequent anchor can be split
@@ -401,15 +402,15 @@ def remove_repeats(
     want = flagged.groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_list(F.struct("j", "copies", "many")).alias("want"))
     packed = rows.mapInArrow(_compress, rows.schema)
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
-    wanted = packed.join(want, same).select("id", "th", "text", "want")
+    # of rows with the same key and text one is cut
+    wanted = packed.join(want, same).groupBy("id", "th").agg(F.first("text").alias("text"), F.first("want").alias("want"))
     segments = stored(
-        wanted.mapInArrow(_cut_segments(length, gram), f"id {kind}, th int, lo long, left int, n int, copies long, h long, many boolean, seg binary")
+        wanted.mapInArrow(_cut_segments(length, gram), f"id {kind}, th {mark}, lo long, left int, n int, copies long, h long, many boolean, seg binary")
     )
     spans = "array<struct<lo:bigint,hi:bigint>>"
-    # rows with the same key and text give the same segment again, which must not meet itself
     few = segments.where("NOT many").drop("many").repartition("h").sortWithinPartitions("h", "id", "th", "lo")
-    sorted_ = few.mapInArrow(_sort_groups(length), f"id {kind}, th int, spans {spans}")
-    strings = segments.where("many").mapInArrow(_string_hashes(length), f"id {kind}, th int, copies long, lo long, w1 long, w2 long")
+    sorted_ = few.mapInArrow(_sort_groups(length), f"id {kind}, th {mark}, spans {spans}")
+    strings = segments.where("many").mapInArrow(_string_hashes(length), f"id {kind}, th {mark}, copies long, lo long, w1 long, w2 long")
     twice = strings.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     other = strings.where("copies = 1").join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")), "left_semi")
     each = F.array(F.struct("lo", (F.col("lo") + length).alias("hi")))

@@ -69,6 +69,21 @@ def test_repeats_on_odd_rows(spark):
     assert remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_repeats_under_one_key(spark):
+    """Texts of one null key whose 32-bit hashes agree, and many equal rows with edited versions of their text beside them."""
+    a, b = prose(70, 60), prose(71, 60)
+    even, odd = f"351530 {a}", f"162479 {b}"
+    rows = [(None, even), (None, odd), (None, f"1 {a}")]
+    base = prose(80, 40).split(" ")
+    edited = [" ".join([*base[:i], "edit", *base[i + 1 :]]) for i in (5, 20, 33)]
+    rows += [(7, " ".join(base))] * 1500 + [(7, t) for t in edited]
+    hashes = [r[0] for r in spark.createDataFrame([(even,), (odd,)], "t string").selectExpr("hash(t)").collect()]
+    assert hashes[0] == hashes[1] and even != odd
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(documents(spark, rows)).collect()]
+    want = [(r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], 200))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_suffix_sort_equals_plain_sort():
     draw = random.Random(2)
     for _ in range(30):
