@@ -181,14 +181,14 @@ class Pieces:
     The tokenizer never joins text across a single space or line end that has other text on both sides, nor a letter or
     digit with punctuation after it. So each distinct word (with its space) and each run of punctuation at a
     word's end is encoded by the library once, many in one text of lines, and its ids are looked up by hash from then on. Texts
-    with other white space go to the library whole. At most `most` pieces are remembered, in arrays.
+    with other white space or with an added token go to the library whole. At most `most` pieces are remembered, in arrays.
     """
 
     def __init__(self, tokenizer: str, most: int = 1 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(tokenizer), most
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line = self.library(["\n"])[0]
         self.by_piece = len(self.line) == 1 and self.library(["a\n b.\nc"])[0].count(self.line[0]) == 2
         self.clear()
@@ -250,6 +250,12 @@ class Pieces:
             self.clear()
         out: list = [np.zeros(0, dtype=np.uint32)] * (len(offsets) - 1)
         plain = plain_rows(data, offsets) if self.by_piece else np.zeros(len(out), dtype=bool)
+        whole = data.tobytes() if plain.any() else b""
+        for token in self.added:
+            at = whole.find(token)
+            while at >= 0:
+                plain[np.searchsorted(offsets, at, side="right") - 1] = False
+                at = whole.find(token, at + 1)
         odd = np.flatnonzero(~plain & (offsets[1:] > offsets[:-1]))
         for i, ids in zip(odd.tolist(), self.library([data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in odd.tolist()])):
             out[i] = np.array(ids, dtype=np.uint32)

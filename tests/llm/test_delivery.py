@@ -151,6 +151,17 @@ def test_pieces_equal_the_library():
         assert [x.tolist() for x in pieces.encode(texts)] == pieces.library([t or "" for t in texts])
 
 
+def test_added_tokens_are_as_the_library_has_them():
+    from tokenizers import Tokenizer
+
+    texts = ["a b<|endoftext|>c d", "plain text", "<|endoftext|>", "x <|endoftext|> y <|endoftext|>", "a <|endof text|>"]
+    plain = [e.ids for e in Tokenizer.from_file(FILE).encode_batch(texts, add_special_tokens=False)]
+    pieces = Pieces(open(FILE, encoding="utf-8").read())
+    for _ in range(2):
+        assert [x.tolist() for x in pieces.encode(texts)] == plain
+    assert len(plain[2]) == 1
+
+
 def test_written_ids_read_back(spark):
     rows = odd_rows() + [(20 + i, prose(i, 50)) for i in range(40)]
     path = f"{ensure_checkpoint_dir(spark)}/ids-{uuid.uuid4().hex}"
