@@ -16,6 +16,7 @@ from paylens.llm.line_frequency import quality_rules
 from paylens.llm.minhash import near_duplicates
 from paylens.llm.mixing import plan_mix
 from paylens.llm.packing import pack
+from paylens.llm.substrings import remove_repeated_words
 from paylens.llm.suffixes import remove_repeats
 from paylens.llm.tables import table
 from paylens.llm.toxicity import fit_chain, predict
@@ -96,6 +97,10 @@ def op10_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "length", "bucket", "boundary", "batch", "slot", "padding")
 
 
+def op13_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeated_words(table(spark, folder, "documents").select("doc_id", "text"), with_text=False)
+
+
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP2_SQL = rf"""
@@ -170,6 +175,29 @@ SELECT doc_id, size, source_size, target, size * coalesce(copies, 0) AS taken, C
 FROM f LEFT JOIN taken USING (k, rank, cum)
 """
 
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents
+), win AS (
+  SELECT r, doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS g
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM d)
+), again AS (
+  SELECT r, i FROM win
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) > 1
+     AND (first_value(doc_id) OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) IS DISTINCT FROM doc_id
+          OR first_value(i) OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) < i)
+), gone AS (
+  SELECT DISTINCT r, i + k AS at FROM again, range(0, 20) t(k)
+), w AS (
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS words FROM w ANTI JOIN gone USING (r, at) GROUP BY r
+)
+SELECT doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(len(d.words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_line_frequency": (op2_line_frequency, OP2_SQL),
@@ -181,6 +209,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_fair_queue_mixing": (op8_fair_queue_mixing, OP8_SQL),
     "op9_language_fusion": (op9_language_fusion, None),
     "op10_length_buckets": (op10_length_buckets, None),
+    "op13_difference_cover": (op13_difference_cover, OP13_SQL),
 }
 
 
