@@ -187,11 +187,11 @@ WITH d AS (
      AND (first_value(doc_id) OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) IS DISTINCT FROM doc_id
           OR first_value(i) OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, i) < i)
 ), gone AS (
-  SELECT DISTINCT r, i + k AS at FROM again, range(0, 20) t(k)
+  SELECT DISTINCT r, i + k AS pos FROM again, range(0, 20) t(k)
 ), w AS (
-  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d
 ), kept AS (
-  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS words FROM w ANTI JOIN gone USING (r, at) GROUP BY r
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS words FROM w ANTI JOIN gone USING (r, pos) GROUP BY r
 )
 SELECT doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(len(d.words) - coalesce(n, 0) AS BIGINT) AS n_removed,
        sha256(coalesce(kept.words, '')) AS kept_sha256
