@@ -61,7 +61,7 @@ def cover_anchors(hashes: np.ndarray, first: np.ndarray, window: int, period: in
 
 
 def _anchor_rows(window: int, period: int, cover: tuple[int, ...]):
-    """Rows (id, th, text) to (id, th, pos, more, h, d, c), one for each distinct segment of a text: its first place, the others, their number."""
+    """Rows (id, th, text) to (id, th, pos, more, h, d), one for each distinct segment of a text: its first place and the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,8 +79,8 @@ def _anchor_rows(window: int, period: int, cover: tuple[int, ...]):
                 more = pa.ListArray.from_arrays(pa.array(others), pa.array(place[order[~new]].astype(np.int32)), mask=pa.array(count == 1))
                 take = pa.array(row[head] + done)
                 columns = [batch.column("id").take(take), batch.column("th").take(take), pa.array(place[head].astype(np.int32)), more]
-                columns += [pa.array(x) for x in (h[head].view(np.int64), d[head].view(np.int64), count)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "pos", "more", "h", "d", "c"])
+                columns += [pa.array(x[head].view(np.int64)) for x in (h, d)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "pos", "more", "h", "d"])
 
     return run
 
@@ -90,39 +90,48 @@ def _windows(window: int, period: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (text, want) in enumerate(zip(_texts(batch.column("text")), batch.column("want").to_pylist())):
-                data = np.frombuffer(text, dtype=np.uint8)
-                hashes, _ = word_hashes(data, np.array([0, len(data)]), lower=False)
-                pos = np.array(want, dtype=np.int64)
-                start = np.unique(pos[:, None] - np.arange(period)[None, :])
-                start = start[(start >= 0) & (start <= len(hashes) - window)]
+            want = batch.column("want")
+            pos, ends = want.values.to_numpy(), want.offsets.to_numpy().astype(np.int64)
+            for done, data, offsets in blocks(pa.array(list(_texts(batch.column("text"))), type=pa.large_binary())):
+                hashes, first = word_hashes(data, offsets, lower=False)
+                mine = ends[done : done + len(offsets)]
+                row = np.repeat(np.arange(len(offsets) - 1), np.diff(mine))
+                # numbers among all words of the block, so that a number tells its text
+                at = (first[row] + pos[mine[0] : mine[-1]])[:, None] - np.arange(period)[None, :]
+                fits = (at >= first[row][:, None]) & (at + window <= first[row + 1][:, None])
+                start = np.unique(at[fits])
+                row = np.searchsorted(first, start, side="right") - 1
                 two = [_ranges(_prefix(hashes, b), start, start + window, b).view(np.int64) for b in _BASES]
-                one = pa.array(np.full(len(start), i))
-                columns = [batch.column("id").take(one), batch.column("th").take(one), pa.array(start.astype(np.int32)), *[pa.array(w) for w in two]]
+                one = pa.array(row + done)
+                columns = [batch.column("id").take(one), batch.column("th").take(one), pa.array((start - first[row]).astype(np.int32)), *[pa.array(w) for w in two]]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "start", "w1", "w2"])
 
     return run
 
 
+def _lists(column: pa.Array) -> Iterator[np.ndarray]:
+    """The lists of a column as arrays, null as an empty one."""
+    values = column.values.to_numpy()
+    for a, b, known in zip(column.offsets.to_pylist()[:-1], column.offsets.to_pylist()[1:], column.is_valid().to_pylist()):
+        yield values[a:b] if known else values[:0]
+
+
 def _apply(keep: list[str], window: int, period: int, with_text: bool):
     """Rows (..., text, full, single) to (..., n_words, n_removed, kept_sha256 [, text])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, digest, kept = [], [], [], []
-            for text, full, single in zip(_texts(batch.column("text")), batch.column("full").to_pylist(), batch.column("single").to_pylist()):
+            full, single = _lists(batch.column("full")), _lists(batch.column("single"))
+            for text, places, starts in zip(_texts(batch.column("text")), full, single):
                 words = text.split()  # bytes are split at the six white characters of ASCII
                 n = len(words)
-                if full or single:
+                if len(places) or len(starts):
                     edge = np.zeros(n + 1, dtype=np.int64)
-                    for places in full or []:
-                        at = np.array(places, dtype=np.int64)
-                        np.add.at(edge, np.maximum(at - (period - 1), 0), 1)
-                        np.add.at(edge, np.minimum(at + window, n), -1)
-                    if single:
-                        at = np.array(single, dtype=np.int64)
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + window, -1)
+                    np.add.at(edge, np.maximum(places - (period - 1), 0), 1)
+                    np.add.at(edge, np.minimum(places + window, n), -1)
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + window, -1)
                     words = [w for w, out in zip(words, (np.cumsum(edge)[:n] > 0).tolist()) if not out]
                 rest = b" ".join(words)
                 total.append(n), gone.append(n - len(words)), digest.append(hashlib.sha256(rest).hexdigest())
@@ -158,43 +167,45 @@ def remove_repeated_words(
     new = ["n_words", "n_removed", "kept_sha256"]
     keep = [c for c in (docs.columns if keep is None else keep) if c != text and c.lower() not in new]
     kind = docs.select(col(key)).dtypes[0][1]
-    mark = "struct<x:bigint,n:int>"
     raw = col(text).cast("binary").alias("text")
     # tells texts with the same key apart
-    th = F.struct(F.xxhash64(col(text)).alias("x"), F.coalesce(F.octet_length(col(text)), F.lit(0)).alias("n")).alias("th")
+    th = F.xxhash64(col(text), F.octet_length(col(text))).alias("th")
     rows = docs.select(col(key).alias("id"), th, raw)
-    found = rows.mapInArrow(_anchor_rows(window, period, cover), f"id {kind}, th {mark}, pos int, more array<int>, h long, d long, c long")
+    found = rows.mapInArrow(_anchor_rows(window, period, cover), f"id {kind}, th long, pos int, more array<int>, h long, d long")
 
     # anchors that occur once are in no repeat; a list that is stored first leaves the join on two plain shuffles, which AQE can split
-    shared = found.groupBy(F.col("h").alias("h2")).agg(F.sum("c").alias("n"), (F.min("d") != F.max("d")).alias("mixed"))
-    shared = stored(shared.where("n > 1").select("h2", "mixed"))
-    met = stored(found.join(shared, F.col("h") == F.col("h2")).select("id", "th", "pos", "more", "h", "d", "c", "mixed"))
+    shared = found.groupBy(F.col("h").alias("h2")).agg(F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0))).alias("n"))
+    shared = stored(shared.where("n > 1").select("h2"))
+    met = stored(found.join(shared, F.col("h") == F.col("h2"), "left_semi"))
 
     place = F.struct(F.col("id").isNull().alias("late"), "id", "pos")
-    classes = met.groupBy(F.col("h").alias("h2"), F.col("d").alias("d2")).agg(
-        F.sum("c").alias("n"), F.min(place).alias("least"), F.min(F.struct(place.alias("p"), "th")).alias("one"), F.first("mixed").alias("mixed")
+    classes = met.groupBy("h", "d").agg(
+        F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0))).alias("n"), F.min(F.struct(place.alias("p"), "th")).alias("one")
     )
     classes = stored(classes)
-    again = classes.where("n > 1").select("h2", "d2", "least")
+    again = classes.where("n > 1").select(F.col("h").alias("h2"), F.col("d").alias("d2"), F.col("one.p").alias("least"))
     # of a class all but the earliest repeat throughout; its text's other places are later ones
     later = met.join(again, (F.col("h") == F.col("h2")) & (F.col("d") == F.col("d2")))
     none = F.array().cast("array<int>")
     places = F.concat(F.when(place > F.col("least"), F.array("pos")).otherwise(none), F.coalesce("more", none))
-    full = later.select("id", "th", places.alias("p")).where("size(p) > 0")
+    full = later.select(F.col("id").alias("id2"), F.col("th").alias("th2"), F.explode(places).alias("p"))
     # the same key and text may be there twice
-    full = full.distinct().groupBy(F.col("id").alias("id2"), F.col("th").alias("th2")).agg(F.collect_list("p").alias("full"))
+    full = full.groupBy("id2", "th2").agg(F.collect_set("p").alias("full"))
 
     # windows of the earliest occurrences of the classes that share an anchor with another class
-    want = classes.where("mixed").select(F.col("one.p.id").alias("id2"), F.col("one.th").alias("th2"), F.col("one.p.pos").alias("pos"))
-    want = want.groupBy("id2", "th2").agg(F.collect_list("pos").alias("want"))
+    mixed = classes.groupBy(F.col("h").alias("h2")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h2")
+    want = classes.join(mixed, F.col("h") == F.col("h2"), "left_semi")
+    want = want.groupBy(F.col("one.p.id").alias("id2"), F.col("one.th").alias("th2")).agg(F.collect_list("one.p.pos").alias("want"))
     same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
     packed = rows.mapInArrow(_compress, rows.schema)
     wanted = packed.join(want, same).groupBy("id", "th").agg(F.first("text").alias("text"), F.first("want").alias("want"))
-    strings = stored(wanted.mapInArrow(_windows(window, period), f"id {kind}, th {mark}, start int, w1 long, w2 long"))
+    strings = stored(wanted.mapInArrow(_windows(window, period), f"id {kind}, th long, start int, w1 long, w2 long"))
+    twice = strings.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.count(F.lit(1)).alias("n"))
+    twice = stored(twice.where("n > 1").select("x1", "x2"))
     begin = F.struct(F.col("id").isNull().alias("late"), "id", "start")
-    twice = strings.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.count(F.lit(1)).alias("n"), F.min(begin).alias("least"))
-    twice = stored(twice.where("n > 1").select("x1", "x2", "least"))
-    single = strings.join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).where(begin > F.col("least"))
+    repeated = stored(strings.join(twice, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2")), "left_semi"))
+    least = stored(repeated.groupBy(F.col("w1").alias("x1"), F.col("w2").alias("x2")).agg(F.min(begin).alias("least")))
+    single = repeated.join(least, (F.col("w1") == F.col("x1")) & (F.col("w2") == F.col("x2"))).where(begin > F.col("least"))
     single = single.groupBy(F.col("id").alias("id3"), F.col("th").alias("th3")).agg(F.collect_list("start").alias("single"))
 
     # helper names for all columns, as any name may be taken
