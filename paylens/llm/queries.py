@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylens.llm.collocations import collocations
 from paylens.llm.hnsw import near_vectors
 from paylens.llm.html_text import extract
 from paylens.llm.huffman import read_ids, write_ids
@@ -97,6 +98,10 @@ def op10_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "length", "bucket", "boundary", "batch", "slot", "padding")
 
 
+def op12_misra_gries_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
 def op13_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated_words(table(spark, folder, "documents").select("doc_id", "text"), with_text=False)
 
@@ -175,6 +180,39 @@ SELECT doc_id, size, source_size, target, size * coalesce(copies, 0) AS taken, C
 FROM f LEFT JOIN taken USING (k, rank, cum)
 """
 
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p
+), total AS (
+  SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM w GROUP BY lang
+), grams AS (
+  SELECT lang, size, array_to_string(list_slice(words, i, i + size - 1), ' ') AS phrase
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, range(1, 6) s(size))
+), f AS (
+  SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT lang, size, phrase, f AS a, k, string_split(phrase, ' ') AS words FROM f, range(1, 5) t(k) WHERE size > 1 AND k < size
+), cut AS (
+  SELECT c.*, x.f AS l, y.f AS r, (1000 * a * n) // (x.f * y.f) AS score FROM c
+  JOIN total USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(words, 1, k), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(words, k + 1, c.size), ' ')
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, f AS b, array_to_string(list_slice(string_split(phrase, ' '), i, i + n - 1), ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, size - n + 2)) AS i FROM f, range(2, 5) s(n) WHERE n < size)
+), rest AS (
+  SELECT * FROM best WHERE NOT EXISTS (SELECT 1 FROM longer WHERE longer.lang = best.lang AND longer.phrase = best.phrase AND 100 * b >= 100 * a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM rest JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 OP13_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents
@@ -209,6 +247,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_fair_queue_mixing": (op8_fair_queue_mixing, OP8_SQL),
     "op9_language_fusion": (op9_language_fusion, None),
     "op10_length_buckets": (op10_length_buckets, None),
+    "op12_misra_gries_phrases": (op12_misra_gries_phrases, OP12_SQL),
     "op13_difference_cover": (op13_difference_cover, OP13_SQL),
 }
 
