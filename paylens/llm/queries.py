@@ -15,6 +15,7 @@ from paylens.llm.huffman import read_ids, write_ids
 from paylens.llm.language import CONFIDENT, address_parts, declared_language, fit_text, identify, visible_text
 from paylens.llm.line_frequency import quality_rules
 from paylens.llm.minhash import near_duplicates
+from paylens.llm.mining import hard_negatives
 from paylens.llm.mixing import plan_mix
 from paylens.llm.packing import pack
 from paylens.llm.substrings import remove_repeated_words
@@ -98,6 +99,12 @@ def op10_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "length", "bucket", "boundary", "batch", "slot", "padding")
 
 
+def op11_shared_list_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows, label=moved)
+
+
 def op12_misra_gries_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents").select("lang", "text"))
 
@@ -180,6 +187,24 @@ SELECT doc_id, size, source_size, target, size * coalesce(copies, 0) AS taken, C
 FROM f LEFT JOIN taken USING (k, rank, cum)
 """
 
+OP11_SQL = """
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r, a.vec_id AS anchor_id, a.label AS own, e.vec_id AS id, e.label, CAST(list_inner_product(a.v, e.v) AS BIGINT) AS score
+  FROM e a JOIN e ON len(a.v) = len(e.v) WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT r, anchor_id, own, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, id NULLS LAST) AS place
+  FROM s WHERE label = own AND id IS DISTINCT FROM anchor_id QUALIFY place <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY r, place ORDER BY score DESC, id NULLS LAST) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (r) WHERE s.label <> p.own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 OP12_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
@@ -247,6 +272,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_fair_queue_mixing": (op8_fair_queue_mixing, OP8_SQL),
     "op9_language_fusion": (op9_language_fusion, None),
     "op10_length_buckets": (op10_length_buckets, None),
+    "op11_shared_list_negatives": (op11_shared_list_negatives, OP11_SQL),
     "op12_misra_gries_phrases": (op12_misra_gries_phrases, OP12_SQL),
     "op13_difference_cover": (op13_difference_cover, OP13_SQL),
 }
