@@ -1,10 +1,12 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one class. Classes are dealt to shards by hash; a task builds its shard's graph and streams all
-vectors past it as queries, in batches. Beams start narrow. A beam full of partners is widened for
-its query; a batch whose recall audit fails (members of the shard that do not find themselves, or sampled queries
-that miss a partner found by brute force) is searched again with wider beams, and later batches start
-there. Partners are verified in double precision; components come from the verified links.
+vectors past it as queries, in batches. Beams start narrow. A beam full of partners is widened once for
+its query; a query that is full again, or would need a tenth of the shard, is compared with the whole shard as a matrix
+product, in blocks, as a graph is slower than that where near groups are dense. A batch whose recall audit fails (members of the
+shard that do not find themselves, or sampled queries that miss a partner found by brute force) is searched again with
+wider beams, which are halved again after some batches without need. Partners are verified in double precision; components come from the
+verified links.
 """
 
 from __future__ import annotations
@@ -32,6 +34,12 @@ AUDIT_ONE_IN = 16
 RECALL = 0.99
 # float32 sums may be off by this much
 SLACK = 1e-4
+# batches after which a widened beam is halved again
+CALM = 8
+# a beam of one in so many of the shard is no better than a matrix product
+DENSE = 10
+# members compared at once, pairs verified at once
+MEMBERS, PIECE = 8192, 1 << 16
 
 
 class Graph:
@@ -168,51 +176,53 @@ class Graph:
         return self._beam(queries, start, 0, min(beam, len(self.x)))
 
 
-def partners(graph: Graph, queries: np.ndarray, own: np.ndarray, audit: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, node) pairs at or above `least`, and the beam that passed the audit.
+def partners(graph: Graph, queries: np.ndarray, own: np.ndarray, audit: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, ...]:
+    """Query, node and similarity of pairs about at or above `least`; the queries that a graph is no help for; and the beam that passed the audit.
 
     `own` gives the node that a query is itself, -1 if it is not of this shard; `audit` marks queries compared by brute force.
     """
     n = len(graph.x)
-    truth = graph.x @ queries[audit].T >= least + 2 * SLACK if audit.any() else np.zeros((n, 0), dtype=bool)
-    while True:
-        rows, nodes, todo, width = [], [], np.arange(len(queries)), beam
+    looked = np.flatnonzero(audit)
+    truth = graph.x @ queries[looked].T >= least + 2 * SLACK if len(looked) else np.zeros((n, 0), dtype=bool)
+    while DENSE * beam < n:
+        rows, nodes, near, wide = [], [], [], []
         itself = own < 0
+        todo, width, last = np.arange(len(queries)), beam, False
         while len(todo):
             ids, sims = graph.search(queries[todo], width)
             itself[todo] |= (ids == own[todo, None]).any(axis=1)
             hit = sims >= least - SLACK
-            full = hit.all(axis=1) & (ids.shape[1] < n)
+            full = hit.all(axis=1)
             r, c = np.nonzero(hit & ~full[:, None])
-            rows.append(todo[r]), nodes.append(ids[r, c])
+            rows.append(todo[r]), nodes.append(ids[r, c]), near.append(sims[r, c])
             todo, width = todo[full], 4 * width
-        r, c = np.concatenate(rows), np.concatenate(nodes)
-        if beam >= n:
-            return r, c, beam
-        found = np.zeros((n, len(queries)), dtype=bool) if audit.any() else None
-        if found is not None:
-            found[c, r] = True
-            missed = int((truth & ~found[:, audit]).sum())
-            wanted = int(truth.sum())
-        else:
-            missed = wanted = 0
-        if itself.mean() >= RECALL and missed <= (1 - RECALL) * wanted:
-            # the few that did not find themselves are searched in full
+            if last or DENSE * width >= n:
+                wide.append(todo)
+                break
+            last = True
+        r, c, s = np.concatenate(rows), np.concatenate(nodes), np.concatenate(near)
+        dense = np.concatenate(wide) if wide else np.zeros(0, dtype=np.int64)
+        itself[dense] = True
+        at = np.searchsorted(looked, r)
+        mine = np.append(looked, -1)[at] == r
+        found = np.zeros((n, len(looked)), dtype=bool)
+        found[c[mine], at[mine]] = True
+        found[:, np.isin(looked, dense)] = True
+        if itself.mean() >= RECALL and (truth & ~found).sum() <= (1 - RECALL) * truth.sum():
+            # the few that did not find themselves are compared in full
             late = np.flatnonzero(~itself)
-            if len(late):
-                sims = queries[late] @ graph.x.T
-                a, b = np.nonzero(sims >= least - SLACK)
-                rest = ~np.isin(r, late)
-                r, c = np.concatenate([r[rest], late[a]]), np.concatenate([c[rest], b])
-            return r, c, beam
+            rest = ~np.isin(r, late)
+            return r[rest], c[rest], s[rest], np.concatenate([dense, late]), beam
         beam *= 2
+    none = np.zeros(0, dtype=np.int64)
+    return none, none, np.zeros(0, dtype=np.float32), np.arange(len(queries)), beam
 
 
 class _Shard:
     """One shard: members arrive first, then all vectors as queries."""
 
     def __init__(self, least: float):
-        self.least, self.beam = least, BEAM
+        self.least, self.beam, self.calm = least, BEAM, 0
         self.node, self.raw, self.copies = [], [], []
         self.graph: Graph | None = None
 
@@ -226,11 +236,19 @@ class _Shard:
         self.root = np.arange(len(self.node))
         for a in range(0, len(self.node), BATCH):
             part = np.arange(a, min(a + BATCH, len(self.node)))
-            r, c, _ = self.verified(self.node[part], self.raw[part])
-            for x, y in zip(part[r].tolist(), c.tolist()):
-                self._join(x, y)
-        for i in range(len(self.root)):
-            self.root[i] = self._find(i)
+            for r, c in self.verified(self.node[part], self.raw[part]):
+                cut = np.flatnonzero(np.diff(r)) + 1
+                for x, members in zip(part[r[np.append(0, cut)]].tolist() if len(r) else [], np.split(c, cut)):
+                    # most members of a dense group have one root after its first query
+                    for y in np.unique(self._roots(members)).tolist():
+                        self._join(x, y)
+        self.root = self._roots(np.arange(len(self.root)))
+
+    def _roots(self, members: np.ndarray) -> np.ndarray:
+        at = self.root[members]
+        while (self.root[at] != at).any():
+            at = self.root[at]
+        return at
 
     def _find(self, i: int) -> int:
         while self.root[i] != i:
@@ -243,31 +261,51 @@ class _Shard:
         if a != b:
             self.root[max(a, b)] = min(a, b)
 
-    def verified(self, node: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, member) pairs at or above the limit in double precision, without the query itself."""
+    def verified(self, node: np.ndarray, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, member) pairs at or above the limit in double precision, without the query itself, in order of the query per piece."""
         norm = np.linalg.norm(raw.astype(np.float64), axis=1)
         at = np.minimum(np.searchsorted(self.node, node, sorter=self.order), len(self.node) - 1)
         own = np.where(self.node[self.order[at]] == node, self.order[at], -1)
         # a fixed part of all queries, told by their number
         audit = (node * np.int64(2654435761) >> np.int64(16)) % AUDIT_ONE_IN == 0
-        r, c, self.beam = partners(self.graph, (raw / norm[:, None]).astype(np.float32), own, audit, self.least, self.beam)
-        other = own[r] != c
-        r, c = r[other], c[other]
-        exact = np.einsum("nd,nd->n", raw[r].astype(np.float64), self.raw[c].astype(np.float64)) / (norm[r] * self.norm[c])
-        r, c = r[exact >= self.least], c[exact >= self.least]
-        return r, c, own
+        unit = (raw / norm[:, None]).astype(np.float32)
+
+        def sure(r: np.ndarray, c: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            stay = own[r] != c
+            doubt = np.flatnonzero(stay & (np.abs(sims - self.least) <= SLACK))
+            stay &= sims >= self.least
+            for k in range(0, len(doubt), PIECE):
+                d = doubt[k : k + PIECE]
+                exact = np.einsum("nd,nd->n", raw[r[d]].astype(np.float64), self.raw[c[d]].astype(np.float64)) / (norm[r[d]] * self.norm[c[d]])
+                stay[d] = exact >= self.least
+            return r[stay], c[stay]
+
+        r, c, sims, wide, passed = partners(self.graph, unit, own, audit, self.least, self.beam)
+        # what one batch needed is not carried on for good
+        self.calm = 0 if passed > self.beam else self.calm + 1
+        self.beam = passed
+        if self.calm == CALM:
+            self.beam, self.calm = max(BEAM, passed // 2), 0
+        order = np.argsort(r, kind="stable")
+        yield sure(r[order], c[order], sims[order])
+        for a in range(0, len(self.node), MEMBERS) if len(wide) else []:
+            close = unit[wide] @ self.graph.x[a : a + MEMBERS].T
+            r, c = np.nonzero(close >= self.least - SLACK)
+            yield sure(wide[r], c + a, close[r, c])
 
     def answer(self, node: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Query, number of linked vectors, and one member of each linked group of members, as rows."""
-        r, c, _ = self.verified(node, raw)
-        links = np.bincount(r, weights=self.copies[c], minlength=len(node)).astype(np.int64)
-        # members linked to each other are one group; one link to each group joins all that the query links
-        pair = np.unique(np.stack([r, self.root[c]]), axis=1) if len(r) else np.zeros((2, 0), dtype=np.int64)
-        first = np.searchsorted(pair[0], np.arange(len(node)))
-        count = np.zeros(pair.shape[1], dtype=np.int64)
+        links, seen = np.zeros(len(node), dtype=np.int64), []
+        for r, c in self.verified(node, raw):
+            links += np.bincount(r, weights=self.copies[c], minlength=len(node)).astype(np.int64)
+            # members linked to each other are one group; one link to each group joins all that the query links
+            seen.append(np.unique(r * len(self.node) + self.root[c]))
+        pair = np.unique(np.concatenate(seen))
+        query, root = pair // len(self.node), pair % len(self.node)
+        count = np.zeros(len(pair), dtype=np.int64)
         hit = np.flatnonzero(links)
-        count[first[hit]] = links[hit]
-        return node[pair[0]], count, self.node[pair[1]]
+        count[np.searchsorted(query, hit)] = links[hit]
+        return node[query], count, self.node[root]
 
 
 def _shards(least: float):
@@ -338,7 +376,8 @@ def near_vectors(
     dealt = classes.select("node", "copies", "v", F.explode(visits).alias("x")).select(
         (F.size("v") * shards + F.col("x.s")).cast("long").alias("part"), F.col("x.kind").alias("kind"), "node", "copies", "v"
     )
-    placed = dealt.repartition(2 * shards, "part").sortWithinPartitions("part", "kind", "node")
+    # each shard of a length has a partition of its own
+    placed = dealt.repartitionById(shards, F.pmod(F.col("part"), F.lit(shards)).cast("int")).sortWithinPartitions("part", "kind", "node")
     found = stored(placed.mapInArrow(_shards(least), "node long, links long, other long"))
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -201,6 +202,23 @@ def test_vectors_match_brute_force(spark):
     assert near_vectors(frame.limit(0)).count() == 0
 
 
+def test_a_third_of_all_vectors_is_one_near_group(spark):
+    """A beam cannot hold a dense group; every member is found all the same, in seconds."""
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(6000, 32))
+    x[:2000] = draw.normal(size=32) + 0.05 * x[:2000]
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    began = time.perf_counter()
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in near_vectors(frame, least_shards=2).collect()}
+    assert time.perf_counter() - began < 60
+    y = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    near = y @ y.T >= 0.95
+    n = near.sum(axis=1) - 1
+    assert n[:2000].min() > 1900
+    assert all(got[i] == (n[i], 0 if i < 2000 else i) for i in range(6000))
+
+
 def test_graph_recall():
     draw = np.random.default_rng(1)
     x = draw.normal(size=(3000, 24)).astype(np.float32)
