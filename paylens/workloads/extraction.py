@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paylens.functions import text as t
 from paylens.functions.sql import q
 from paylens.plans.extract import extract_cards as cards_to_responses
 from paylens.schema import RAW_COLUMNS
+from paylens.session import ensure_checkpoint_dir
+from paylens.sources.envelopes import read_split_envelopes
 from paylens.sources.survey import unwrap_text
 from paylens.workloads.views import table
 
@@ -114,6 +118,25 @@ def json_envelope_explode(spark, folder):
     )
 
 
+def json_envelope_split(spark, folder):
+    """The same pairs out of landed files, which the cluster writes first: envelopes of 5,000 events each, read in pieces."""
+    pair = "named_struct('k', event_id, 'pair', array(CAST(event_id AS STRING), props))"
+    lists = (
+        table(spark, folder, "events")
+        .selectExpr("CAST(floor(event_id / 5000) AS INT) AS part", f"{pair} AS p")
+        .groupBy("part")
+        .agg(F.expr("transform(array_sort(collect_list(p)), x -> x.pair) AS pairs"))
+    )
+    landing = f"{ensure_checkpoint_dir(spark)}/landing-{uuid.uuid4().hex}"
+    envelope = "to_json(named_struct('iTotalRecords', size(pairs), 'aaData', pairs)) AS value"
+    lists.selectExpr("part", envelope).write.partitionBy("part").text(landing)
+    pairs = read_split_envelopes(spark, landing)
+    return pairs.selectExpr(
+        "CAST(id AS BIGINT) AS id", "html AS payload", "CAST(get_json_object(html, '$.k') AS BIGINT) AS k",
+        "CAST(regexp_extract(landed.file, 'part=([0-9]+)', 1) AS BIGINT) AS part", "CAST(landed.place AS BIGINT) AS place",
+    )
+
+
 _FIRM_SQL = """segment AS firm_type, CASE WHEN size_again <> '' THEN size_again ELSE size END AS firm_size,
     CASE WHEN health <> '' THEN 'Yes' END AS health_insurance, nullif(overtime, '') AS overtime,
     replace(vacation, ' Days Vacation', '') AS vacation_days, replace(replace(bonus, '$', ''), ' Bonus', '') AS annual_bonus"""
@@ -158,4 +181,9 @@ QUERIES = {
         json_envelope_explode,
         "SELECT event_id AS id, props AS payload, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     ),
+    "json_envelope_split": (
+        json_envelope_split,
+        """SELECT event_id AS id, props AS payload, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id // 5000 AS part,
+        row_number() OVER (PARTITION BY event_id // 5000 ORDER BY event_id) - 1 AS place FROM events""",
+    ),
 }
