@@ -109,9 +109,8 @@ def topn_median_trend(
         q(column), f"inline(array(named_struct({lit(period)}, _key.p, 'median', median)))"
     )
     trend = trend.where(not_null([period]))
-    every = counts.groupBy(q(column), "_v").agg(F.expr("sum(_n) AS _n"))
-    # at most N rows
-    overall = quantiles_of_counts(every, [column], {"overall_median": 0.5})
+    # the counts of all periods stand side by side; at most N rows
+    overall = quantiles_of_counts(counts, [column], {"overall_median": 0.5})
     return trend.join(F.broadcast(overall), column).orderBy(F.desc("overall_median"), q(column), q(period))
 
 

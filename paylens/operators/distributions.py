@@ -9,29 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylens.functions.sql import lit, q
-from paylens.operators.joins import salted_join
-from paylens.operators.quantiles import quantiles_of_counts, value_counts
+from paylens.operators.quantiles import SHIFTS, key_of, quantile_steps, value_counts
 
 
-def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Quartiles per group and whiskers: the most extreme values within 1.5 quartile ranges."""
-    names = [q(k) for k in keys]
+def boxplot_stats(df: DataFrame, keys: Sequence[str], value: str, deep: bool | None = None) -> DataFrame:
+    """Quartiles per group and whiskers: the most extreme values within 1.5 quartile ranges.
+
+    The cells that the quartiles were found with keep their least and greatest values, so whiskers come from these; only in
+    the two cells of a group in which the limits lie are values looked at.
+    """
+    names = ", ".join(q(k) for k in keys)
     counts = value_counts(df, keys, value)
-    box = quantiles_of_counts(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    inside = "_v BETWEEN q1 - 1.5D * (q3 - q1) AND q3 + 1.5D * (q3 - q1)"
-    # a hot group has many distinct values, so the values are spread over tasks
-    return (
-        salted_join(counts, box, keys, "inner", spread_by=["_v"])
-        .groupBy(*names, "q1", "median", "q3")
-        .agg(
-            F.expr("sum(_n) AS n"),
-            F.expr(f"min(CASE WHEN {inside} THEN _v END) AS _low"),
-            F.expr(f"max(CASE WHEN {inside} THEN _v END) AS _high"),
-        )
-        .selectExpr(
-            *names, "n", "q1", "median", "q3",
-            "least(q1, _low) AS whisker_low", "greatest(q3, _high) AS whisker_high",
-        )
+    steps = quantile_steps(counts, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}, deep)
+    low, high = (f"shiftright({key_of(limit)}, {SHIFTS[0]})" for limit in ("_low", "_high"))
+    steps += [
+        f"_box AS (SELECT {names}, q1, median, q3, _rows AS n, q1 - 1.5D * (q3 - q1) AS _low, q3 + 1.5D * (q3 - q1) AS _high FROM _picked)",
+        f"_limits AS (SELECT *, {low} AS _first, {high} AS _last FROM _box)",
+        f"_between AS (SELECT {names}, q1, median, q3, n, min(CASE WHEN _cell > _first THEN _lo END) AS _above,"
+        f" max(CASE WHEN _cell < _last THEN _hi END) AS _below FROM _cells0 JOIN _limits USING ({names}) GROUP BY {names}, q1, median, q3, n)",
+        f"_borders AS (SELECT {names}, _low, _high, explode(array_distinct(array(_first, _last))) AS _cell FROM _limits)",
+        f"_edges AS (SELECT {names}, min(CASE WHEN _v >= _low THEN _v END) AS _from, max(CASE WHEN _v <= _high THEN _v END) AS _upto"
+        f" FROM _rows0 JOIN _borders USING ({names}, _cell) GROUP BY {names})",
+    ]
+    return df.sparkSession.sql(
+        f"WITH {', '.join(steps)} SELECT {names}, n, q1, median, q3, least(q1, _from, _above) AS whisker_low,"
+        f" greatest(q3, _upto, _below) AS whisker_high FROM _between LEFT JOIN _edges USING ({names})",
+        counts=counts,
     )
 
 

@@ -1,10 +1,10 @@
 """Exact quantiles per group without holding a group in one task.
 
-Spark's own median keeps every distinct value of a group in one buffer. Here a group is cut into
-cells on a fixed logarithmic grid; running counts over the cells tell which cells hold the wanted
-ranks. Those cells are cut again, evenly between their own smallest and largest value, as small or
-crowded values may share one cell; only the values of the parts with the wanted ranks are ordered.
-The grids depend on the values alone, so the result does not depend on sampling, task order or retries.
+Spark's own median keeps every distinct value of a group in one buffer. Here a value becomes a 64-bit key in the
+same order, the bits of the double, and ranks are found digit by digit: the first bits of the keys cut a group into cells, running
+counts over the cells tell which of them hold the wanted ranks, and only their values are ordered. A cell with more than SMALL
+values is cut again by the next bits, so that no task orders more, however values are spread. The cells depend on
+the values alone, so the result does not depend on sampling, task order or retries.
 """
 
 from __future__ import annotations
@@ -15,12 +15,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylens.functions.sql import lit, not_null, q
+from paylens.session import source_bytes
 
-# Cells per unit of log(1 + |v|): a cell spans 0.025 % of its values, so around 100,000 it holds
-# 25 whole units, and a group has about 47,000 cells between 10 thousand and 1 billion.
-CELLS_PER_LOG = 4096
-# parts of a cell that holds a wanted rank
-PARTS = 4096
+# Bits of a key that are left out at each level. The first leaves sign, exponent and 12 bits: a cell spans 0.024 % of its values. The
+# last cuts into runs of a million doubles.
+SHIFTS = (40, 20)
+# distinct values of a cell that one task may order
+SMALL = 8192
+# bytes of source tables from which on cells are cut again
+DEEP_FROM = 64 << 20
+_LEAST_NORMAL, _LEAST = "2.2250738585072014E-308D", "4.9E-324D"
+
+
+def key_of(v: str) -> str:
+    """The bits of a double as a long in the order of the values; both zeros are 0, NaN is null.
+
+    The exponent comes from a logarithm, which may be one off, and a power of two, which is exact; so are the quotient
+    and the fraction.
+    """
+    power = f"pow(2D, least(floor(log2(abs({v}))), 1023))"
+    power = f"CASE WHEN {power} > abs({v}) THEN {power} / 2 WHEN {power} * 2 <= abs({v}) THEN {power} * 2 ELSE {power} END"
+    normal = f"(CAST(rint(log2({power})) AS BIGINT) + 1023) * {1 << 52}L + CAST((abs({v}) / ({power}) - 1) * {1 << 52}L AS BIGINT)"
+    size = (
+        f"CASE WHEN abs({v}) < {_LEAST_NORMAL} THEN CAST(abs({v}) / {_LEAST} AS BIGINT)"
+        f" WHEN abs({v}) = double('infinity') THEN {2047 << 52}L WHEN NOT isnan({v}) THEN {normal} END"
+    )
+    return f"(CASE WHEN {v} < 0 THEN -1L ELSE 1L END * {size})"
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -35,66 +55,74 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """Quantiles, linear between neighbouring ranks, of a value_counts table."""
+def _list(*columns: str) -> str:
+    return ", ".join(columns)
+
+
+def _parts(keys: Sequence[str], ranks: str, shifts: Sequence[int]) -> tuple[list[str], list[str]]:
+    """Common table expressions from {counts} down to the small cells that hold the wanted ranks, and the names of the latter."""
+    names = [q(k) for k in keys]
+    # keys are never null, and declared so: a null check pushed into one branch would make branches differ, and the shuffled
+    # counts would be computed twice instead of shared
+    steps = [f"_keyed AS (SELECT *, coalesce({key_of('_v')}, 0L) AS _bits FROM {{counts}})"]
+    near = []
+    for level, shift in enumerate(shifts):
+        source, above = ("_keyed", []) if level == 0 else (f"_large{level}", ["_base", "_total"])
+        inside = [*names, *above[:1]]
+        group = f"PARTITION BY {_list(*inside)}" if inside else ""
+        rows = "_total" if above else f"sum(_held) OVER ({group})"
+        start = f"{'_base + ' if above else ''}sum(_held) OVER ({group} ORDER BY _cell ROWS UNBOUNDED PRECEDING) - _held"
+        steps += [
+            f"_rows{level} AS (SELECT {_list(*names, *above, '_v', '_n', '_bits')}, shiftright(_bits, {shift}) AS _cell FROM {source})",
+            f"_sums{level} AS (SELECT {_list(*names, *above, '_cell')}, sum(_n) AS _held, count(*) AS _values, min(_v) AS _lo, max(_v) AS _hi"
+            f" FROM _rows{level} GROUP BY {_list(*names, *above, '_cell')})",
+            f"_cells{level} AS (SELECT {_list(*names, '_cell')}, _held, _values, _lo, _hi, {rows} AS _rows, {start} AS _start FROM _sums{level})",
+            f"_found{level} AS (SELECT * FROM _cells{level} WHERE exists(array({ranks}), r -> r >= _start AND r < _start + _held))",
+        ]
+        joined = f"FROM _rows{level} JOIN _found{level} USING ({_list(*names, '_cell')})"
+        last = level == len(shifts) - 1
+        steps.append(f"_near{level} AS (SELECT {_list(*names, '_v', '_n', '_start', '_rows')} {joined}{'' if last else f' WHERE _values <= {SMALL}'})")
+        near.append(f"_near{level}")
+        if not last:
+            # mostly there are none, and the engine leaves out what follows once it knows
+            steps.append(f"_large{level + 1} AS (SELECT {_list(*names, '_v', '_n', '_bits')}, _start AS _base, _rows AS _total {joined} WHERE _values > {SMALL})")
+    return steps, near
+
+
+def quantile_steps(counts: DataFrame, keys: Sequence[str], probs: dict[str, float], deep: bool | None = None) -> list[str]:
+    """Common table expressions that end in `_picked`, the quantiles of {counts} with the rows of each group.
+
+    The statement has the levels below the first if `deep`, and unless told where the tables behind the counts are
+    larger than DEEP_FROM: smaller ones have no cell that is too large for a task, and planning takes longer than running.
+    """
+    if deep is None:
+        deep = source_bytes(counts) > DEEP_FROM
     names = [q(k) for k in keys]
-    group = f"PARTITION BY {', '.join(names)}" if names else ""
     position = {name: f"((_rows - 1) * {lit(float(p))})" for name, p in probs.items()}
-    ranks = ", ".join(f"floor({p}), ceil({p})" for p in position.values())
-    # declared as never null: a null check pushed into one branch would make the two branches below
-    # differ, and the shuffled counts would be computed twice instead of shared
-    cell = f"coalesce(floor(signum(_v) * log1p(abs(_v)) * {CELLS_PER_LOG}), 0L)"
-    counts = counts.selectExpr("*", f"{cell} AS _cell")
-    # the windows see cells, not rows: a group has a bounded number of them
-    wanted = f"exists(array({ranks}), r -> r >= _start AND r < _start + _held)"
-    cells = (
-        counts.groupBy(*names, "_cell")
-        .agg(F.expr("sum(_n) AS _held"), F.expr("min(_v) AS _lo"), F.expr("max(_v) AS _hi"))
-        .selectExpr(
-            "*",
-            f"sum(_held) OVER ({group} ORDER BY _cell ROWS UNBOUNDED PRECEDING) - _held AS _start",
-            f"sum(_held) OVER ({group}) AS _rows",
-        )
-        .where(wanted)
-        .select(*names, "_cell", "_start", "_rows", "_lo", "_hi")
-    )
-    # halves, so that the width of the widest cell is no overflow
-    part = f"CASE WHEN _hi > _lo THEN least(floor((_v / 2 - _lo / 2) / (_hi / 2 - _lo / 2) * {PARTS}), {PARTS - 1}) ELSE 0 END"
-    near = counts.join(cells, [*keys, "_cell"]).selectExpr(
-        *names, "_cell", f"CAST(coalesce(try_cast({part} AS BIGINT), 0) AS INT) AS _part", "_v", "_n", "_start", "_rows"
-    )
-    cell = ", ".join([*names, "_cell"])
-    parts = (
-        near.groupBy(*names, "_cell", "_part")
-        .agg(F.expr("sum(_n) AS _held"), F.expr("min(_start) AS _begin"), F.expr("min(_rows) AS _rows"))
-        .selectExpr(
-            "*", f"_begin + sum(_held) OVER (PARTITION BY {cell} ORDER BY _part ROWS UNBOUNDED PRECEDING) - _held AS _start"
-        )
-        .where(wanted)
-        .select(*names, "_cell", "_part", F.col("_start").alias("_before"))
-    )
-    in_part = f"PARTITION BY {cell}, _part ORDER BY _v ROWS UNBOUNDED PRECEDING"
-    near = (
-        near.join(parts, [*keys, "_cell", "_part"])
-        .selectExpr(*names, "_v", "_n", "_rows", f"_before + sum(_n) OVER ({in_part}) AS _to")
-        .selectExpr("*", "_to - _n AS _from")
-    )
+    steps, near = _parts(keys, _list(*[f"floor({p}), ceil({p})" for p in position.values()]), SHIFTS if deep else SHIFTS[:1])
+    # a few small cells per group are left; those of a group in one place serve the window and the aggregate
+    near = " UNION ALL ".join(f"SELECT * FROM {n}" for n in near)
+    before = f"_start + sum(_n) OVER (PARTITION BY {_list(*names, '_start')} ORDER BY _v ROWS UNBOUNDED PRECEDING)"
 
     def at(rank: str) -> str:
-        return f"max(CASE WHEN {rank} >= _from AND {rank} < _to THEN _v END)"
-
-    picked = near.groupBy(*names).agg(
-        *[F.expr(f"{at(f'floor({p})')} AS {q('_low_' + n)}") for n, p in position.items()],
-        *[F.expr(f"{at(f'ceil({p})')} AS {q('_high_' + n)}") for n, p in position.items()],
-        F.expr("max(_rows) AS _rows"),
-    )
-    return picked.selectExpr(
-        *names,
-        *[
-            f"{q('_low_' + n)} + ({q('_high_' + n)} - {q('_low_' + n)}) * ({p} - floor({p})) AS {q(n)}"
-            for n, p in position.items()
-        ],
-    )
+        return f"max(CASE WHEN {rank} >= _to - _n AND {rank} < _to THEN _v END)"
+
+    ends = [f"{at(f'{side}({p})')} AS {q(f'_{side}_{n}')}" for n, p in position.items() for side in ("floor", "ceil")]
+    between = [f"{q('_floor_' + n)} + ({q('_ceil_' + n)} - {q('_floor_' + n)}) * ({p} - floor({p})) AS {q(n)}" for n, p in position.items()]
+    return [
+        *steps,
+        f"_near AS (SELECT /*+ REPARTITION({_list(*names) or 1}) */ * FROM ({near}))",
+        f"_ordered AS (SELECT {_list(*names, '_v', '_n', '_rows')}, {before} AS _to FROM _near)",
+        f"_ends AS (SELECT {_list(*names, *ends)}, max(_rows) AS _rows FROM _ordered{' GROUP BY ' + _list(*names) if names else ''})",
+        f"_picked AS (SELECT {_list(*names, *between, '_rows')} FROM _ends)",
+    ]
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: dict[str, float], deep: bool | None = None) -> DataFrame:
+    """Quantiles, linear between neighbouring ranks, of a value_counts table; a value may have several rows."""
+    wanted = _list(*[q(k) for k in keys], *[q(n) for n in probs])
+    # one statement, as each step of a composed table is analysed anew
+    return counts.sparkSession.sql(f"WITH {', '.join(quantile_steps(counts, keys, probs, deep))} SELECT {wanted} FROM _picked", counts=counts)
 
 
 def group_quantiles(

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from paylens.operators import distributions as d
-from paylens.operators.quantiles import group_median, group_quantiles
+from paylens.operators import quantiles
+from paylens.operators.quantiles import SHIFTS, group_median, group_quantiles, key_of, quantiles_of_counts, value_counts
 from tests.conftest import rows
 
 RNG = np.random.default_rng(7)
@@ -58,6 +59,45 @@ def test_approximate_returns_an_element(spark):
     assert group_median(df, ["k"], "v", approximate=True).collect()[0][1] == 4.0
 
 
+EXTREMES = [0.0, -0.0, 5e-324, 1e-310, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 1.0000000000000002, 0.9999999999999999]
+EXTREMES += [1.7976931348623157e308, math.inf, 3.0, 2.0**52 + 1, 2.0**-60, 1e-12, 1e-4, 123456.78, 2.0**-1000, 1.5 * 2.0**-1040]
+
+
+def test_keys_are_the_bits_of_the_value(spark):
+    values = [*EXTREMES, *(-v for v in EXTREMES), *RNG.normal(0, 1, 500), *10.0 ** RNG.uniform(-300, 300, 500), *(2.0 ** np.arange(-1074, 1024, 7.0))]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").selectExpr("v", f"{key_of('v')} AS k")
+    for v, k in df.collect():
+        bits = int(np.float64(abs(v)).view(np.int64))
+        assert k == (-bits if v < 0 else bits), v
+    assert spark.sql(f"SELECT {key_of('v')} FROM VALUES (double('NaN')) t(v)").first()[0] is None
+
+
+def test_log_uniform_values_are_spread_over_cells(spark):
+    """A million values between 1e-12 and 1e-4: no cell has 10,000 of them, and the median is exact."""
+    df = spark.range(1_000_000).selectExpr("1 AS g", "pow(10D, -12 + 8 * (id * 7919 % 1000003) / 1000003D) AS v")
+    crowded = df.selectExpr(f"shiftright({key_of('v')}, {SHIFTS[0]}) AS c").groupBy("c").count().selectExpr("max(count)").first()[0]
+    assert crowded < 10_000
+    values = np.sort([r[0] for r in df.select("v").collect()])
+    assert group_median(df, ["g"], "v").first()[1] == pytest.approx(float(np.median(values)), rel=1e-12)
+
+
+@pytest.mark.parametrize("shifts", [(40, 20), (50, 40), (60, 45, 30, 0)])
+def test_crowded_cells_are_cut_again(spark, samples, monkeypatch, shifts):
+    """Cells so wide, and the limit so low, that every level is used."""
+    monkeypatch.setattr(quantiles, "SHIFTS", shifts)
+    monkeypatch.setattr(quantiles, "SMALL", 4)
+    monkeypatch.setattr(d, "SHIFTS", shifts)
+    counts = value_counts(samples, ["k"], "v")
+    probs = {"q1": 0.25, "m": 0.5, "p90": 0.9}
+    got = {r["k"]: r for r in quantiles_of_counts(counts, ["k"], probs, deep=True).collect()}
+    for k, vs in SAMPLES.items():
+        for name, p in probs.items():
+            assert got[k][name] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12), (k, name)
+    box = {r["k"]: r["whisker_high"] for r in d.boxplot_stats(samples, ["k"], "v", deep=True).collect()}
+    flat = {r["k"]: r["whisker_high"] for r in d.boxplot_stats(samples, ["k"], "v", deep=False).collect()}
+    assert box == pytest.approx(flat, rel=1e-12)
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "k string, v double")
     assert rows(group_median(empty, ["k"], "v")) == []
