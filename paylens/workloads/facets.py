@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from paylens.operators import crossfilter as cross
 from paylens.operators import facets as f
 from paylens.operators.aggregates import category_rank
 from paylens.operators.ranking import global_rank, sort_key
 from paylens.operators.ranking import rank_grid as grid
+from paylens.operators.suggestions import build_index, suggest
 from paylens.workloads.views import R_SQL, responses
 
 _FACETS = ["firm_type", "experience", "gender", "location"]
@@ -95,6 +97,34 @@ def facet_histogram(spark, folder):
     return f.facet_histogram(_shown(spark, folder), _FILTERS, "salary", 0, 450000, 20)
 
 
+_SALARY_BINS = cross.Bins(0, 450000, 20)
+
+
+def cross_filter(spark, folder):
+    """All facets and the histogram of one pass."""
+    return cross.cross_counts(_shown(spark, folder), _FILTERS, _FACETS, {"salary": _SALARY_BINS})
+
+
+def cross_filter_moved(spark, folder):
+    """The same after the filter on experience has moved twice, from a cube of one pass."""
+    cube = cross.moving_filter_cube(_shown(spark, folder), _FILTERS, "experience", _FACETS, {"salary": _SALARY_BINS})
+    moved = [
+        cross.move_filter(cube, "experience", f.membership("at", chosen)).selectExpr(f"'{name}' AS moved", "*")
+        for name, chosen in {"first": ["2-HIGH"], "second": ["5-LOW", "N/A", "2-HIGH"]}.items()
+    ]
+    return moved[0].unionByName(moved[1])
+
+
+_QUERIES = ["nation_1", "N", "io", "ion", "_2", "", "nation_17", "nothing", "ation_2"]
+
+
+def suggest_index(spark, folder):
+    """Suggestions for queries of any length from an index of one pass over the rows."""
+    index = build_index(responses(spark, folder), "location", "id")
+    found = [suggest(index, "location", s, 7).selectExpr(f"'{s}' AS query", "*") for s in _QUERIES]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 def suggest_values(spark, folder):
     return f.suggest_values(responses(spark, folder), "location", "nation_1", "id", 10)
 
@@ -115,6 +145,21 @@ def rank_grid(spark, folder):
     return grid(ranked, per_row=125, cell=7.0, x_offset=23.5, y_offset=23.5)
 
 
+def _cross_sql(experience=None):
+    """All facets and the histogram, each under the other filters; the one on experience may be another."""
+    changed = {**_FILTERS_SQL, **({"experience": experience} if experience else {})}
+
+    def others(own):
+        return " AND ".join(c for a, c in changed.items() if a != own)
+
+    parts = [f"SELECT '{a}' AS facet, {a} AS key, count(*) FILTER (WHERE {others(a)}) AS count FROM s GROUP BY {a}" for a in _FACETS]
+    parts.append(
+        f"""SELECT 'salary' AS facet, CAST(b AS VARCHAR) AS key, count(salary) FILTER (WHERE {others('salary')}) AS count
+        FROM range(0, 20) t(b) LEFT JOIN s ON salary BETWEEN 0 AND 450000 AND least(floor(salary / 22500), 19) = b GROUP BY b"""
+    )
+    return " UNION ALL ".join(parts)
+
+
 def _facet_sql(facet):
     return f"""SELECT '{facet}' AS facet, {facet} AS key, count(*) FILTER (WHERE {_others(facet)}) AS count FROM s GROUP BY {facet}"""
 
@@ -162,6 +207,18 @@ QUERIES = {
             AND (salary < (b + 1) * 22500 OR (b = 19 AND salary <= 450000))) AS count
         FROM (SELECT unnest(range(20)) AS b)""",
     ),
+    "cross_filter": (cross_filter, f"WITH {SHOWN_SQL} {_cross_sql()}"),
+    "cross_filter_moved": (
+        cross_filter_moved,
+        f"""WITH {SHOWN_SQL}, a AS ({_cross_sql("experience = '2-HIGH'")}), b AS ({_cross_sql("experience IN ('5-LOW', 'N/A', '2-HIGH')")})
+        SELECT 'first' AS moved, * FROM a UNION ALL SELECT 'second' AS moved, * FROM b""",
+    ),
+    "suggest_index": (
+        suggest_index,
+        f"""WITH {R_SQL}, v AS (SELECT location, count(*) AS n, min(id) AS first_seen FROM r GROUP BY location)
+        SELECT query, location, n, first_seen FROM v JOIN (SELECT unnest({_QUERIES}) AS query) ON contains(lower(location), lower(query))
+        QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, first_seen) <= 7""",
+    ),
     "suggest_values": (
         suggest_values,
         f"""WITH {R_SQL} SELECT location, count(*) AS n, min(id) AS first_seen FROM r WHERE contains(lower(location), 'nation_1')
