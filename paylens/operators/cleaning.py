@@ -160,25 +160,29 @@ def dedup_keep_first(df: DataFrame, ident: str = "id", seq: str | None = None) -
     return df.groupBy(*same).agg(*first).select(*[q(c) for c in df.columns])
 
 
-def duplicate_audit(df: DataFrame, ident: str = "id", shares: int = 64) -> DataFrame:
+def duplicate_audit(df: DataFrame, ident: str = "id", shares: int | None = None) -> DataFrame:
     """Every row that has a twin in everything but the id, with the size of its group.
 
     Joining the rows back to the repeated groups would send a hot group to one task. So each row
-    goes to one of `shares` parts of its group by its id, and a group is written once for each
-    part that occurs in it: twice for a pair, at most `shares` (64 at most) times for any group. The
-    parts are the bits of a number, which a hash aggregate can hold. Rows meet by a hash of all columns, and the
+    goes to one of `shares` parts of its group by its id, twice the number of shuffle partitions unless given, and a group is written
+    once for each part that occurs in it: twice for a pair, at most `shares` times for any group. The
+    parts are the bits of numbers, which a hash aggregate can hold. Rows meet by a hash of all columns, and the
     columns are compared after it.
     """
+    shares = shares or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = range(-(-shares // 64))
     same = [c for c in df.columns if c != ident]
     hashed = f"xxhash64({', '.join(q(c) for c in same)})"
     shared = df.selectExpr("*", f"{share_of([ident], shares)} AS _share", f"{hashed} AS _hash")
+    bits = [F.expr(f"bit_or(CASE WHEN _share DIV 64 = {w} THEN shiftleft(1L, _share % 64) ELSE 0L END) AS _bits_{w}") for w in words]
+    parts = [f"transform(filter(sequence(0, 63), i -> bit_get(_bits_{w}, i) = 1), i -> i + {64 * w})" for w in words]
     repeated = (
         shared.groupBy(*[q(c) for c in same], "_hash")
-        .agg(F.expr("count(*) AS copies"), F.expr("bit_or(shiftleft(1L, _share)) AS _bits"))
+        .agg(F.expr("count(*) AS copies"), *bits)
         .where("copies > 1")
         .selectExpr(
             *[f"{q(c)} AS _same_{i}" for i, c in enumerate(same)], "_hash AS _hash_2", "copies",
-            f"explode(filter(sequence(0, {shares - 1}), i -> bit_get(_bits, i) = 1)) AS _part",
+            f"explode(concat({', '.join(parts)})) AS _part",
         )
     )
     on = " AND ".join(["_share = _part", "_hash = _hash_2", *[f"{q(c)} <=> _same_{i}" for i, c in enumerate(same)]])

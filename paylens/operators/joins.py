@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +31,16 @@ def share_of(columns: Sequence[str], shares: int) -> str:
     return f"coalesce(CAST(pmod(xxhash64({', '.join(q(c) for c in columns)}), {shares}) AS INT), 0)"
 
 
-def hot_keys(facts: DataFrame, on: Sequence[str], one_in: int = HOT_ONE_IN, tasks: int | None = None) -> DataFrame:
-    """Keys with more than one in `one_in` of all rows, and the shares each is split into.
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys that hold many rows with the shares each is split into, and the shares of the rows without a key."""
+
+    table: DataFrame
+    null_shares: int
+
+
+def hot_keys(facts: DataFrame, on: Sequence[str], one_in: int = HOT_ONE_IN, tasks: int | None = None) -> HotKeys:
+    """Keys with more than one in `one_in` of all rows, and the shares each is split into; null may have any number of rows.
 
     One pass over the key columns, made when this is called: counts per key are stored, and the few hot
     ones come back as a literal table that any number of joins can use. A key gets a share for
@@ -38,12 +48,15 @@ def hot_keys(facts: DataFrame, on: Sequence[str], one_in: int = HOT_ONE_IN, task
     """
     spark = facts.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = stored(facts.where(not_null(on)).groupBy(*[q(k) for k in on]).agg(F.expr("count(*) AS _n")))
-    rows = counted.selectExpr("coalesce(sum(_n), 0L)").first()[0]
+    counted = stored(facts.groupBy(*[q(k) for k in on]).agg(F.expr("count(*) AS _n")))
+    given = not_null(on)
+    rows, nulls = counted.selectExpr("coalesce(sum(_n), 0L)", f"coalesce(sum(CASE WHEN NOT ({given}) THEN _n END), 0L)").first()
+    shares = f"CAST(ceil(2 * {{}} * {tasks} / {rows or 1}) AS INT) + 1".format
     # fewer than one_in rows
-    hot = counted.where(f"_n > {rows} / {one_in}").selectExpr(*[q(k) for k in on], f"CAST(ceil(2 * _n * {tasks} / {rows or 1}) AS INT) + 1 AS _shares")
+    hot = counted.where(f"{given} AND _n > {rows} / {one_in}").selectExpr(*[q(k) for k in on], f"{shares('_n')} AS _shares")
     ddl = ", ".join(f"{q(f.name)} {f.dataType.simpleString()}" for f in hot.schema.fields)
-    return literal_table(spark, [tuple(r) for r in hot.collect()], ddl)
+    table = literal_table(spark, [tuple(r) for r in hot.collect()], ddl)
+    return HotKeys(table, -(-2 * nulls * tasks // (rows or 1)) + 1)
 
 
 def salted_join(
@@ -53,21 +66,21 @@ def salted_join(
     how: str = "left",
     shares: int = SHARES,
     spread_by: Sequence[str] | None = None,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Equi-join in which keys of `facts` are split over `shares` tasks.
 
     The share follows from a hash of the row, so a retried task sends each row the same way. The
-    rows of `dim` are written once per share. With `hot`, a short list of keys with their shares, only those
-    keys and null are split, and only their rows of `dim` are repeated; without it all are.
+    rows of `dim` are written once per share. With `hot` only its keys and null are split, each into its own number of
+    shares, and only their rows of `dim` are repeated; without it all are.
     """
     spread = spread_by or facts.columns
     if hot is None:
         left = facts.selectExpr("*", f"{share_of(spread, shares)} AS _share")
         right = dim.selectExpr("*", f"explode(sequence(0, {shares - 1})) AS _share")
     else:
-        flagged = F.broadcast(hot)  # fewer rows than HOT_ONE_IN
-        number = f"pmod(xxhash64({', '.join(q(c) for c in spread)}), CAST(coalesce(_shares, {shares}) AS BIGINT))"
+        flagged = F.broadcast(hot.table)  # fewer rows than HOT_ONE_IN
+        number = f"pmod(xxhash64({', '.join(q(c) for c in spread)}), CAST(coalesce(_shares, {hot.null_shares}) AS BIGINT))"
         left = facts.join(flagged, list(on), "left").selectExpr(
             *[q(c) for c in facts.columns],
             f"CASE WHEN _shares IS NOT NULL OR NOT ({not_null(on)}) THEN CAST({number} AS INT) ELSE 0 END AS _share",
@@ -93,23 +106,31 @@ def lookup_join(
     how: str = "left",
     max_rows: int = BROADCAST_ROWS,
     bounded: bool = False,
-    hot: DataFrame | None = None,
+    hot: HotKeys | Callable[[], HotKeys] | None = None,
 ) -> DataFrame:
     """Join to a dimension: broadcast when its rows and bytes are known to be few, else salted.
 
     `bounded` skips the check where the row count has a ceiling by construction, such as the months of a
     calendar or a top-N list. Beyond that both sides are shuffled, and the keys that are hot in the facts are
-    split. They are looked for in one pass over the keys, unless the caller hands in `hot` from an earlier one.
+    split. They are looked for in one pass over the keys, unless the caller hands in `hot` from an earlier one, or a
+    function for it that several lookups share.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if bounded or small_enough(dim, max_rows):
         return facts.join(F.broadcast(dim), keys, how)
-    return salted_join(facts, dim, keys, how, hot=hot if hot is not None else hot_keys(facts, keys))
+    if hot is None:
+        hot = hot_keys(facts, keys)
+    return salted_join(facts, dim, keys, how, hot=hot() if callable(hot) else hot)
+
+
+def shared_hot_keys(facts: DataFrame, on: str | Sequence[str]) -> Callable[[], HotKeys]:
+    """The hot keys for several lookups of the same facts: counted once, by the first lookup that needs them."""
+    return cache(lambda: hot_keys(facts, [on] if isinstance(on, str) else list(on)))
 
 
-def enrich_location(facts: DataFrame, coordinates: DataFrame, key: str = "Location") -> DataFrame:
+def enrich_location(facts: DataFrame, coordinates: DataFrame, key: str = "Location", hot: HotKeys | Callable[[], HotKeys] | None = None) -> DataFrame:
     """Left join to the coordinate cache."""
-    return lookup_join(facts, coordinates, key)
+    return lookup_join(facts, coordinates, key, hot=hot)
 
 
 def unresolved_keys(facts: DataFrame, cache: DataFrame, key: str = "Location") -> DataFrame:
@@ -124,13 +145,14 @@ def fill_from_gazetteer(
     key: str = "Location",
     values: Sequence[str] = ("Latitude", "Longitude"),
     keep_missing: bool = False,
+    hot: HotKeys | Callable[[], HotKeys] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fill values still missing from a second table: rows with coordinates, and the rest.
 
     With `keep_missing` the first table has all rows.
     """
     second = gazetteer.selectExpr(q(key), *[f"{q(v)} AS {q('_second_' + v)}" for v in values])
-    joined = lookup_join(facts, second, key)
+    joined = lookup_join(facts, second, key, hot=hot)
     filled = add_columns(joined, {v: f"coalesce({q(v)}, {q('_second_' + v)})" for v in values}).drop(
         *[f"_second_{v}" for v in values]
     )

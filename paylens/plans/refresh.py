@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from paylens.functions import text as t
 from paylens.functions.sql import lit, q
 from paylens.operators import cleaning as c
 from paylens.operators import timeseries as ts
-from paylens.operators.joins import enrich_location, fill_from_gazetteer, unresolved_keys
+from paylens.operators.joins import HotKeys, enrich_location, fill_from_gazetteer, shared_hot_keys, unresolved_keys
 from paylens.operators.stages import add_columns
 from paylens.schema import CLEAN_SCHEMA, RAW_COLUMNS, SCHOOL_COLUMNS
 from paylens.session import stored
@@ -96,7 +97,12 @@ def clean_responses(raw: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def quality(
-    typed: DataFrame, coordinates: DataFrame, gazetteer: DataFrame, index: DataFrame, rules: Rules = Rules()
+    typed: DataFrame,
+    coordinates: DataFrame,
+    gazetteer: DataFrame,
+    index: DataFrame,
+    rules: Rules = Rules(),
+    hot: Callable[[], HotKeys] | None = None,
 ) -> DataFrame:
     """One row: missing answers of the typed responses, before any is dropped, and rows dropped per step.
 
@@ -105,7 +111,7 @@ def quality(
     """
     paid = c.annualise(typed, "Salary", "Salary Unit", "Work Status")
     known = coordinates.selectExpr("Location", "Latitude", "Longitude")
-    placed, _ = fill_from_gazetteer(enrich_location(paid, known), gazetteer, keep_missing=True)
+    placed, _ = fill_from_gazetteer(enrich_location(paid, known, hot=hot), gazetteer, keep_missing=True, hot=hot)
     latest = index.selectExpr("max(CASE WHEN value IS NOT NULL THEN date END)").scalar()
     months = index.where("value IS NOT NULL").selectExpr("date AS Date", "TRUE AS _month")
     flagged = placed.join(F.broadcast(months), "Date", "left").withColumn("_latest", latest)  # one row per month
@@ -155,7 +161,9 @@ def refresh(
     df = c.min_threshold(df, "Salary", rules.minimum_pay)
     df = c.clean_literals(df, {"Firm Size": [(" People", ""), ("501 +", "501+")]})
     unresolved = unresolved_keys(df, coordinates)
-    df, dropped = fill_from_gazetteer(enrich_location(df, coordinates), gazetteer)
+    # keys are counted once for all lookups of the refresh, and only where a table is too large to broadcast
+    hot = shared_hot_keys(df, "Location")
+    df, dropped = fill_from_gazetteer(enrich_location(df, coordinates, hot=hot), gazetteer, hot=hot)
     df = c.clean_literals(df, {"Location": [(rules.place_suffix, "")]})
     df = c.drop_ids(df, rules.denied_after_geocoding)
     fixes = literal_table(
@@ -174,5 +182,5 @@ def refresh(
     clean = df.selectExpr(
         *[f"CAST({q(f.name)} AS {f.dataType.simpleString()}) AS {q(f.name)}" for f in CLEAN_SCHEMA.fields]
     )
-    report = quality(typed, coordinates, gazetteer, index, rules)
+    report = quality(typed, coordinates, gazetteer, index, rules, hot)
     return Refreshed(clean, unresolved, dropped, rejected, report)

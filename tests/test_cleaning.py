@@ -153,3 +153,13 @@ def test_school_name(spark):
     df = spark.createDataFrame([("University of Hawai`i at M?noa",), ("Other",)], "s string")
     out = c.regex_repair(df, ["s"], "University of Hawai.i at M.noa", "University of Hawaiʻi at Mānoa")
     assert ("University of Hawaiʻi at Mānoa",) in rows(out)
+
+
+@pytest.mark.parametrize("shares", [1, 63, 65, 300])
+def test_audit_with_any_number_of_parts(spark, shares):
+    df = spark.range(4000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN -1 WHEN id % 3 = 1 THEN id DIV 6 ELSE id END AS a", "id % 3 AS b")
+    got = {r["id"]: r["copies"] for r in c.duplicate_audit(df, shares=shares).collect()}
+    groups = {}
+    for i, a, b in df.collect():
+        groups.setdefault((a, b), []).append(i)
+    assert got == {i: len(g) for g in groups.values() if len(g) > 1 for i in g}

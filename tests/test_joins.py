@@ -32,8 +32,8 @@ def test_both_ways_agree(facts, places):
 
 
 def test_hot_keys_are_the_frequent_ones(facts):
-    assert {r[0] for r in j.hot_keys(facts, ["Location"], one_in=10).collect()} == {"hot"}
-    assert {r[0] for r in j.hot_keys(facts, ["Location"], one_in=2).collect()} == set()
+    assert {r[0] for r in j.hot_keys(facts, ["Location"], one_in=10).table.collect()} == {"hot"}
+    assert {r[0] for r in j.hot_keys(facts, ["Location"], one_in=2).table.collect()} == set()
 
 
 @pytest.mark.parametrize("listed", [True, False])
@@ -66,3 +66,24 @@ def test_topn_semi(facts):
     top = topn_values(facts, "Location", 2, "id")
     kept = j.topn_semi(facts, top, "Location")
     assert {r[0] for r in kept.select("Location").distinct().collect()} == {r[0] for r in top.select("Location").collect()}
+
+
+def test_null_has_as_many_shares_as_its_rows_ask_for(spark):
+    facts = spark.range(9000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN concat('k', id) END AS Location")
+    few, many = (j.hot_keys(facts, ["Location"], tasks=t).null_shares for t in (3, 600))
+    assert (few, many) == (3, 401)
+    assert j.hot_keys(facts.where("Location IS NOT NULL"), ["Location"], tasks=600).null_shares == 1
+    assert j.hot_keys(facts.where("FALSE"), ["Location"]).null_shares == 1
+
+
+def test_the_refresh_counts_the_keys_of_two_large_lookups_once(spark, monkeypatch):
+    from paylens.workloads.refreshing import survey_refresh
+
+    folder = "/root/testdata/sf0.001"
+    want = rows(survey_refresh(spark, folder))
+    counted = []
+    monkeypatch.setattr(j, "small_enough", lambda dim, max_rows=0, max_bytes=0: False)
+    whole = j.hot_keys
+    monkeypatch.setattr(j, "hot_keys", lambda *a, **k: counted.append(a) or whole(*a, **k))
+    assert rows(survey_refresh(spark, folder)) == want
+    assert len(counted) == 1
