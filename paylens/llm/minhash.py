@@ -4,8 +4,9 @@ Two collections of HALVES half-keys are computed, each half-key made of HALF min
 half-key of the first collection with one of the second: HALVES ** 2 tables from 2 * HALVES * HALF minhashes. At a
 similarity of s a pair meets in some table with probability (1 - (1 - s ** HALF) ** HALVES) ** 2: 0.9995 at 0.85 with
 the settings here. Documents with the same shingles are one class from the start. In each table a class is
-checked against the table's central class. Classes that are then still in a table with classes of other
-components go through a prefix filter, which loses no similar pair. All checks are on full shingle sets.
+checked against the table's central class. Families of a centre that are then still of several components are coded by
+their differences from the centre; only sets that share one of their rarest differences are compared, which loses no
+similar pair and gives no pairs where a template's copies differ each in its own way. All checks are on full shingle sets.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ SHINGLE = 5
 PERCENT = 85
 HALVES = 9
 HALF = 3
+# pairs a set that a shared difference may give at once
+FEW = 16
 
 
 def _names(halves: int) -> list[str]:
@@ -107,26 +110,87 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _prefix_pairs(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (node, root, set) with different roots that may be similar enough; loses none.
+_GONE = np.uint64(0x5DEECE66D1234567)
 
-    Shingles are ordered from rare to frequent. Similar sets share one of their first size - ceil(size * percent / 100) + 1
-    shingles, and the first that they share leaves enough behind it on both sides for the overlap that is needed. A set
-    with so many shingles of its own has no partner at all.
+
+def _differences(percent: int):
+    """Rows (g, node, root, sc, s) to (g, node, root, f, b, d, e): a set as what it lacks of the centre's set sc and what it has besides.
+
+    d elements, f = 100 lacking + percent besides, b = (100 - percent) of the centre's size. Elements that are lacking have other codes than
+    elements besides. The centre itself is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centre, own = batch.column("sc"), batch.column("s")
+            cv, ov, co, oo = centre.values.to_numpy().view(np.uint64), own.values.to_numpy().view(np.uint64), centre.offsets.to_numpy(), own.offsets.to_numpy()
+            out, take, f, b = [], [], [], []
+            for i in range(len(batch)):
+                c, x = cv[co[i] : co[i + 1]], ov[oo[i] : oo[i + 1]]
+                lacking, besides = np.setdiff1d(c, x, assume_unique=True), np.setdiff1d(x, c, assume_unique=True)
+                if len(lacking) + len(besides):
+                    out.append(np.concatenate([mix64(lacking ^ _GONE), besides]).view(np.int64))
+                    take.append(i), f.append(100 * len(lacking) + percent * len(besides)), b.append((100 - percent) * len(c))
+            kept = [batch.column(n).take(pa.array(take, type=pa.int64())) for n in ("g", "node", "root")]
+            d = pa.array([len(x) for x in out], type=pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(f, type=pa.int64()), pa.array(b, type=pa.int64()), d, pa.array(out, type=pa.list_(pa.int64()))],
+                names=["g", "node", "root", "f", "b", "d", "e"],
+            )
+
+    return run
+
+
+def _family_pairs(members: DataFrame, sets: DataFrame, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that may be similar inside families (g, centre, node, root), and families for the rest (the same columns).
+
+    Each set is coded by its difference from the centre, with which all members have been compared. Let f and b be as in
+    _differences: sets x and y need (f(x) + f(y) - b) / (100 + percent) shared differences. Where they share none they are
+    similar only if both are similar to the centre, and then they are joined already. Other pairs meet at one of their rarest
+    differences: with y the one of larger f, both must have one of their first d - need + 1 in common. The need follows from both f, so
+    sets are filed under their own class of f and looked for under each class that a partner may have.
+    A difference that joins more than `small` pairs a set becomes a family of its own, with a centre out of it.
     """
-    sized = nodes.select("node", "root", F.size("set").alias("n"), F.explode("set").alias("s"))
-    known = sized.groupBy(F.col("s").alias("s2")).agg(F.count(F.lit(1)).alias("df"))
+    of = sets.select(F.col("node").alias("n2"), F.col("set").alias("s"))
+    centre = sets.select(F.col("node").alias("centre"), F.col("set").alias("sc"))
+    coded = members.join(of, F.col("node") == F.col("n2")).join(centre, "centre").select("g", "node", "root", "sc", "s")
+    coded = stored(coded.mapInArrow(_differences(percent), "g long, node long, root long, f long, b long, d long, e array<long>"))
+    each = coded.select("g", "node", "root", "f", "b", "d", F.explode("e").alias("e"))
+    known = each.groupBy(F.col("g").alias("g2"), F.col("e").alias("e2")).agg(F.count(F.lit(1)).alias("df"))
     known = stored(known.where("df > 1"))
-    shared = sized.join(known, F.col("s") == F.col("s2")).select("node", "root", "n", "s", "df")
-    mine = W.partitionBy("node")
-    ranked = shared.withColumn("own", F.col("n") - F.count(F.lit(1)).over(mine)).withColumn(
-        "at", F.col("own") + F.row_number().over(mine.orderBy("df", "s"))
+    shared = each.join(known, (F.col("g") == F.col("g2")) & (F.col("e") == F.col("e2")))
+    mine = W.partitionBy("g", "node")
+    # differences of its own come first and join nothing
+    ranked = shared.withColumn("at", F.col("d") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "e")))
+    need = f"greatest(CAST(ceil(({{}} - b) / {100 + percent}) AS BIGINT), 1L)".format
+    width = "greatest(b DIV 2, 100L)"
+    # a partner's f is at least percent / 100 of (f - b)
+    least = f"greatest((f - b) * {percent} DIV 100, 0L) DIV {width}"
+    filed = F.expr(f"array(named_struct('k', f DIV {width}, 'side', 0, 'need', {need('2 * f')}))")
+    sought = F.expr(f"transform(sequence({least}, f DIV {width}), j -> named_struct('k', j, 'side', 1, 'need', {need(f'f + j * {width}')}))")
+    placed = ranked.select("g", "node", "root", "f", "b", "d", "e", "at", F.explode(F.concat(filed, sought)).alias("p"))
+    placed = stored(placed.where("at <= d - p.need + 1").select("g", "node", "root", "f", "b", "d", "e", "at", "p.k", "p.side"))
+    key = ["g", "e", "k"]
+    size = placed.groupBy(*key).agg(
+        F.sum(1 - F.col("side")).alias("n0"), F.sum("side").alias("n1"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("f", "node")).alias("c")
     )
-    first = ranked.where(f"at <= n - ceil(n * {percent} / 100) + 1").select("s", "node", "root", "n", "at")
-    x, y = first.toDF("s", "a", "ra", "na", "pa"), first.toDF("s", "b", "rb", "nb", "pb")
-    enough = F.expr(f"{100 + percent} * (1 + least(na - pa, nb - pb)) >= {percent} * (na + nb)")
-    pairs = x.join(y, "s").where((F.col("ra") < F.col("rb")) & enough)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    size = stored(size.where("lo < hi AND n0 > 0 AND n1 > 0").select(*key, F.expr(f"n0 * n1 > {small} * (n0 + n1)").alias("many"), F.col("c.node").alias("centre")))
+    few = size.where("NOT many").select(*key)
+    x = placed.where("side = 0").join(few, key, "left_semi").select(*key, "b", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("f").alias("fa"), F.expr("d - at").alias("left_a"))
+    y = placed.where("side = 1").join(few, key, "left_semi").select(*key, F.col("node").alias("b_"), F.col("root").alias("rb"), F.col("f").alias("fb"), F.expr("d - at").alias("left_b"))
+    enough = F.expr(f"1 + least(left_a, left_b) >= {need('fa + fb')}")
+    pairs = x.join(y, key).where((F.struct("fa", "a") < F.struct(F.col("fb").alias("fa"), F.col("b_").alias("a"))) & (F.col("ra") != F.col("rb")) & enough)
+    pairs = pairs.select(F.least("a", "b_").alias("a"), F.greatest("a", "b_").alias("b")).distinct()
+    families = placed.join(size.where("many").select(*key, "centre"), key).select(F.xxhash64(*key).alias("g"), "centre", "node", "root").distinct()
+    return pairs, families
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after further links between nodes, which are joined by the roots they have."""
+    ends = links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    joined = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).toDF("old", "new")
+    alone = joined.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
+    return roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).union(alone)
 
 
 def near_duplicates(
@@ -189,19 +253,26 @@ def near_duplicates(
     links = stored(_confirmed(starred, sets, percent))
     roots = components(links)
 
-    # classes that the first links leave in a table with classes of other components
-    placed = met.join(roots, "node", "left").select("t", "node", F.coalesce("root", "node").alias("root"))
-    open_tables = placed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("t")
-    open_tables = stored(open_tables)
-    rest = placed.join(open_tables, "t", "left_semi").select("node", "root").distinct()
-    across = _prefix_pairs(rest.join(sets, "node"), percent)
-    more = _confirmed(across.join(starred, ["a", "b"], "left_anti"), sets, percent)
-    # the components that the further links join, by their roots
-    ends = stored(more).join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-    joined = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    joined = joined.toDF("old", "new")
-    alone = joined.join(roots, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
-    roots = roots.join(joined, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root")).union(alone)
+    # families of a centre that the links leave with classes of other components
+    families = met.select(F.col("a").alias("g"), F.col("a").alias("centre"), "node").distinct()
+    few = FEW
+    while True:
+        placed = families.join(roots.toDF("node", "known"), "node", "left").select("g", "centre", "node", F.coalesce("known", "node").alias("root"))
+        # at least two members beside the centre, and two components
+        is_open = placed.groupBy(F.col("g").alias("g2")).agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        is_open = stored(is_open.where("k > 2 AND lo < hi").select("g2"))
+        if is_open.isEmpty():
+            break
+        members = stored(placed.join(is_open, F.col("g") == F.col("g2"), "left_semi"))
+        pairs, families = _family_pairs(members, sets, percent, few)
+        families = stored(families)
+        stars = families.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+        pairs = pairs.union(stars).distinct().join(starred, ["a", "b"], "left_anti")
+        links = stored(_confirmed(pairs, sets, percent))
+        if not links.isEmpty():
+            roots = stored(_joined(roots, links))
+        # families of families end soon: the more they are, the more pairs are compared at once
+        few *= 8
 
     member = classes.join(roots, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), "first")
     least_id = member.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -218,9 +289,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     Of equal rows one stays. Rows with a null key stay only where their whole component has none.
     """
     found = near_duplicates(docs, key, text, **options)
-    k2, t2, th, nth = fresh(docs, "_id", "_th2", "_th", "_nth")
+    k2, t2, th = fresh(docs, "_id", "_th2", "_th")
     stay = found.where("id <=> component_id").select(F.col("id").alias(k2), F.col("th").alias(t2)).distinct()
     rows = docs.withColumn(th, F.xxhash64(col(text)))
     same = col(key).eqNullSafe(F.col(k2)) & (F.col(th) == F.col(t2))
-    first = W.partitionBy(col(key), th).orderBy(th)
-    return rows.join(stay, same, "left_semi").withColumn(nth, F.row_number().over(first)).where(f"{nth} = 1").drop(nth, th)
+    # an aggregate, so that any number of equal rows shrinks before the shuffle
+    return rows.join(stay, same, "left_semi").dropDuplicates([key, th]).drop(th)

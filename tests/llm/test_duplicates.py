@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from paylens.llm import suffixes
+from paylens.llm import minhash, suffixes
 from paylens.llm.components import components
 from paylens.llm.hnsw import Graph, near_vectors
 from paylens.llm.minhash import keep_one, near_duplicates
@@ -146,6 +146,51 @@ def test_near_duplicates_match_brute_force(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
 
 
+def template(n, words_each=62, fields=1, values=None, seed=9):
+    """Copies of one text with words at some places replaced, each by its own word or one of a few values."""
+    draw, base, rows = random.Random(seed), prose(77, words_each).split(" "), []
+    for i in range(n):
+        edit = list(base)
+        for k in range(fields):
+            at = draw.randrange(6, words_each - 6) if values is None else 10 + 15 * k
+            edit[at] = f"own{i}_{k}" if values is None else f"value{k}_{draw.randrange(values)}"
+        rows.append((i, " ".join(edit)))
+    return rows
+
+
+def candidates(monkeypatch, frame, **options):
+    """Pairs that are checked on full sets, and the result."""
+    count, whole = [], minhash._confirmed
+
+    def counted(pairs, sets, percent):
+        count.append(pairs.count())
+        return whole(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_confirmed", counted)
+    found = near_duplicates(frame, **options).collect()
+    monkeypatch.setattr(minhash, "_confirmed", whole)
+    return sum(count), sorted((r["id"], r["n_shingles"], r["component_id"]) for r in found)
+
+
+def test_a_template_below_the_limit_gives_few_pairs(spark, monkeypatch):
+    """Copies at a similarity of 0.7 to 0.85 to each other and 0.84 to the template, in one family."""
+    few, found = candidates(monkeypatch, documents(spark, template(300)))
+    assert found == sorted(brute_near(template(300)))
+    many, _ = candidates(monkeypatch, documents(spark, template(1200)))
+    assert few < 300 * 12 and many < 1200 * 12
+
+
+def test_fields_of_few_values_become_families(spark, monkeypatch):
+    """Pages that differ in three fields: those that agree in two are linked, through families of a value."""
+    monkeypatch.setattr(minhash, "FEW", 2)
+    rows = template(400, words_each=70, fields=3, values=12)
+    pairs, found = candidates(monkeypatch, documents(spark, rows))
+    assert found == sorted(brute_near(rows))
+    far = template(200, words_each=50, fields=3, values=30)
+    assert candidates(monkeypatch, documents(spark, far))[1] == sorted(brute_near(far))
+    assert candidates(monkeypatch, documents(spark, far), percent=80, halves=11)[1] == sorted(brute_near(far, 80))
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(3, "a b c d e f"), (1, "A b c d e  F"), (1, "A b c d e  F"), (2, "else"), (None, "a b c d e f"), (None, None), (7, ""), (8, "")]
     got = keep_one(documents(spark, rows)).collect()
