@@ -35,6 +35,50 @@ def interpolate_gaps(series: DataFrame) -> DataFrame:
     return add_columns(add_columns(known, around), {"value": filled}).select(*[q(c) for c in series.columns])
 
 
+def interpolate_long(series: DataFrame, order: str = "date", segments: int | None = None) -> DataFrame:
+    """interpolate_gaps for series of any length: no task holds more than a segment of one.
+
+    Approximate quantiles of the order column cut all series into segments, as literals of the plan. Segments are
+    worked on side by side; the rows before a segment, the last known value before it and the next behind it come from one small row
+    per segment. `order` is a date, timestamp or number, unique in a series; rows whose order is null come first.
+    """
+    if segments is None:
+        segments = 4 * int(series.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = "double" if dict(series.dtypes)[order] not in ("date", "timestamp") else "timestamp"
+    time = f"CAST(CAST({q(order)} AS {number}) AS DOUBLE)"
+    steps = ", ".join(f"{i / segments}D" for i in range(1, segments))
+    cuts = sorted(set(series.selectExpr(f"percentile_approx({time}, array({steps}), 10000) AS c").first()["c"] or [])) if segments > 1 else []
+    listed = ", ".join(f"{c!r}D" for c in cuts)
+    segment = f"size(filter(array({listed}), c -> c <= {time}))" if cuts else "0"
+    here = f"PARTITION BY series_id, _seg ORDER BY {q(order)}"
+    cut = series.selectExpr("*", f"CASE WHEN {q(order)} IS NULL THEN -1 ELSE {segment} END AS _seg")
+    placed = cut.selectExpr("*", f"row_number() OVER ({here}) AS _row")
+    known = placed.selectExpr("*", "CASE WHEN value IS NOT NULL THEN named_struct('pos', _row, 'v', value) END AS _known")
+    ends = known.groupBy(F.col("series_id").alias("_id"), F.col("_seg").alias("_s")).agg(
+        F.expr("count(*) AS _n"), F.expr("max_by(_known, _row) FILTER (WHERE _known IS NOT NULL) AS _last"), F.expr("min_by(_known, _row) FILTER (WHERE _known IS NOT NULL) AS _first")
+    )
+    before, behind = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING", "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
+    by = "PARTITION BY _id ORDER BY _s"
+    started = ends.selectExpr("*", f"coalesce(sum(_n) OVER ({by} {before}), 0L) AS _start")
+    moved = "CASE WHEN {0} IS NOT NULL THEN named_struct('pos', {0}.pos + _start, 'v', {0}.v) END AS {0}".format
+    started = started.selectExpr("_id", "_s", "_start", moved("_last"), moved("_first"))
+    carried = started.selectExpr(
+        "_id", "_s", "_start",
+        f"last_value(_last) IGNORE NULLS OVER ({by} {before}) AS _before", f"first_value(_first) IGNORE NULLS OVER ({by} {behind}) AS _behind",
+    )
+    joined = known.join(carried, F.expr("series_id <=> _id AND _seg = _s"))
+    moved = "CASE WHEN _known IS NOT NULL THEN named_struct('pos', _row + _start, 'v', value) END"
+    joined = joined.selectExpr("*", "_row + _start AS _pos", f"{moved} AS _at")
+    around = joined.selectExpr(
+        "*",
+        f"coalesce(last_value(_at) IGNORE NULLS OVER ({here} ROWS UNBOUNDED PRECEDING), _before) AS _prev",
+        f"coalesce(first_value(_at) IGNORE NULLS OVER ({here} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), _behind) AS _next",
+    )
+    line = "_prev.v + (_next.v - _prev.v) / (_next.pos - _prev.pos) * (_pos - _prev.pos)"
+    filled = f"CASE WHEN value IS NOT NULL OR _prev IS NULL THEN value WHEN _next IS NULL THEN _prev.v ELSE {line} END AS value"
+    return around.selectExpr(*[filled if c == "value" else q(c) for c in series.columns])
+
+
 def latest_value(series: DataFrame) -> DataFrame:
     """Date and value of the last observation that has one, per series."""
     return (

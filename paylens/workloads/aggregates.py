@@ -6,6 +6,7 @@ from functools import reduce
 
 from paylens.operators import aggregates as a
 from paylens.operators import distributions as d
+from paylens.operators.heavy import heavy_topn
 from paylens.operators.quantiles import group_median
 from paylens.workloads.views import ADJUSTED_SQL, PRIORITIES, R_SQL, STATUSES, adjusted_responses, responses, table
 
@@ -37,6 +38,13 @@ def topn_values(spark, folder):
     return a.topn_values(responses(spark, folder), "location", 10, "id")
 
 
+def topn_heavy(spark, folder):
+    """Frequent values from a summary of 256 counters; ship dates are too flat for it and are counted in full."""
+    lines = table(spark, folder, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS id", "l_returnflag AS a", "CAST(CAST(l_shipdate AS DATE) AS STRING) AS b")
+    found = [heavy_topn(lines, c, n, "id", 256).selectExpr(f"'{c}' AS column", f"{c} AS value", "n", "first_seen") for c, n in (("a", 2), ("b", 20))]
+    return found[0].unionByName(found[1])
+
+
 def _profile(spark, folder, column, feature):
     table = a.profile_by_attribute(
         responses(spark, folder), column, feature, "id", n=5, measure="salary", satisfaction="satisfaction",
@@ -173,6 +181,13 @@ QUERIES = {
         topn_values,
         f"WITH {R_SQL} SELECT location, count(*) AS n, min(id) AS first_seen FROM r GROUP BY 1 ORDER BY 2 DESC, 3 LIMIT 10",
     ),
+    "topn_heavy": (
+        topn_heavy,
+        """WITH v AS (SELECT 'a' AS "column", l_returnflag AS value, l_orderkey * 8 + l_linenumber AS id FROM lineitem
+            UNION ALL SELECT 'b', strftime(l_shipdate, '%Y-%m-%d'), l_orderkey * 8 + l_linenumber FROM lineitem)
+        SELECT * FROM (SELECT "column", value, count(*) AS n, min(id) AS first_seen FROM v GROUP BY 1, 2)
+        QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY n DESC, first_seen) <= CASE "column" WHEN 'a' THEN 2 ELSE 20 END""",
+    ),
     "profile_by_attribute": (
         profile_by_attribute,
         f"WITH {R_SQL} " + " UNION ALL ".join(_profile_sql(*p) for p in _PROFILES),

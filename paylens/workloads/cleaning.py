@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from paylens.functions import text as t
 from paylens.operators import cleaning as c
+from paylens.operators.landings import landing_state, merge_states, unseen
 from paylens.operators.stages import add_columns
+from paylens.session import stored
 from paylens.sources.literals import literal_table
 from paylens.sources.survey import normalise_nulls
 from paylens.workloads.views import R_SQL, responses, table
@@ -147,6 +151,16 @@ def dedup_keep_first(spark, folder):
     return c.dedup_keep_first(table(spark, folder, "lineitem").selectExpr(*_LINES))
 
 
+def dedup_landings(spark, folder):
+    """Three landings, the last first: the state after all of them, and which responses the first landing had new."""
+    lines = table(spark, folder, "lineitem").selectExpr(*_LINES)
+    landings = [stored(landing_state(lines.where(f"id % 3 = {i}"))) for i in range(3)]
+    state = stored(merge_states(landings[2], landings[1]))
+    new = unseen(state, landings[0]).selectExpr("digest AS _digest")
+    whole = merge_states(state, landings[0]).join(new, F.expr("digest = _digest"), "left")
+    return whole.selectExpr("first_id AS id", "kind", "l_suppkey", "l_returnflag", "l_linestatus", "copies", "CAST(_digest IS NOT NULL AS BIGINT) AS new")
+
+
 def duplicate_audit(spark, folder):
     return c.duplicate_audit(table(spark, folder, "lineitem").selectExpr(*_LINES))
 
@@ -254,6 +268,11 @@ QUERIES = {
         dedup_keep_first,
         f"WITH {_LINES_SQL} SELECT min(id) AS id, kind, l_suppkey, l_returnflag, l_linestatus FROM l GROUP BY ALL",
     ),
+    "dedup_landings": (
+        dedup_landings,
+        f"""WITH {_LINES_SQL} SELECT min(id) AS id, kind, l_suppkey, l_returnflag, l_linestatus, count(*) AS copies,
+        CAST(bool_and(id % 3 = 0) AS BIGINT) AS new FROM l GROUP BY ALL""",
+    ),
     "duplicate_audit": (
         duplicate_audit,
         f"""WITH {_LINES_SQL}, d AS (SELECT kind, l_suppkey, l_returnflag, l_linestatus, count(*) AS copies FROM l

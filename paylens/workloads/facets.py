@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from paylens.operators import crossfilter as cross
 from paylens.operators import facets as f
 from paylens.operators.aggregates import category_rank
+from paylens.operators.pages import page_of, store_ranked
 from paylens.operators.ranking import global_rank, sort_key
 from paylens.operators.ranking import rank_grid as grid
 from paylens.operators.suggestions import build_index, suggest
+from paylens.session import ensure_checkpoint_dir
 from paylens.workloads.views import R_SQL, responses
 
 _FACETS = ["firm_type", "experience", "gender", "location"]
@@ -140,6 +143,14 @@ def listing_order(spark, folder):
     return global_rank(rows, key, "id", ascending, out="place")
 
 
+def ranking_pages(spark, folder):
+    """Three pages of a ranking from its stored copy."""
+    path = f"{ensure_checkpoint_dir(spark)}/ranked-{uuid.uuid4().hex}"
+    rows = store_ranked(responses(spark, folder).select("id", "salary"), "salary", "id", path, ascending=False, block=1000)
+    pages = [page_of(rows, p, 130, block=1000).selectExpr(f"{p}L AS page", "*") for p in (0, 7, 10)]
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
 def rank_grid(spark, folder):
     ranked = global_rank(responses(spark, folder).select("id", "salary"), "salary", "id", ascending=False)
     return grid(ranked, per_row=125, cell=7.0, x_offset=23.5, y_offset=23.5)
@@ -233,6 +244,11 @@ QUERIES = {
         listing_order,
         f"WITH {R_SQL} SELECT id, satisfaction, row_number() OVER (ORDER BY satisfaction DESC, id) - 1 AS place FROM r",
     ),
+    "ranking_pages": (
+        ranking_pages,
+        f"""WITH {R_SQL}, k AS (SELECT id, salary, row_number() OVER (ORDER BY salary DESC, id) - 1 AS rank FROM r)
+        SELECT rank // 130 AS page, id, salary, rank FROM k WHERE rank // 130 IN (0, 7, 10)""",
+    ),
     "rank_grid": (
         rank_grid,
         f"""WITH {R_SQL}, k AS (SELECT id, salary, row_number() OVER (ORDER BY salary DESC, id) - 1 AS rank FROM r)

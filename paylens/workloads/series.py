@@ -49,6 +49,14 @@ def interpolate_gaps(spark, folder):
     return ts.interpolate_gaps(monthly_index(spark, folder)).selectExpr("series_id", _DAY, "round(value, 6) AS value")
 
 
+def interpolate_long(spark, folder):
+    """Events of each type as a series by number, with every fifth value missing, cut into segments."""
+    events = table(spark, folder, "events").selectExpr(
+        "event_type AS series_id", "event_id AS at", "CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value"
+    )
+    return ts.interpolate_long(events, "at").selectExpr("series_id", "at", "round(value, 6) AS value")
+
+
 def latest_value(spark, folder):
     both = monthly_index(spark, folder).unionByName(second_series(spark, folder))
     return ts.latest_value(both).selectExpr("series_id", _DAY, "value")
@@ -134,6 +142,11 @@ QUERIES = {
         interpolate_gaps,
         f"WITH {ALL_IDX_SQL}, {FILLED_SQL} SELECT series_id, {_DAY_SQL}, round(value, 6) AS value FROM filled",
     ),
+    "interpolate_long": (
+        interpolate_long,
+        f"""WITH idx AS (SELECT event_type AS series_id, event_id AS date, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS value FROM events),
+        {FILLED_SQL} SELECT series_id, date AS at, round(value, 6) AS value FROM filled""",
+    ),
     "latest_value": (
         latest_value,
         f"""WITH {ALL_IDX_SQL}, {IDX2_SQL} SELECT series_id, strftime(max(date), '%Y-%m-%d') AS date, arg_max(value, date) AS value
