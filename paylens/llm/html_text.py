@@ -381,13 +381,12 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=[*kept, "text", "n_shared"])
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", host_pages: int | None = None) -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Every page with `text`, its main text, and `n_shared`, its lines deleted as shared; html is dropped.
 
     Pages without URL are not compared. Copies of a host stand once among its pages, at the place of the first by path,
     url and key, and are all compared with the pages beside it. Null or empty html gives an empty text. Columns
-    `text` and `n_shared` are replaced, all others are kept. `host_pages` has no effect: pages are compared
-    in the same way whatever the number of a host.
+    `text` and `n_shared` are replaced, all others are kept. Pages are compared in the same way whatever the number of a host.
     """
     kept = [c for c in pages.columns if c.lower() not in ("text", "n_shared", html.lower())]
     inner = {
@@ -397,7 +396,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         names = fresh(pages.select(*[col(c) for c in kept]), *["c" + str(i) for i in range(len(kept))])
         renamed = pages.select(*[col(c).alias(n) for c, n in zip(kept, names)], col(html).alias("_page"))
         back = dict(zip(kept, names))
-        return extract(renamed, back[key], back[url], "_page", host_pages).toDF(*kept, "text", "n_shared")
+        return extract(renamed, back[key], back[url], "_page").toDF(*kept, "text", "n_shared")
     address = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)"
     host = F.coalesce(F.lower(F.regexp_extract(col(url), address, 1)), F.lit(""))
     path = F.regexp_replace(F.regexp_extract(col(url), address, 2), r"(/|/index\.\w+|\.\w{1,5})$", "")

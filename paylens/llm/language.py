@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from paylens.llm.hashing import blocks
@@ -21,6 +22,8 @@ from paylens.llm.tables import col
 from paylens.session import stored
 
 SAMPLE = 4000
+# languages of the model, at most
+LANGUAGES = 200
 SLOTS = 1 << 16
 # a text counts for at most so many letter triples, however long it is: they are far from independent
 WEIGHT = 60.0
@@ -69,11 +72,18 @@ def _count(languages: Sequence[str]):
 def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of every slot, from at most `sample` labelled texts.
 
-    The rows with the least text hash are taken. Rows without text or label are left out.
+    The languages are the LANGUAGES most frequent labels at most; any other label counts as no language of the model. Each has
+    the same share of the sample, the texts with the least hash, so that a rare one is not left without. Rows without
+    text or label are left out.
     """
     rows = docs.select(col(lang).alias("lang"), col(text).cast("binary").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())  # the languages of the labels
-    drawn = rows.withColumn("h", F.xxhash64("text")).select("lang", "h").orderBy("h", "lang").limit(sample).distinct()
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    languages = sorted(r[0] for r in frequent.collect())
+    each = max(1, sample // max(1, len(languages)))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    drawn = rows.where(F.col("lang").isin(languages)).select("lang", F.xxhash64("text").alias("h")).distinct()
+    # `sample` rows at most
+    drawn = drawn.withColumn("place", place).where(f"place <= {each}").select("lang", "h")
     part = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(drawn.toDF("l2", "h2")), F.expr("h = h2 AND lang = l2"))
     counted = part.select("lang", "text").mapInArrow(_count(languages), "lang string, slot long, n long")
     table = np.full((len(languages), SLOTS), 0.5)
@@ -130,7 +140,7 @@ def identify(
 
     body is dropped; `text_lang`, `lang`, `confidence` are added and all other columns are kept. Every evidence
     may be null: a null or empty text says nothing, a null declaration or hint is a value of its own, as is a code that is
-    none of the languages; rows without host share one. Without languages the result is null.
+    none of the languages; rows without host share one. Extra columns may have any name. Without languages the result is null.
     """
     kept = [c for c in rows.columns if c not in ("body", "text_lang", "lang", "confidence")]
     if not languages:
@@ -138,7 +148,12 @@ def identify(
     n = len(languages)
     known = F.array(*[F.lit(x) for x in languages])
     value = lambda c: F.when(col(c).isNull(), "none").when(F.array_contains(known, col(c)), col(c)).otherwise("other")
-    told = rows.select(*[col(c) for c in kept], value("declared").alias("_decl"), value("hint").alias("_hint"), col("body").cast("binary").alias("_text"))
+    # helper names for all columns, as any name may be taken
+    inner = [f"c{i}" for i in range(len(kept))]
+    told = rows.select(
+        *[col(c).alias(k) for c, k in zip(kept, inner)], col("host").alias("_host"), col("domain").alias("_domain"),
+        value("declared").alias("_decl"), value("hint").alias("_hint"), col("body").cast("binary").alias("_text"),
+    )
     slim = T.StructType([*told.drop("_text").schema.fields, T.StructField("_like", T.ArrayType(T.DoubleType()))])
     scored = told.mapInArrow(_score(logs, weight), slim)
     top = F.array_position(F.col("_like"), F.array_max("_like")) - 1
@@ -160,7 +175,7 @@ def identify(
             F.array(*[F.log((F.col(f"n{i}") + 0.5) / (F.lit(0) + every.select(f"a{i}").scalar() + 0.5 * (n + 2))) for i in range(n)]).alias(out),
         )
 
-    hosts = scored.groupBy(col("host").alias("_h"), col("domain").alias("_d")).agg(*counts)
+    hosts = scored.groupBy(F.col("_host").alias("_h"), F.col("_domain").alias("_d")).agg(*counts)
     domains = hosts.groupBy("_d").agg(*[F.sum(f"n{i}").alias(f"d{i}") for i in range(n)])
     up = [(F.col(f"d{i}") + prior * every.select(f"g{i}").scalar()) / (total("d") + prior) for i in range(n)]
     domains = domains.select(F.col("_d").alias("_d2"), *[u.alias(f"d{i}") for i, u in enumerate(up)])
@@ -169,7 +184,7 @@ def identify(
         F.col("_h"), F.col("_d"), F.array(*[F.col(f"n{i}") for i in range(n)]).alias("_n"), F.array(*[F.col(f"d{i}") for i in range(n)]).alias("_p")
     )
     joined = (
-        scored.join(stored(priors), col("host").eqNullSafe(F.col("_h")) & col("domain").eqNullSafe(F.col("_d")), "left")
+        scored.join(stored(priors), F.col("_host").eqNullSafe(F.col("_h")) & F.col("_domain").eqNullSafe(F.col("_d")), "left")
         .join(F.broadcast(likelihood("_decl", "_ld")), F.col("_decl") == F.col("_ldv"), "left")
         .join(F.broadcast(likelihood("_hint", "_lh")), F.col("_hint") == F.col("_lhv"), "left")
     )
@@ -182,7 +197,7 @@ def identify(
     best = F.array_position(F.col("_post"), F.col("_max")).cast("int")
     mass = sum((F.exp(F.col("_post")[i] - F.col("_max")) for i in range(1, n)), F.exp(F.col("_post")[0] - F.col("_max")))
     return post.select(
-        *[col(c) for c in kept],
+        *[F.col(k).alias(c) for c, k in zip(kept, inner)],
         F.when(F.col("_says").isNotNull(), F.element_at(known, F.col("_says") + 1)).alias("text_lang"),
         F.element_at(known, best).alias("lang"),
         (1 / mass).alias("confidence"),

@@ -119,7 +119,7 @@ def plan_mix(
     last = stored(fits.select(F.max(F.struct("finish", "rank", "round", "k")).alias("last")).withColumn("bin", first["bin"]))
 
     full = placed(rows, source, key, size)
-    end_, cut_ = fresh(full, "_end", "_cut")
+    end_, cut_, taken_ = fresh(full, "_end", "_cut", "_taken")
     full = full.withColumn(end_, last.select("last").scalar()).withColumn(cut_, last.select("bin").scalar())
     end, cut = F.col(end_), F.col(cut_)
     inside = lambda e: (
@@ -132,11 +132,11 @@ def plan_mix(
     )
     taken = F.filter(events(full, size), lambda e: F.coalesce(inside(e), F.lit(False)))
     return (
-        full.withColumn("_taken", taken)
-        .withColumn("copies", F.size("_taken"))
-        .withColumn("finish", F.when(F.size("_taken") > 0, F.col("_taken")[0]["finish"]))
+        full.withColumn(taken_, taken)
+        .withColumn("copies", F.size(taken_))
+        .withColumn("finish", F.when(F.size(taken_) > 0, F.col(taken_)[0]["finish"]))
         .withColumn("size", F.col(size))
-        .drop(key, rank, total, size, end_, cut_, "_taken")
+        .drop(key, rank, total, size, end_, cut_, taken_)
     )
 
 

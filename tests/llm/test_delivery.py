@@ -67,6 +67,10 @@ def test_mix_comes_near_its_targets_and_is_repeatable(spark):
 def test_mix_of_odd_rows(spark):
     got = plan_mix(documents(spark, odd_rows())).collect()
     assert len(got) == len(odd_rows()) and all(r["size"] == len(words(r["text"])) for r in got)
+    names = ["_taken", "_end", "_cut", "_key", "_src", "_rank", "_total", "_size", "g", "k"]
+    clash = plan_mix(clashing(documents(spark, odd_rows()), *names)).collect()
+    assert sorted((r["copies"], r["size"]) for r in clash) == sorted((r["copies"], r["size"]) for r in got)
+    assert all(r[n] == (None if r["doc_id"] is None else i) for r in clash for i, n in enumerate(names))
     assert plan_mix(documents(spark, [])).count() == 0
     assert plan_mix(documents(spark, [(1, None), (2, "")])).where("copies > 0").count() == 0
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from paylens.llm import queries
+from paylens.llm import language, queries
 from paylens.llm.hashing import blocks
 from paylens.llm.html_text import common_subsequence, extract, page_lines, shared_lines
 from paylens.llm.language import address_parts, declared_language, fit_text, identify
@@ -104,6 +104,33 @@ def test_language_from_each_evidence(spark):
     assert identify(frame, [], np.zeros((0, 1))).where("lang IS NULL").count() == len(cases)
 
 
+def test_language_keeps_columns_of_any_name(spark):
+    docs = documents(spark, [(i, prose(i, 30)) for i in range(20)])
+    languages, logs = fit_text(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "aa").otherwise("bb")))
+    frame = spark.createDataFrame([(1, "h", "d", "aa", None, prose(1, 30)), (2, None, None, None, None, None)], "id long, host string, domain string, declared string, hint string, body string")
+    plain = {r["id"]: (r["lang"], r["confidence"]) for r in identify(frame, languages, logs).collect()}
+    odd = ["_decl", "_hint", "_text", "_n", "_h", "_d", "_p", "_like", "_says", "_post", "_max", "_ld", "_lhv", "_host", "_domain", "c0", "n0", "d1", "g0"]
+    for i, name in enumerate(odd):
+        frame = frame.withColumn(name, F.lit(i))
+    got = identify(frame, languages, logs).collect()
+    assert {r["id"]: (r["lang"], r["confidence"]) for r in got} == plain
+    assert all(r[name] == i for r in got for i, name in enumerate(odd))
+
+
+def test_language_model_of_odd_tables(spark, monkeypatch):
+    """No rows, one very long text, more labels than the model takes, and a rare one among frequent ones."""
+    assert fit_text(documents(spark, []))[0] == []
+    rows = [(i, f"common words number {i}") for i in range(300)] + [(900, "rare öäü ßß"), (901, prose(3, 60_000))]
+    docs = documents(spark, rows).withColumn("lang", F.expr("CASE doc_id WHEN 900 THEN 'rare' WHEN 901 THEN 'long' ELSE 'main' END"))
+    languages, logs = fit_text(docs, sample=30)
+    assert languages == ["long", "main", "rare"] and all(np.abs(row).max() > 0 for row in logs)
+    frame = docs.selectExpr("doc_id AS id", "'h' AS host", "'d' AS domain", "'none' AS declared", "CAST(NULL AS STRING) AS hint", "text AS body")
+    by = {r["id"]: r["text_lang"] for r in identify(frame, languages, logs).collect()}
+    assert by[900] == "rare" and by[901] == "long"
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    assert fit_text(docs)[0] == ["long", "main"]
+
+
 def test_address_and_declaration(spark):
     frame = spark.createDataFrame(
         [("https://www.Shop.example.de:80/fr/x?y", "<!doctype html><HTML class=a lang='de-AT'>"), ("http://u@blog.example.fr", "<html xml:lang=en>"), ("nope", None), (None, "<p lang=fr>")],
@@ -157,7 +184,7 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     rows += [(100, "http://h.example/en/005.html", page(5)), (101, None, page(1)), (102, "http://lone.example/", page(2)), (103, "http://h.example/z", None), (104, "x", "")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     for pages in (frame, clashing(frame.withColumnRenamed("page_id", "doc_id"), "_host", "n_shared").withColumnRenamed("doc_id", "page_id")):
-        got = {r["page_id"]: r for r in extract(pages, host_pages=8).collect()}
+        got = {r["page_id"]: r for r in extract(pages).collect()}
         assert len(got) == len(rows)
         for i in (0, 5, 19, 100):
             assert got[i]["text"] == f"{prose(i % 95, 12)}\n{prose(i % 95 + 50, 12)}", i
@@ -174,7 +201,7 @@ def test_large_hosts_are_compared_like_small_ones(spark):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {r["page_id"]: r for r in extract(frame, host_pages=64).collect()}
+        got = {r["page_id"]: r for r in extract(frame).collect()}
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert len(got) == len(rows) and all(got[i]["text"] == prose(i, 12) and got[i]["n_shared"] == 2 for i, _, _ in rows)
