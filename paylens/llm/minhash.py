@@ -166,8 +166,10 @@ def _family_pairs(members: DataFrame, sets: DataFrame, percent: int, small: int)
     width = "greatest(b DIV 2, 100L)"
     # a partner's f is at least percent / 100 of (f - b)
     least = f"greatest((f - b) * {percent} DIV 100, 0L) DIV {width}"
-    filed = F.expr(f"array(named_struct('k', f DIV {width}, 'side', 0, 'need', {need('2 * f')}))")
-    sought = F.expr(f"transform(sequence({least}, f DIV {width}), j -> named_struct('k', j, 'side', 1, 'need', {need(f'f + j * {width}')}))")
+    # sets of f up to b are similar to the centre, so joined to each other: the larger f of a pair is above b
+    filed = F.expr(f"array(named_struct('k', f DIV {width}, 'side', 0, 'need', {need('f + greatest(f, b)')}))")
+    classes = f"transform(sequence({least}, f DIV {width}), j -> named_struct('k', j, 'side', 1, 'need', {need(f'f + j * {width}')}))"
+    sought = F.expr(f"filter({classes}, p -> f > b)")
     placed = ranked.select("g", "node", "root", "f", "b", "d", "e", "at", F.explode(F.concat(filed, sought)).alias("p"))
     placed = stored(placed.where("at <= d - p.need + 1").select("g", "node", "root", "f", "b", "d", "e", "at", "p.k", "p.side"))
     key = ["g", "e", "k"]
