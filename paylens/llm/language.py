@@ -73,15 +73,20 @@ def fit_text(docs: DataFrame, text: str = "text", lang: str = "lang", sample: in
     """Languages and their log probabilities of every slot, from at most `sample` labelled texts.
 
     The languages are the LANGUAGES most frequent labels at most; any other label counts as no language of the model. Each has
-    the same share of the sample, the texts with the least hash, so that a rare one is not left without. Rows without
-    text or label are left out.
+    the same share of the sample, the texts with the least hash, so that a rare one is not left without; less where most of its texts are
+    copies. Rows without text or label are left out.
     """
     rows = docs.select(col(lang).alias("lang"), col(text).cast("binary").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    languages = sorted(r[0] for r in frequent.collect())
+    sizes = {r["lang"]: r["count"] for r in frequent.collect()}
+    languages = sorted(sizes)
     each = max(1, sample // max(1, len(languages)))
+    # hashes are even, so few of a large language need to be ordered: those below this are some four times as many as are drawn
+    below = {x: min((1 << 63) - 1, -(1 << 63) + (4 * each << 64) // n) for x, n in sizes.items()}
+    limits = F.create_map(*[F.lit(v) for pair in below.items() for v in pair]) if below else F.lit(None).cast("map<string,bigint>")
     place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    drawn = rows.where(F.col("lang").isin(languages)).select("lang", F.xxhash64("text").alias("h")).distinct()
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"))
+    drawn = hashed.where(F.col("h") <= F.try_element_at(limits, F.col("lang"))).distinct()
     # `sample` rows at most
     drawn = drawn.withColumn("place", place).where(f"place <= {each}").select("lang", "h")
     part = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(drawn.toDF("l2", "h2")), F.expr("h = h2 AND lang = l2"))
