@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from paylens.llm.prefix import running_total
+from paylens.llm.prefix import equal_rows, running_total
 from paylens.llm.tables import col, fresh, row_key, word_count
 from paylens.session import stored
 
@@ -90,10 +90,11 @@ def plan_mix(
     slim = stored(rows.select(col(source).cast("string").alias("g"), F.col(key).alias("k"), F.col(size).alias("n")))
     sizes = slim.groupBy(F.col("g").alias("src")).agg(F.sum("n").alias("source_size"))
     targets = stored(source_targets(sizes, weights, rounds))
+    equal = equal_rows(slim, "g", "k", "n")
 
     def placed(df: DataFrame, group: str, k: str, n: str) -> DataFrame:
         """Running totals inside the source, and the source's target."""
-        here = running_total(df, slim.select(F.col("g").alias(group), F.col("k").alias(k), F.col("n").alias(n)), group, k, n, total)
+        here = running_total(df, slim.select(F.col("g").alias(group), F.col("k").alias(k), F.col("n").alias(n)), group, k, n, total, equal)
         there = targets.select(F.col("src").alias(src), F.col("rank").alias(rank), "source_size", "target")
         return here.join(there, col(group).eqNullSafe(F.col(src)), "left").drop(src)
 
