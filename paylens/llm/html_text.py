@@ -15,11 +15,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from paylens.llm.tables import col, fresh
 from paylens.session import stored
@@ -51,12 +53,16 @@ _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs footer header masthead sidebar aside rail comment comments respond reply replies disqus cookie cookies consent gdpr "
     "notice notices notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "pagination pager toolbar widget skip copyright "
+    "pagination pager toolbar widget skip copyright commentlist "
     "site-header site-footer site-nav site-navigation main-nav main-menu main-navigation top-nav page-footer footer-nav left-sidebar right-sidebar "
     "sidebar-left sidebar-right social-share social-links share-buttons share-links related-posts related-articles related-links comment-list "
     "comment-form comments-area skip-link".split()
 )
 _BEGINS = tuple("ad- ads- advert- advertisement- navbar- breadcrumb- breadcrumbs- cookie- cookies- gdpr- consent- newsletter- pagination- sponsored- popup-".split())
+# compounds that end with one of these, or begin with one and end with a name of a container
+_NOUNS = frozenset("comment comments disqus banner advert adverts ads sidebar navbar breadcrumbs newsletter".split())
+_HOLDERS = frozenset("section list area thread wrap wrapper container block box form panel".split())
+_STATES = frozenset("has no with without is hide show".split())
 # these are never the frame of a whole page
 _SURE = frozenset("head nav aside footer menu dialog button select header".split())
 _PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
@@ -64,6 +70,14 @@ _PROSE = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 _IMPLIED = frozenset("p li dt dd tr td th option".split())
 
 
+def _is_compound(plain: str) -> bool:
+    """Names like user-comments, top-banner or disqus-thread; not has-sidebar, which tells of a page beside one."""
+    words = plain.split("-")
+    if len(words) < 2 or words[0] in _STATES:
+        return False
+    return words[-1] in _NOUNS or (words[0] in _NOUNS and words[-1] in _HOLDERS)
+
+
 def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
     if name in _ASIDE or (name == "header" and not in_article):
         return True
@@ -76,7 +90,7 @@ def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
     for m in _NAMED.finditer(attributes):
         for given in (m[1] or m[2] or m[3] or "").split():
             plain = re.sub(r"[-_]+", "-", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", given)).lower()
-            if plain in _WORDS or plain.startswith(_BEGINS):
+            if plain in _WORDS or plain.startswith(_BEGINS) or _is_compound(plain):
                 return True
     return False
 
@@ -348,21 +362,40 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit(base + len(held), True)
 
 
+# border pages are joined with those beside them in blocks of so many
+BLOCK = 256
+
+
+def _across(pages: pd.DataFrame) -> pd.DataFrame:
+    """Open pages of one block of border pages with their neighbours; pages of other blocks are only beside them."""
+    pages = pages.sort_values("_p")
+    plain = list(zip(pages["_host"], pages["_path"], pages["_sign"], pages["_marks"]))
+    found = [(plain[i][0], plain[i][2], *_two(plain, i)) for i in np.flatnonzero(pages["_asked"])]
+    return pd.DataFrame(found, columns=["_host", "_sign", "_near", "_far"])
+
+
 def _neighbours(pages: DataFrame) -> DataFrame:
     """(host, sign, near, far): the nearest pages of each page of (host, path, url, key, sign, marks).
 
-    Pages of all hosts are sorted by ranges, so a host of any size is dealt to as many tasks as it fills. Only the first
-    and last pages of each range come together, to find the pages across its borders.
+    Pages of all hosts are sorted by ranges, so a host of any size is dealt to as many tasks as it fills. The first
+    and last pages of each range are numbered through all ranges and meet in blocks, to which the two pages on either
+    side are added, to find the pages across the borders. Only counts per range come together in one task.
     """
     order = ["_host", "_path", "_url", "_key", "_sign"]
     ranges = pages.repartitionByRange(*order).sortWithinPartitions(*order).select("_host", "_path", "_sign", "_marks")
     placed = stored(ranges.mapInArrow(_beside, _BESIDE_SCHEMA))
-    # at most eight rows of each range
-    shown = sorted(placed.where("_path IS NOT NULL").collect(), key=lambda r: (r["_task"], r["_at"]))
-    plain = [(r["_host"], r["_path"], r["_sign"], r["_marks"]) for r in shown]
-    found = [(r["_host"], r["_sign"], *_two(plain, i)) for i, r in enumerate(shown) if r["_open"]]
-    inner = placed.where("NOT _open").select("_host", "_sign", "_near", "_far")
-    return inner.union(pages.sparkSession.createDataFrame(found, inner.schema))
+    shown = placed.where("_path IS NOT NULL").drop("_near", "_far")
+    # at most eight pages of each range
+    counts = shown.groupBy(F.col("_task").alias("_t2")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_t2").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select("_t2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    nth = F.row_number().over(W.partitionBy("_task").orderBy("_at")) - 1
+    numbered = shown.withColumn("_nth", nth).join(starts, F.col("_task") == F.col("_t2")).withColumn("_p", F.col("_first") + F.col("_nth"))
+    blocks = F.array_distinct(F.transform(F.array(*[F.lit(i) for i in (-2, 0, 2)]), lambda i: F.floor((F.col("_p") + i) / BLOCK)))
+    halos = numbered.select("_host", "_path", "_sign", "_marks", "_open", "_p", F.explode(blocks).alias("_block"))
+    halos = halos.withColumn("_asked", F.col("_open") & (F.floor(F.col("_p") / BLOCK) == F.col("_block"))).drop("_open")
+    borders = halos.groupBy("_block").applyInPandas(_across, "_host string, _sign long, _near binary, _far binary")
+    return placed.where("NOT _open").select("_host", "_sign", "_near", "_far").union(borders)
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
