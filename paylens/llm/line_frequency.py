@@ -17,9 +17,11 @@ from paylens.session import stored
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
-# a line is above the limits if it is in more than so many documents of its host and in more than this share of them
+# a line is above the limits if it is in more than so many documents of its host, and in more than this share of them
+# or in so many that the share of a large host does not matter
 LINE_DOCUMENTS = 20
 LINE_PERCENT = 1
+LINE_MANY = 1000
 # a document is depleted if it keeps less than this share of its words
 KEEP_PERCENT = 25
 
@@ -113,6 +115,7 @@ def boilerplate_lines(
     key: str = "doc_id",
     line_documents: int = LINE_DOCUMENTS,
     line_percent: float = LINE_PERCENT,
+    line_many: int = LINE_MANY,
 ) -> DataFrame:
     """(key, host, txt) of documents with lines above the limits, those lines' positions and their words."""
     base = docs.select(
@@ -124,7 +127,7 @@ def boilerplate_lines(
     counted = seen.groupBy("host", "h").agg(F.count("one").alias("n")).where(f"n > {line_documents}")
     copies = base.groupBy("host", "txt").agg(F.lit(1).alias("one"))
     texts = copies.groupBy(F.col("host").alias("host2")).agg(F.count("one").alias("texts"))
-    above = counted.join(texts, F.col("host").eqNullSafe(F.col("host2"))).where(f"n * 100 > texts * {line_percent}")
+    above = counted.join(texts, F.col("host").eqNullSafe(F.col("host2"))).where(f"n * 100 > texts * {line_percent} OR n > {line_many}")
     # stored, so that the join stands on plain shuffles and a line of very many documents can be split
     above = stored(above.select(F.col("host").alias("host3"), F.col("h").alias("h3")))
     cut = lines.join(above, F.col("host").eqNullSafe(F.col("host3")) & (F.col("h") == F.col("h3")), "left_semi")

@@ -137,7 +137,7 @@ WITH w AS (
   SELECT source, count(DISTINCT text) AS texts FROM w GROUP BY source
 ), above AS (
   SELECT source, norm FROM worded JOIN host USING (source) GROUP BY source, norm, texts
-  HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) * 100 > texts * 1
+  HAVING count(DISTINCT text) > 20 AND (count(DISTINCT text) * 100 > texts * 1 OR count(DISTINCT text) > 1000)
 ), removed AS (
   SELECT r, sum(n) AS n FROM worded JOIN above USING (source, norm) GROUP BY r
 ), counts AS (

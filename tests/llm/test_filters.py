@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from paylens.llm import language, queries
+from paylens.llm import html_text, language, queries
 from paylens.llm.hashing import blocks
 from paylens.llm.html_text import common_subsequence, extract, page_lines, shared_lines
 from paylens.llm.language import address_parts, declared_language, fit_text, identify
@@ -52,6 +52,14 @@ def test_lines_in_many_documents_of_a_host_go(spark):
     assert quality_rules(documents(spark, [])).count() == 0
 
 
+def test_a_large_host_is_not_exempt(spark):
+    """A line of 26 of 2,700 documents is below the share; it goes once it is in more than `line_many`."""
+    rows = [(i, f"{prose(i, 30)}\nRead our terms" if i < 26 else prose(i, 4), "host") for i in range(2700)]
+    for many, gone in ((1000, 0), (26, 0), (25, 3)):
+        got = quality_rules(documents(spark, rows), line_many=many).where("doc_id < 26").select("n_removed_words").distinct().collect()
+        assert [r[0] for r in got] == [gone]
+
+
 def labelled(spark, n=400):
     rows, labels = [], []
     for i in range(n):
@@ -164,6 +172,13 @@ def test_names_inside_an_article():
     assert page_lines("<main><p>x y z</p></main><aside><article>teaser</article></aside>") == (["x y z", "teaser"], [2, 0])
 
 
+@pytest.mark.parametrize("name", ["user-comments", "post-comments", "comments-section", "commentlist", "disqus_thread", "top_banner", "userComments"])
+def test_compound_names_of_asides(name):
+    page = f"<article><p>Text.</p><div class='x {name}'><p>I agree!</p></div><section class='has-sidebar'>More.</section></article>"
+    lines, kinds = page_lines(page)
+    assert [x for x, k in zip(lines, kinds) if k] == ["Text.", "More."]
+
+
 def test_common_subsequence_is_longest():
     draw = random.Random(3)
     for _ in range(200):
@@ -192,8 +207,10 @@ def test_lines_shared_with_the_nearest_page_go(spark):
     assert extract(frame.limit(0)).count() == 0
 
 
-def test_large_hosts_are_compared_like_small_ones(spark):
-    """Slug paths, pages that differ in the query only, and pages at the borders of ranges."""
+@pytest.mark.parametrize("block", [3, 256])
+def test_large_hosts_are_compared_like_small_ones(spark, monkeypatch, block):
+    """Slug paths, pages that differ in the query only, and pages at the borders of ranges and of blocks of borders."""
+    monkeypatch.setattr(html_text, "BLOCK", block)
     page = lambda i: f"<div>Menu of the site</div><p>{prose(i, 12)}</p><div>About us and more</div>"
     rows = [(i, f"http://slug.example/2024/05/{prose(i, 2).replace(' ', '-')}", page(i)) for i in range(300)]
     rows += [(1000 + i, f"http://query.example/index.php?id={i}", page(1000 + i)) for i in range(5000)]
