@@ -5,7 +5,8 @@ half-key of the first collection with one of the second: HALVES ** 2 tables from
 similarity of s a pair meets in some table with probability (1 - (1 - s ** HALF) ** HALVES) ** 2: 0.9995 at 0.85 with
 the settings here. Documents with the same shingles are one class from the start. In each table a class is
 checked against the table's central class. Families of a centre that are then still of several components are coded by
-their differences from the centre; only sets that share one of their rarest differences are compared, which loses no
+their differences from the centre. Families of up to HELD sets are compared in one place by counting shared differences. In
+larger ones only sets that share one of their rarest differences are compared, which loses no
 similar pair and gives no pairs where a template's copies differ each in its own way. All checks are on full shingle sets.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import Window as W
 
 from paylens.llm.components import components
 from paylens.llm.hashing import blocks, mix64, seeds, shingle_sets
-from paylens.llm.tables import col, fresh
+from paylens.llm.tables import col, fresh, small_batches
 from paylens.session import stored
 
 SHINGLE = 5
@@ -30,6 +31,11 @@ HALVES = 9
 HALF = 3
 # pairs a set that a shared difference may give at once
 FEW = 16
+# sets and differences of a family that is compared in one place; larger families are spread over their differences
+HELD = 1024
+HELD_DIFFERENCES = 1 << 17
+# differences of more sets than this are counted by a matrix product, others pair by pair
+_DENSE = 32
 
 
 def _names(halves: int) -> list[str]:
@@ -141,26 +147,104 @@ def _differences(percent: int):
     return run
 
 
-def _family_pairs(members: DataFrame, sets: DataFrame, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that may be similar inside families (g, centre, node, root), and families for the rest (the same columns).
+def _shared_counts(lists: list[np.ndarray]) -> np.ndarray:
+    """How many elements each list shares with each later one; a list holds an element once."""
+    n = len(lists)
+    row = np.repeat(np.arange(n), [len(x) for x in lists])
+    _, at, df = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    dense = np.flatnonzero(df > _DENSE)
+    place = np.full(len(df), -1)
+    place[dense] = np.arange(len(dense))
+    use = place[at] >= 0
+    table = np.zeros((n, len(dense)), dtype=np.float32)
+    table[row[use], place[at[use]]] = 1
+    count = np.triu(table @ table.T, 1)
+    use = (df[at] > 1) & ~use
+    order = np.argsort(at[use], kind="stable")
+    at, row = at[use][order], row[use][order]
+    for apart in range(1, _DENSE):
+        both = np.flatnonzero(at[apart:] == at[:-apart])
+        if not len(both):
+            break
+        np.add.at(count, (row[both], row[both + apart]), 1)
+    return count
+
+
+def _family_links(percent: int):
+    """Rows (b, members [(node, root, f, e)]), a family each, to pairs (a, b) that join its similar sets, one less than they are at most."""
+
+    def links(b: int, node: np.ndarray, root: np.ndarray, f: np.ndarray, lists: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        similar = (100 + percent) * _shared_counts(lists).astype(np.int64) >= np.maximum(f[:, None] + f[None, :] - b, 1)
+        similar = np.triu(similar, 1)
+        similar |= similar.T
+        first = {int(r): np.flatnonzero(root == r) for r in np.unique(root)}
+        reached = np.zeros(len(node), dtype=bool)
+        for r in first:
+            if reached[first[r][0]]:
+                continue
+            reached[first[r]] = True
+            ahead = first[r].tolist()
+            while ahead:
+                x = ahead.pop()
+                new = np.flatnonzero(similar[x] & ~reached)
+                for y in new[np.unique(root[new], return_index=True)[1]].tolist():
+                    yield int(node[x]), int(node[y])
+                    joined = first[int(root[y])]
+                    reached[joined] = True
+                    ahead += joined.tolist()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, b in enumerate(batch.column("b").to_pylist()):
+                members = batch.column("members").slice(i, 1).flatten()
+                node, root, f = (members.field(c).to_numpy() for c in ("node", "root", "f"))
+                lists = [members.field("e")[j].values.to_numpy() for j in range(len(members))]
+                out += links(b, node, root, f, lists)
+            pairs = np.sort(np.array(out, dtype=np.int64).reshape(-1, 2), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def _family_pairs(members: DataFrame, sets: DataFrame, percent: int, small: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) that may be similar inside families (g, centre, node, root), and families for the rest (the same columns), if any.
 
     Each set is coded by its difference from the centre, with which all members have been compared. Let f and b be as in
-    _differences: sets x and y need (f(x) + f(y) - b) / (100 + percent) shared differences. Where they share none they are
-    similar only if both are similar to the centre, and then they are joined already. Other pairs meet at one of their rarest
-    differences: with y the one of larger f, both must have one of their first d - need + 1 in common. The need follows from both f, so
-    sets are filed under their own class of f and looked for under each class that a partner may have.
-    A difference that joins more than `small` pairs a set becomes a family of its own, with a centre out of it.
+    _differences: sets x and y are similar if they share (f(x) + f(y) - b) / (100 + percent) differences. Families with few members and
+    differences are compared in one place.
     """
     of = sets.select(F.col("node").alias("n2"), F.col("set").alias("s"))
     centre = sets.select(F.col("node").alias("centre"), F.col("set").alias("sc"))
     coded = members.join(of, F.col("node") == F.col("n2")).join(centre, "centre").select("g", "node", "root", "sc", "s")
     coded = stored(coded.mapInArrow(_differences(percent), "g long, node long, root long, f long, b long, d long, e array<long>"))
+    large = coded.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.sum("d").alias("ds"))
+    large = stored(large.where(f"k > {HELD} OR ds > {HELD_DIFFERENCES}").select("g"))
+    held = coded.join(large, "g", "left_anti").groupBy("g").agg(F.first("b").alias("b"), F.collect_list(F.struct("node", "root", "f", "e")).alias("members"))
+    with small_batches(members.sparkSession):
+        pairs = stored(held.select("b", "members").mapInArrow(_family_links(percent), "a long, b long").distinct())
+    if large.isEmpty():
+        return pairs, None
+    more, families = _spread_pairs(coded.join(large, "g", "left_semi"), percent, small)
+    return pairs.union(more).distinct(), families
+
+
+def _spread_pairs(coded: DataFrame, percent: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """The same for families (g, node, root, f, b, d, e) of any size, by joins.
+
+    Sets x and y need (f(x) + f(y) - b) / (100 + percent) shared differences. Where they share none they are
+    similar only if both are similar to the centre, and then they are joined already. Other pairs meet at one of their rarest
+    differences: with y the one of larger f, both must have one of their first d - need + 1 in common. The need follows from both f, so
+    sets are filed under their own class of f and looked for under each class that a partner may have. Differences of one
+    component only join nothing.
+    A difference that joins more than `small` pairs a set becomes a family of its own, with a centre out of it.
+    """
     each = coded.select("g", "node", "root", "f", "b", "d", F.explode("e").alias("e"))
-    known = each.groupBy(F.col("g").alias("g2"), F.col("e").alias("e2")).agg(F.count(F.lit(1)).alias("df"))
-    known = stored(known.where("df > 1"))
+    known = each.groupBy(F.col("g").alias("g2"), F.col("e").alias("e2")).agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    known = stored(known.where("lo < hi").select("g2", "e2", "df"))
     shared = each.join(known, (F.col("g") == F.col("g2")) & (F.col("e") == F.col("e2")))
     mine = W.partitionBy("g", "node")
-    # differences of its own come first and join nothing
+    # differences of one component come first and join nothing
     ranked = shared.withColumn("at", F.col("d") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "e")))
     need = f"greatest(CAST(ceil(({{}} - b) / {100 + percent}) AS BIGINT), 1L)".format
     width = "greatest(b DIV 2, 100L)"
@@ -267,12 +351,15 @@ def near_duplicates(
             break
         members = stored(placed.join(is_open, F.col("g") == F.col("g2"), "left_semi"))
         pairs, families = _family_pairs(members, sets, percent, few)
-        families = stored(families)
-        stars = families.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
-        pairs = pairs.union(stars).distinct().join(starred, ["a", "b"], "left_anti")
-        links = stored(_confirmed(pairs, sets, percent))
+        if families is not None:
+            families = stored(families)
+            stars = families.where("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b"))
+            pairs = pairs.union(stars).distinct()
+        links = stored(_confirmed(pairs.join(starred, ["a", "b"], "left_anti"), sets, percent))
         if not links.isEmpty():
             roots = stored(_joined(roots, links))
+        if families is None:
+            break
         # families of families end soon: the more they are, the more pairs are compared at once
         few *= 8
 

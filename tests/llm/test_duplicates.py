@@ -191,6 +191,42 @@ def test_fields_of_few_values_become_families(spark, monkeypatch):
     assert candidates(monkeypatch, documents(spark, far), percent=80, halves=11)[1] == sorted(brute_near(far, 80))
 
 
+def chained(n=60, families=3):
+    """Copies of templates, each an edit further from the one before, and copies with own edits: linked by each other only."""
+    rows = []
+    for t in range(families):
+        base = prose(900 + t, 70).split(" ")
+        for i in range(n):
+            edit = list(base)
+            for k in range(i % 9):
+                edit[5 + 7 * k] = f"step{t}_{k}"
+            if i >= 18:
+                edit[(11 * i) % 70] = f"own{t}_{i}"
+            rows.append((len(rows), " ".join(edit)))
+    return rows
+
+
+def test_families_are_compared_in_one_place_or_spread(spark, monkeypatch, percent=80):
+    """Both ways find what brute force finds. Differences of families that fit in one place are never joined one by one."""
+    rows = chained(40, 2) + [(1000 + i, t) for i, t in template(100, fields=2, values=9)]
+    spread, whole = [], minhash._spread_pairs
+    monkeypatch.setattr(minhash, "_spread_pairs", lambda *a: spread.append(1) or whole(*a))
+    for held in (minhash.HELD, 20):
+        monkeypatch.setattr(minhash, "HELD", held)
+        got = [(r["id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(documents(spark, rows), percent=percent, halves=11).collect()]
+        assert sorted(got) == sorted(brute_near(rows, percent))
+        assert bool(spread) == (held < 1024)
+
+
+@pytest.mark.parametrize("dense", [2, 32])
+def test_shared_counts(monkeypatch, dense):
+    monkeypatch.setattr(minhash, "_DENSE", dense)
+    draw = np.random.default_rng(4)
+    lists = [np.unique(draw.integers(-20, 40, draw.integers(1, 30))) for _ in range(50)]
+    got = minhash._shared_counts(lists)
+    assert all(got[i, j] == (len(np.intersect1d(lists[i], lists[j])) if i < j else 0) for i in range(50) for j in range(50))
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = [(3, "a b c d e f"), (1, "A b c d e  F"), (1, "A b c d e  F"), (2, "else"), (None, "a b c d e f"), (None, None), (7, ""), (8, "")]
     got = keep_one(documents(spark, rows)).collect()
