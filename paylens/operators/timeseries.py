@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paylens.functions.sql import q
+from paylens.functions.sql import let, q
 from paylens.operators.joins import lookup_join
 from paylens.operators.stages import add_columns
 
@@ -48,8 +48,7 @@ def interpolate_long(series: DataFrame, order: str = "date", segments: int | Non
     time = f"CAST(CAST({q(order)} AS {number}) AS DOUBLE)"
     steps = ", ".join(f"{i / segments}D" for i in range(1, segments))
     cuts = sorted(set(series.selectExpr(f"percentile_approx({time}, array({steps}), 10000) AS c").first()["c"] or [])) if segments > 1 else []
-    listed = ", ".join(f"{c!r}D" for c in cuts)
-    segment = f"size(filter(array({listed}), c -> c <= {time}))" if cuts else "0"
+    segment = _cuts_up_to(time, cuts) if cuts else "0"
     here = f"PARTITION BY series_id, _seg ORDER BY {q(order)}"
     cut = series.selectExpr("*", f"CASE WHEN {q(order)} IS NULL THEN -1 ELSE {segment} END AS _seg")
     placed = cut.selectExpr("*", f"row_number() OVER ({here}) AS _row")
@@ -79,6 +78,14 @@ def interpolate_long(series: DataFrame, order: str = "date", segments: int | Non
     return around.selectExpr(*[filled if c == "value" else q(c) for c in series.columns])
 
 
+def _cuts_up_to(e: str, cuts: Sequence[float]) -> str:
+    """How many of the sorted cut points are at most `e`, found by halving: each row looks at the logarithm of their number."""
+    listed = ", ".join(f"{c!r}D" for c in cuts)
+    steps = ", ".join(str(1 << i) for i in reversed(range(len(cuts).bit_length())))
+    halved = "aggregate(steps, 0, (n, step) -> CASE WHEN get(cuts, n + step - 1) <= t THEN n + step ELSE n END)"
+    return let(e, "t", let(f"array({listed})", "cuts", let(f"array({steps})", "steps", halved)))
+
+
 def latest_value(series: DataFrame) -> DataFrame:
     """Date and value of the last observation that has one, per series."""
     return (

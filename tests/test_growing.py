@@ -97,6 +97,18 @@ def test_long_series_are_filled_as_short_ones(spark, segments):
     assert rows(ts.interpolate_long(df.where("FALSE"), segments=segments)) == []
 
 
+def test_a_row_looks_at_few_cut_points(spark):
+    """The segment of a row is found by halving, not by a look at each cut point."""
+    cuts = sorted({float(x) for x in (-3, 0, 1, 1.5, 7, 8, 20, 400, 1e9)})
+    for n in range(1, len(cuts) + 1):
+        e = ts._cuts_up_to("CAST(id AS DOUBLE) / 2", cuts[:n])
+        got = spark.range(-10, 60).selectExpr("id / 2D AS t", f"{e} AS n").collect()
+        assert all(r["n"] == sum(c <= r["t"] for c in cuts[:n]) for r in got)
+    df = spark.range(3000).selectExpr("'s' AS series_id", "id AS at", "nullif(id % 3, 0) * 1D AS value")
+    plan = ts.interpolate_long(df, "at", segments=500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "aggregate(" in plan
+
+
 def test_no_window_holds_a_long_series(spark):
     df = spark.range(100_000).selectExpr("'s' AS series_id", "CAST(id AS DOUBLE) AS at", "CASE WHEN id % 7 > 0 THEN CAST(id AS DOUBLE) END AS value")
     plan = ts.interpolate_long(df, "at")._jdf.queryExecution().executedPlan().toString()
