@@ -142,8 +142,24 @@ def first_with_prefix(items: str, prefix: str) -> str:
 # --- markup -----------------------------------------------------------------------------------
 
 
+# maps that the reference names are dealt to, as Spark looks through a map from its begin
+_NAME_MAPS = 64
+
+
+def _name_map(name: str) -> int:
+    return (7 * ord(name[0]) + 31 * ord(name[1]) + 13 * len(name)) % _NAME_MAPS
+
+
 def _entity_names() -> str:
-    return "str_to_map(" + lit("\x01".join(f"{k}\x02{v}" for k, v in sorted(html5.items()))) + r", '\u0001', '\u0002')"
+    """An array of maps; `_names_of` picks that of a name."""
+    dealt: list[list[str]] = [[] for _ in range(_NAME_MAPS)]
+    for k, v in sorted(html5.items()):
+        dealt[_name_map(k)].append(f"{k}\x02{v}")
+    return "array(" + ", ".join("str_to_map(" + lit("\x01".join(d)) + r", '\u0001', '\u0002')" for d in dealt) + ")"
+
+
+def _names_of(name: str) -> str:
+    return f"get(names, (7 * ascii({name}) + 31 * ascii(substr({name}, 2, 1)) + 13 * length({name})) % {_NAME_MAPS})"
 
 
 # names that count without a semicolon, the longer before those they begin with
@@ -170,11 +186,11 @@ def decode_entities(e: str) -> str:
         WHEN code > 0 THEN decode(unhex(lpad(hex(code), 8, '0')), 'UTF-32') END""",
     )
     bare = f"regexp_extract(piece, '^({_BARE})', 1)"
-    used = f"CASE WHEN startswith(ref, '#') OR (ref <> '' AND map_contains_key(names, ref)) THEN ref ELSE {bare} END"
+    used = f"CASE WHEN startswith(ref, '#') OR (ref <> '' AND map_contains_key({_names_of('ref')}, ref)) THEN ref ELSE {bare} END"
     decoded = let(
         reference,
         "ref",
-        let(used, "used", f"concat(CASE WHEN startswith(used, '#') THEN {numeric} ELSE try_element_at(names, used) END, substr(piece, length(used) + 1))"),
+        let(used, "used", f"concat(CASE WHEN startswith(used, '#') THEN {numeric} ELSE try_element_at({_names_of('used')}, used) END, substr(piece, length(used) + 1))"),
     )
     pieces = f"""transform(split(whole, '&'), (piece, i) ->
         CASE WHEN i = 0 THEN piece ELSE coalesce({decoded}, concat('&', piece)) END)"""
@@ -211,7 +227,7 @@ def plain_text(markup: str) -> str:
 def list_items(markup: str) -> str:
     """Plain text of every list item of a fragment; an empty list when there is no fragment."""
     found = rf"regexp_extract_all({markup}, r'(?is)<li\b[^>]*>(.*?)</li\s*>', 1)"
-    text = f"CASE WHEN item RLIKE '[<&]' THEN {plain_text('item')} ELSE {strip('item')} END"
+    text = f"CASE WHEN contains(item, '<') OR contains(item, '&') THEN {plain_text('item')} ELSE {strip('item')} END"
     return f"coalesce(transform({found}, item -> {text}), CAST(array() AS ARRAY<STRING>))"
 
 

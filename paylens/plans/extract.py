@@ -17,13 +17,13 @@ def extract_cards(
     """One response of 21 text columns per card, then the columns of `keep`; what a card lacks is null.
 
     A card costs far more to take apart than to move, and a landed file is read by one task. So cards are
-    spread by id first, over as many tasks as the session shuffles into; `spread` can be turned off where
-    many files do that already. The response comes out of a generator, so that later filters stay
+    spread by id first, over as many tasks as the session shuffles into, their number given, as adaptive plans else join them
+    by their few bytes; `spread` can be turned off where many files do that already. The response comes out of a generator, so that later filters stay
     above it and no pattern runs twice.
     """
     page = q(html)
     if spread:
-        cards = cards.repartition(q(ident))
+        cards = cards.repartition(int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions")), q(ident))
     stages = [
         {
             "mood": t.tag_attribute(page, "img", "data-original-title", "emoticon"),

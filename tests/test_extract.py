@@ -141,3 +141,16 @@ def test_envelope_files(spark, tmp_path):
     got = read_envelopes(spark, str(tmp_path))
     assert rows(got, "id", "html") == [("1", "<p>x</p>"), ("2", "z")]
     assert [r["id"] for r in got.orderBy("landed").collect()] == ["1", "2"] and got.selectExpr("max(landed.place)").first()[0] == 2
+
+
+def test_reference_names_are_dealt_to_small_maps(spark):
+    """Every name is found in the map that the SQL picks, and no map holds many."""
+    from html.entities import html5
+
+    sizes = [0] * t._NAME_MAPS
+    for name in html5:
+        sizes[t._name_map(name)] += 1
+    assert max(sizes) < 100
+    names = spark.createDataFrame([(k, v) for k, v in html5.items()], "name string, wanted string").repartition(4)
+    picked = names.selectExpr("wanted", f"name, explode(array({t._entity_names()})) AS names").selectExpr("wanted", f"try_element_at({t._names_of('name')}, name) AS found")
+    assert picked.where("NOT wanted <=> found").count() == 0
