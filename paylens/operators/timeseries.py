@@ -68,6 +68,8 @@ def interpolate_long(series: DataFrame, order: str = "date", segments: int | Non
     joined = known.join(carried, F.expr("series_id <=> _id AND _seg = _s"))
     moved = "CASE WHEN _known IS NOT NULL THEN named_struct('pos', _row + _start, 'v', value) END"
     joined = joined.selectExpr("*", "_row + _start AS _pos", f"{moved} AS _at")
+    # by the row's number: rows of the same order value stay in the order in which they were numbered, however the join ran
+    here = "PARTITION BY series_id, _seg ORDER BY _row"
     around = joined.selectExpr(
         "*",
         f"coalesce(last_value(_at) IGNORE NULLS OVER ({here} ROWS UNBOUNDED PRECEDING), _before) AS _prev",

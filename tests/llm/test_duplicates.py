@@ -211,7 +211,7 @@ def test_families_are_compared_in_one_place_or_spread(spark, monkeypatch, percen
     rows = chained(40, 2) + [(1000 + i, t) for i, t in template(100, fields=2, values=9)]
     spread, whole = [], minhash._spread_pairs
     monkeypatch.setattr(minhash, "_spread_pairs", lambda *a: spread.append(1) or whole(*a))
-    for held in (minhash.HELD, 20):
+    for held in (minhash.HELD, 0):
         monkeypatch.setattr(minhash, "HELD", held)
         got = [(r["id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(documents(spark, rows), percent=percent, halves=11).collect()]
         assert sorted(got) == sorted(brute_near(rows, percent))
